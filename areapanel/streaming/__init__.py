@@ -1,0 +1 @@
+"""The counting operators on an unbounded source."""
