@@ -1,0 +1,23 @@
+"""Yearly counts of an event source that keeps growing.
+
+The reference counts are batch counts; the same aggregate keeps running counts when its input is a stream.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from areapanel.operators.aggregates import count_by
+
+
+def start_counts(
+    stream: DataFrame, keys: Sequence[str], table: str, checkpoint: str, name: str = "count"
+) -> StreamingQuery:
+    """Keep the counts per key of everything that has arrived, and stop when the source is drained."""
+    return (
+        count_by(stream, keys, name).writeStream.outputMode("complete").format("memory").queryName(table)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
