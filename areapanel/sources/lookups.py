@@ -12,7 +12,7 @@ from areapanel.operators.joins import missing_keys
 from areapanel.operators.scale import lookup_join, materialize
 
 
-def load_lookup(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def load_lookup(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The stored lookup, or an empty one if none has been stored yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -35,12 +35,12 @@ def extend_lookup(spark: SparkSession, path: str, new: DataFrame, keys: Sequence
 
 
 def resolve_through_lookup(
-    df: DataFrame, path: str, keys: Sequence[str], schema: T.StructType, resolve: Callable[[DataFrame], DataFrame],
+    df: DataFrame, path: str, keys: Sequence[str], schema: T.StructType | str, resolve: Callable[[DataFrame], DataFrame],
     how: str = "left",
 ) -> DataFrame:
     """Resolve only keys not stored yet, store them, and bring all results to the rows."""
     spark = df.sparkSession
     known = load_lookup(spark, path, schema)
-    fresh = resolve(missing_keys(df, known, keys)).select(*schema.fieldNames())
+    fresh = resolve(missing_keys(df, known, keys)).select(*known.columns)
     stored = extend_lookup(spark, path, fresh, keys)
     return lookup_join(df, stored, keys, how, derived=False)

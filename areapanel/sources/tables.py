@@ -12,7 +12,7 @@ from areapanel.sources.schemas import AREA_NAMES, FEATURES, YEAR_NAMES
 
 
 def read_table(
-    spark: SparkSession, path, schema: T.StructType, encoding: str = "UTF-8", dates: Mapping[str, str] | None = None
+    spark: SparkSession, path, schema: T.StructType | str, encoding: str = "UTF-8", dates: Mapping[str, str] | None = None
 ) -> DataFrame:
     """CSV with a header line. Line ends may be LF, CRLF or CR alone; a byte-order mark does no harm, because
     column names come from the schema. ``dates`` maps text columns to their format; a bad date becomes NULL."""
@@ -43,15 +43,23 @@ def normalize_keys(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.col(k).try_cast("double").cast("int") for k in set(names.values())})
 
 
-def read_features(spark: SparkSession, path) -> DataFrame:
-    """One row per feature: its properties as columns of a map, and the geometry kept as it is."""
-    raw = spark.read.schema(FEATURES).option("multiLine", True).json(path)
-    return raw.select(F.explode("features").alias("f")).select(
+def _feature_rows(collections: DataFrame, features) -> DataFrame:
+    return collections.select(F.explode(features).alias("f")).select(
         F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("geometry_type"),
         F.col("f.geometry.coordinates").alias("coordinates"),
     )
 
 
+def read_features(spark: SparkSession, path) -> DataFrame:
+    """One row per feature of the collection in each file: its properties as a map, and the geometry as it is."""
+    return _feature_rows(spark.read.schema(FEATURES).option("multiLine", True).json(path), "features")
+
+
+def flatten_features(df: DataFrame, json_col: str) -> DataFrame:
+    """The same for collections held as text in a column."""
+    return _feature_rows(df, F.from_json(json_col, FEATURES)["features"])
+
+
 def feature_property(features: DataFrame, name: str, alias: str) -> DataFrame:
     return features.withColumn(alias, F.try_element_at("properties", F.lit(name)))
 

@@ -1,6 +1,6 @@
 """Yearly counts of an event source that keeps growing.
 
-The reference counts are batch counts; the same aggregate keeps running counts when its input is a stream.
+The same aggregate that counts a stored table keeps running counts when its input is a stream.
 """
 
 from __future__ import annotations
