@@ -91,12 +91,15 @@ def sums_by_category(spark, sf):
 
 
 MONTHLY = """monthly AS (SELECT o_orderpriority AS dataset, c_nationkey AS area, strftime(o_orderdate, '%Y-%m') AS month,
-  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value
+  floor(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*)) AS value
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"""
 
 
 def monthly(spark, sf):
-    """(dataset, area, month, value): mean order value per priority, area and month."""
+    """(dataset, area, month, value): mean order value per priority, area and month, in whole units.
+
+    Sums of whole numbers are exact, so the order of the rows cannot show in a mean.
+    """
     o = table(spark, sf, "orders").groupBy(
         F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("dataset"),
         F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
@@ -104,20 +107,20 @@ def monthly(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("area"))
     sums = o.join(c, "c_custkey").groupBy("dataset", "area", "month").agg(
         F.sum("total").alias("total"), F.sum("n").alias("n"))
-    return sums.select("dataset", "area", "month", (F.col("total").cast("double") / F.col("n")).alias("value"))
+    return sums.select("dataset", "area", "month", F.floor(F.col("total").cast("double") / F.col("n")).cast("double").alias("value"))
 
 
 @query("E-8", f"""
 WITH {MONTHLY}
-SELECT area, CAST(substr(month, 1, 4) AS INTEGER) AS year, round(avg(value), 4) AS price FROM monthly GROUP BY 1, 2""")
+SELECT area, CAST(substr(month, 1, 4) AS INTEGER) AS year, avg(value) AS price FROM monthly GROUP BY 1, 2""")
 def yearly_mean(spark, sf):
-    return aggregates.yearly_mean(monthly(spark, sf), "area", "month", "value", "price").withColumns(rounded(4, "price"))
+    return aggregates.yearly_mean(monthly(spark, sf), "area", "month", "value", "price")
 
 
 @query("E-9", f"""
-WITH {MONTHLY} SELECT area, month, round(avg(value), 4) AS value FROM monthly GROUP BY 1, 2""")
+WITH {MONTHLY} SELECT area, month, avg(value) AS value FROM monthly GROUP BY 1, 2""")
 def mean_over_datasets(spark, sf):
-    return aggregates.avg_by(monthly(spark, sf), ["area", "month"], "value", "value").withColumns(rounded(4, "value"))
+    return aggregates.avg_by(monthly(spark, sf), ["area", "month"], "value", "value")
 
 
 @query("E-10", """
@@ -315,8 +318,8 @@ WITH v AS (SELECT c_mktsegment AS g, c_acctbal AS v FROM customer),
 s AS (SELECT g, count(*) AS n, min(v) AS mn, max(v) AS mx,
    0.9::DOUBLE * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34::DOUBLE) * pow(count(*)::DOUBLE, -0.2::DOUBLE) AS bw FROM v GROUP BY g),
 d AS (SELECT *, mn - bw * 3 AS lo, (mx - mn + bw * 6) / 127 AS step FROM s),
-c AS (SELECT v.g, CAST(least(floor((v - lo) / step), 126) AS INTEGER) AS cell, (v - lo) / step AS at FROM v JOIN d ON d.g = v.g),
-w AS (SELECT g, cell, sum(1 - (at - cell)) AS w FROM c GROUP BY 1, 2 UNION ALL SELECT g, cell + 1, sum(at - cell) FROM c GROUP BY 1, 2)
+c AS (SELECT v.g, CAST(least(floor((v - lo) / step), 126) AS INTEGER) AS cell, (v - lo) / step AS pos FROM v JOIN d ON d.g = v.g),
+w AS (SELECT g, cell, sum(1 - (pos - cell)) AS w FROM c GROUP BY 1, 2 UNION ALL SELECT g, cell + 1, sum(pos - cell) FROM c GROUP BY 1, 2)
 SELECT d.g AS c_mktsegment, CAST(p.point AS INTEGER) AS point, round(lo + step * p.point, 6) AS x,
   round(sum(w.w * exp(-0.5::DOUBLE * pow((p.point - w.cell) * step / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 12) AS density
 FROM d JOIN w ON w.g = d.g CROSS JOIN (SELECT unnest(range(128)) AS point) p GROUP BY d.g, p.point, lo, step""")

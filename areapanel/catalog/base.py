@@ -95,7 +95,7 @@ def wide_counts(spark: SparkSession, sf: str) -> DataFrame:
     names = dict(zip(PRIORITIES, ("A1", "A2", "DM", "NB")))
     mapped = counts.filter(F.col("category").isin(list(names))).replace(names, subset=["category"])
     wide = sums_by_category(mapped, ["area", "year"], "category", "count", ["A1", "A2", "DM", "NB"])
-    return wide.join(areas(spark, sf), "area")
+    return wide.join(areas(spark, sf).select("area", "land"), "area")
 
 
 def areas(spark: SparkSession, sf: str) -> DataFrame:

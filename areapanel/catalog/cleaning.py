@@ -182,13 +182,13 @@ def offset_log(spark, sf):
 
 
 @query("B-26 B-27", """
-SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 6) AS unit_price,
-       round(CASE WHEN l_tax <> 0 THEN l_discount / l_tax END, 6) AS discount_per_tax FROM lineitem""")
+SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 8) AS unit_price,
+       round(CASE WHEN l_tax <> 0 THEN l_discount / l_tax END, 8) AS discount_per_tax FROM lineitem""")
 def density_and_ratio(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber",
-        F.round(numeric.per_unit(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("unit_price"),
-        F.round(numeric.ratio(F.col("l_discount"), F.col("l_tax")), 6).alias("discount_per_tax"))
+        F.round(numeric.per_unit(F.col("l_extendedprice"), F.col("l_quantity")), 8).alias("unit_price"),
+        F.round(numeric.ratio(F.col("l_discount"), F.col("l_tax")), 8).alias("discount_per_tax"))
 
 
 @query("B-28", """
@@ -201,7 +201,7 @@ def round_half_even(spark, sf):
 
 @query("B-29", f"""
 WITH {AREAS_CTE}
-SELECT area, CAST(list_sum(list_transform(string_split(adjacent, ','), x -> CAST(trim(x) AS INTEGER))) AS BIGINT) AS total,
+SELECT area, CAST(list_sum(list_transform(string_split(adjacent, ','), lambda x: CAST(trim(x) AS INTEGER))) AS BIGINT) AS total,
        CAST(len(string_split(adjacent, ',')) AS INTEGER) AS items FROM areas""")
 def split_int_lists(spark, sf):
     a = areas(spark, sf).withColumn("ints", clean.split_ints(F.col("adjacent")))

@@ -252,9 +252,9 @@ lags AS (SELECT *, ln(crime_count / land) AS log_crime, ln(lag(crime_count / lan
 lags2 AS (SELECT *, lag(log_income) {W} AS log_prev_income FROM lags),
 training AS (SELECT area, year, price, prev_price, borough, water, neighborhood, proximity, line_class, nb_lag1, a1_lag1, a2_lag1, dm_lag2, log_prev_crime
   FROM lags2 WHERE log_crime IS NOT NULL AND log_prev_crime IS NOT NULL AND log_income IS NOT NULL AND log_prev_income IS NOT NULL AND prev_price IS NOT NULL AND dm_lag1 IS NOT NULL AND dm_lag2 IS NOT NULL)"""
-FRAME_COLS = """area, year, round(price, 8) AS price, round(prev_price, 8) AS prev_price, borough, water, neighborhood, round(proximity, 8) AS proximity, line_class,
+FRAME_COLS = """area, year, price, prev_price, borough, water, neighborhood, round(proximity, 8) AS proximity, line_class,
   round(nb_lag1, 8) AS nb_lag1, round(a1_lag1, 8) AS a1_lag1, round(a2_lag1, 8) AS a2_lag1, round(dm_lag2, 8) AS dm_lag2, round(log_prev_crime, 8) AS log_prev_crime, 1 AS intercept"""
-FRAME_ROUNDED = ("price", "prev_price", "proximity", "nb_lag1", "a1_lag1", "a2_lag1", "dm_lag2", "log_prev_crime")
+FRAME_ROUNDED = ("proximity", "nb_lag1", "a1_lag1", "a2_lag1", "dm_lag2", "log_prev_crime")
 
 
 @query("F-1 B-24 B-25 B-26 B-17 C-8 B-33 G-1", f"WITH {MODEL_PANEL} SELECT {FRAME_COLS} FROM training")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from areapanel.catalog.base import PANEL_CTE, panel, query, rounded, table
+from areapanel.catalog.base import PANEL_CTE, panel, query, table
 from areapanel.operators.scale import scratch_dir
 from areapanel.sources import lookups, places, sinks, tables
 
@@ -71,7 +71,7 @@ def built_once(spark, sf):
 
 
 @query("A-14", f"""
-WITH {PANEL_CTE} SELECT p.year, p.area, round(q.price, 4) AS actual, round(p.price, 4) AS predicted FROM panel p JOIN panel q ON q.area = p.area AND q.year = p.year + 2""")
+WITH {PANEL_CTE} SELECT p.year, p.area, q.price AS actual, p.price AS predicted FROM panel p JOIN panel q ON q.area = p.area AND q.year = p.year + 2""")
 def written_predictions(spark, sf):
     from areapanel.operators.joins import with_value_at
     from areapanel.operators.models import baseline
@@ -80,7 +80,7 @@ def written_predictions(spark, sf):
     rows = baseline(with_value_at(panel(spark, sf), "price", 2, "target"), "price")
     sinks.write_predictions(rows, path, "target", "predicted")
     schema = "year int, area int, actual double, predicted double"
-    return tables.read_table(spark, path, schema).withColumns(rounded(4, "actual", "predicted"))
+    return tables.read_table(spark, path, schema)
 
 
 @query("A-6 D-5 D-6", """
@@ -149,7 +149,7 @@ def map_features(spark, sf):
 
 @query("A-15", r"""
 WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'), '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1) AS ps FROM pages),
-t AS (SELECT page_id, list_transform(ps, x -> regexp_replace(x, '<[^>]*>', '', 'g')) AS ts FROM b)
+t AS (SELECT page_id, list_transform(ps, lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS ts FROM b)
 SELECT page_id, CASE WHEN contains(ts[1], 'Coordinates:') THEN ts[2] ELSE ts[1] END AS description FROM t""")
 def first_paragraphs(spark, sf):
     return places.describe_pages(table(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "description")
