@@ -377,7 +377,7 @@ SELECT event_id, event_type, last_value(CASE WHEN event_type = 'error' THEN even
 def fill_sections(spark, sf):
     e = table(spark, sf, "events").select(
         "event_id", "event_type", F.when(F.col("event_type") == "error", F.col("event_id")).alias("head"))
-    block = F.floor(F.col("event_id") / 2000)
+    block = F.floor(F.col("event_id") / 1_000_000)
     return reshape.fill_sections(e, "head", ["event_id"], block).select("event_id", "event_type", "section")
 
 

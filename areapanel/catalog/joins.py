@@ -61,7 +61,7 @@ m AS (SELECT p.area, p.year, round_even(avg(q.n), 2) AS adjacent_n FROM panel p
       JOIN panel q ON q.area = e.nbr AND q.year = p.year GROUP BY 1, 2)
 SELECT p.area, p.year, p.n, m.adjacent_n FROM panel p LEFT JOIN m ON m.area = p.area AND m.year = p.year""")
 def neighbor_average(spark, sf):
-    return joins.neighbor_avg(panel(spark, sf).select("area", "year", "n"), areas(spark, sf), "n", "adjacent_n")
+    return joins.neighbor_avg(panel(spark, sf).select("area", "year", "n"), areas(spark, sf), {"n": "adjacent_n"})
 
 
 GAPS_CTE = PANEL_CTE + """, gaps AS (
@@ -84,12 +84,12 @@ SELECT p.area, p.year, p.v, m.adjacent_v FROM gaps p LEFT JOIN m ON m.area = p.a
 
 @query("D-7", _gap_sql("round_even(avg(q.v), 2)"))
 def neighbor_average_gaps(spark, sf):
-    return joins.neighbor_avg(_gaps(spark, sf), areas(spark, sf), "v", "adjacent_v")
+    return joins.neighbor_avg(_gaps(spark, sf), areas(spark, sf), {"v": "adjacent_v"})
 
 
 @query("D-7", _gap_sql("CASE WHEN count(q.v) = count(*) THEN round_even(avg(q.v), 2) END"))
 def neighbor_average_strict(spark, sf):
-    return joins.neighbor_avg(_gaps(spark, sf), areas(spark, sf), "v", "adjacent_v", strict=True)
+    return joins.neighbor_avg(_gaps(spark, sf), areas(spark, sf), {"v": "adjacent_v"}, strict=True)
 
 
 @query("D-8", """

@@ -35,7 +35,7 @@ def growth_ranking(spark, sf):
     counts = panel(spark, sf).select("area", "year", F.col("n").alias("count"))
     grid = materialize(complete_grid(counts, known, {"year": range(1996, 2001)}).withColumnRenamed("count", "n"))
     growth = growth_overall(grid, "n", "growth").withColumns(rounded(10, "growth"))
-    near = neighbor_avg(grid, known, "n", "adjacent_n").filter("year = 2000")
+    near = neighbor_avg(grid, known, {"n": "adjacent_n"}).filter("year = 2000")
     rows = known.select("area", "name").join(growth, "area").join(near.drop("year"), "area").withColumn("year", F.lit(2000))
     ranked = rank_areas(rows, "growth").select("area", "name", "growth", "n", "adjacent_n", "rank")
     return top_k(ranked, [F.col("rank")], 10)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areapanel.operators.scale import (
-    ONE_TASK_ROWS, _null_safe_lookup, _slices, _window, at_most, lookup_join, materialize,
+    ONE_TASK_ROWS, _null_safe_lookup, _slices, _window, lookup_join, materialize, materialize_counted,
 )
 
 
@@ -29,9 +29,13 @@ def quantile_by(
     if approximate:
         return df.groupBy(*by).agg(*[F.percentile_approx("_v", p).alias(n) for n, p in probs.items()])
     limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
-    counts = materialize(df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    if at_most(counts, limit):
-        return counts.groupBy(*by).agg(*[F.percentile("_v", F.lit(p), F.col("_c")).alias(n) for n, p in probs.items()])
+    counts, rows = materialize_counted(df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    if rows <= limit:
+        places = F.array(*[F.lit(float(p)) for p in probs.values()])
+        found = counts.groupBy(*by).agg(F.percentile("_v", places, F.col("_c")).alias("_q"))
+        # Without groups the aggregate has a row even when there is no value.
+        return found.filter(F.col("_q").isNotNull()).select(
+            *by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
     return _quantile_sliced(counts, list(by), probs)
 
 

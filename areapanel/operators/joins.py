@@ -113,20 +113,25 @@ def edges(adjacency: DataFrame, area: str = "area", listed: str = "adjacent") ->
 
 
 def neighbor_avg(
-    panel: DataFrame, adjacency: DataFrame, value: str, name: str, strict: bool = False, digits: int = 2
+    panel: DataFrame, adjacency: DataFrame, values: Mapping[str, str], strict: bool = False, digits: int = 2
 ) -> DataFrame:
-    """Mean of ``value`` over the listed neighbours present in the same year, NULL if none is.
+    """Means over the listed neighbours present in the same year, NULL if none is; ``values`` maps column -> name.
 
-    A neighbour without a value is left out; with ``strict`` it makes the mean NULL.
+    A neighbour without a value is left out; with ``strict`` it makes the mean NULL. The panel is written out once,
+    since it is checked, looked up in, and extended.
     """
+    panel = materialize(panel)
     check_unique(panel, PANEL_KEYS)
     pairs = panel.select("area", "year").join(edges(adjacency), "area")
-    values = panel.select(F.col("area").alias("nbr"), "year", F.col(value).alias("_v"))
-    met = lookup_join(pairs, values, ["nbr", "year"], "inner")
-    mean = F.avg("_v")
-    if strict:
-        mean = F.when(F.count("_v") == F.count(F.lit(1)), mean)
-    means = met.groupBy("area", "year").agg(F.bround(mean, digits).alias(name))
+    theirs = {v: f"_v{i}" for i, v in enumerate(values)}
+    looked_up = panel.select(F.col("area").alias("nbr"), "year", *[F.col(v).alias(c) for v, c in theirs.items()])
+    met = lookup_join(pairs, looked_up, ["nbr", "year"], "inner", derived=False)
+
+    def mean(c):
+        m = F.avg(c)
+        return F.when(F.count(c) == F.count(F.lit(1)), m) if strict else m
+
+    means = met.groupBy("area", "year").agg(*[F.bround(mean(theirs[v]), digits).alias(n) for v, n in values.items()])
     return panel.join(means, list(PANEL_KEYS), "left")
 
 

@@ -160,8 +160,8 @@ def score_draws(
 ) -> DataFrame:
     """Score every row under every posterior draw of its group and summarise over the draws.
 
-    ``draws`` has (draw, group, betas array, gamma). The draws of a group, a few thousand at most, are packed into one
-    array, so a row meets all of them without being copied and the summary needs no shuffle.
+    ``draws`` has (draw, group, betas array, gamma). The draws of a group, as many as the sampler was run for, are
+    packed into one array, so a row meets all of them without being copied and the summary needs no shuffle.
     """
     packed = draws.groupBy(group).agg(
         F.sort_array(F.collect_list(F.struct("draw", "betas", "gamma"))).alias("_draws"))

@@ -77,7 +77,7 @@ def nearest_in_set(
             nodes = nodes.withColumns({
                 "_cx": F.shiftright("_nx", level - parent), "_cy": F.shiftright("_ny", level - parent)})
             on = [*by, "_cx", "_cy"]
-        pairs = lookup_join(front, nodes, on, "inner", limit=lookup_rows)
+        pairs = lookup_join(front, nodes, on, "inner", limit=lookup_rows, derived=False)
         qx, qy = F.col("_qx"), F.col("_qy")
         zero = F.lit(0.0)
         dx = F.greatest(F.col("_x0") - qx, qx - F.col("_x1"), zero)
@@ -89,7 +89,7 @@ def nearest_in_set(
         front = pairs.filter("_low <= _best").select(
             *keys, F.col("_nx").alias("_cx"), F.col("_ny").alias("_cy"))
     leaves = spots.select(*by, _cell("_ix", depth).alias("_cx"), _cell("_iy", depth).alias("_cy"), "_mx", "_my")
-    met = lookup_join(front, leaves, [*by, "_cx", "_cy"], "inner", limit=lookup_rows)
+    met = lookup_join(front, leaves, [*by, "_cx", "_cy"], "inner", limit=lookup_rows, derived=False)
     found = met.groupBy(*keys).agg(F.min(euclid(F.col("_qx"), F.col("_qy"), F.col("_mx"), F.col("_my"))).alias(name))
     marked = points.withColumns({"_qx": F.col(x).cast("double"), "_qy": F.col(y).cast("double")})
     return lookup_join(marked, found, keys, "left", limit=lookup_rows).select(*points.columns, name)

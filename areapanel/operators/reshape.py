@@ -11,6 +11,8 @@ from areapanel.operators.scale import lookup_join, materialize, number_rows
 
 # A pivot or grid dimension that is collected must stay below this many values.
 MAX_DIMENSION = 1_000
+# Hexadecimal digits of a hash by which hashes are counted: at most 16^5 counters.
+PREFIX = 5
 
 
 def pivot_counts(
@@ -120,17 +122,25 @@ def fill_sections(
 
 
 def split_by_share(
-    df: DataFrame, key: str, share: float, seed: int = 0, **kw
+    df: DataFrame, key: str, share: float, seed: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test): exactly floor(share * n) rows in seeded random order go to train.
 
-    Rows are ordered by a hash of seed and unique key; only the hashes are ranked, and the hash at the cut splits
-    the rows by comparison.
+    Rows are ordered by a hash of seed and unique key, and split by comparison with the hash at the cut. To find it,
+    hashes are counted by their first ``PREFIX`` digits (a table of fixed size), and only those that share the cut's
+    prefix, about one in a million, are put in order. Nothing else is sorted or shuffled.
     """
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    ranked = materialize(number_rows(df.select(mark.alias("_h")), [], [F.col("_h").asc()], "_r", **kw))
-    n = ranked.count()
+    hashes = df.select(mark.alias("_h")).withColumn("_p", F.substring("_h", 1, PREFIX))
+    counts = materialize(hashes.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")))
+    n = counts.agg(F.sum("_n")).first()[0] or 0
     k = int(n * share)
-    cut = ranked.filter(F.col("_r") == k).select(F.max("_h")).scalar()
-    before = F.lit(False) if k == 0 else mark <= cut
-    return df.filter(before), df.filter(~before)
+    if k == 0:
+        return df.filter(F.lit(False)), df
+    upto = Window.partitionBy(F.lit(0)).orderBy("_p")
+    at = (
+        counts.withColumn("_upto", F.sum("_n").over(upto)).filter(F.col("_upto") >= k).orderBy("_p")
+        .select("_p", (F.lit(k) - F.col("_upto") + F.col("_n")).alias("_place")).first()
+    )
+    cut = hashes.filter(F.col("_p") == at["_p"]).orderBy("_h").limit(at["_place"]).agg(F.max("_h")).scalar()
+    return df.filter(mark <= cut), df.filter(mark > cut)

@@ -1,7 +1,7 @@
 """Building blocks that keep every other operator safe at any group size.
 
 ``materialize``  cuts lineage with a table in the shared folder.
-``lookup_join``  broadcasts a side after counting it, and salts the join beyond the bound.
+``lookup_join``  broadcasts a side after measuring it; beyond the bound it joins by shuffle, hot keys salted.
 ``number_rows``  numbers rows in order without putting a group into one task.
 ``running_sum``  the same for cumulative sums.
 """
@@ -12,15 +12,20 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A lookup side of at most this many (narrow) rows is broadcast.
+# A lookup side of at most this many rows and bytes is broadcast.
 BROADCAST_ROWS = 100_000
 # An ordered group of at most this many rows may be sorted by one task.
 ONE_TASK_ROWS = 1_000_000
-# Copies of a lookup row when the join is salted.
+BROADCAST_BYTES = 64 * 1024 * 1024
+# Least number of tasks a hot key is spread over.
 SALTS = 16
+# A key with more rows than this is hot; found in a sample of this share of the rows.
+HOT_ROWS = 1_000_000
+HOT_SAMPLE = 0.01
 
 Keys = Sequence[str]
 
@@ -37,16 +42,41 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def _row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: the length of its texts, 16 bytes per array or map item, 8 for everything else."""
+    size = F.lit(0)
+    for field in df.schema:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+        else:
+            size = size + F.lit(8)
+    return size
+
+
+def materialize_measured(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """Write ``df`` once to the shared folder and read it back, with its rows and bytes counted on the way.
 
     Later plans start from the files, so they neither recompute the input nor depend on the executors that
-    made it, and its row count costs one look at the footers.
+    made it.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/areapanel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("bytes")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"], seen.get["bytes"] or 0
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialize_measured`` without the bytes."""
+    return materialize_measured(df)[:2]
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``materialize_measured`` without the measures."""
+    return materialize_measured(df)[0]
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -54,14 +84,41 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Equi-join in which a hot key of ``left`` is spread over ``salts`` tasks.
+def hot_keys(df: DataFrame, on: Keys, fraction: float = HOT_SAMPLE, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys that hold more than about ``rows`` rows of ``df``, from a sample of the key columns.
+
+    The sample only decides which keys a join spreads over many tasks; no row and no result depends on it.
+    """
+    seen = df.select(*on).dropna("any").sample(fraction, seed=0).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    return seen.filter(F.col("_n") > rows * fraction).select(*on)
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, on: Keys, how: str = "left", hot: DataFrame | None = None,
+    salts: int | None = None,
+) -> DataFrame:
+    """Equi-join that keeps ``left``'s rows and spreads the ``hot`` keys (all keys if None) over ``salts`` tasks.
 
-    Each left row draws a salt from its own content, each right row is copied once per salt; every pair of
-    matching rows still meets exactly once.
+    A left row of a hot key draws a salt from its content and partition, so that copies of one row spread as well;
+    a right row of a hot key is copied once per salt. Every pair of matching rows meets exactly once. Left rows with a
+    missing key match nothing and are spread too. ``hot`` must be short: it is broadcast.
     """
-    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = list(on)
+    salts = salts or max(SALTS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.spark_partition_id()), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot is None:
+        salted_left = left.withColumn("_salt", drawn)
+        salted_right = right.withColumn("_salt", F.explode(every))
+    else:
+        marked = F.broadcast(hot.select(*on).distinct().withColumn("_hot", F.lit(True)))
+        missing = F.lit(False)
+        for c in on:
+            missing = missing | F.col(f"`{c}`").isNull()
+        salted_left = left.withColumn("_drawn", drawn).join(marked, on, "left").withColumn(
+            "_salt", F.when(F.col("_hot") | missing, F.col("_drawn")).otherwise(0)).drop("_hot", "_drawn")
+        salted_right = right.join(marked, on, "left").withColumn(
+            "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -70,17 +127,21 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large left side to a side that is usually small.
 
-    The right side is counted first. Up to ``limit`` rows it is broadcast, so that the left side is not
-    shuffled; beyond that the join is salted. A ``derived`` right side is written out before it is counted, so
-    that the count and the join do not compute it twice.
+    The right side is measured first. Up to ``limit`` rows and ``BROADCAST_BYTES`` it is broadcast, so that the left
+    side is not shuffled; beyond that it is a shuffled join in which the left side's hot keys are salted. A ``derived``
+    right side is measured while it is written out, so that it is computed once; one that is cheap to read again is
+    only measured.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join keeps the left side's rows, so it cannot do a {how} join")
     limit = BROADCAST_ROWS if limit is None else limit
-    right = materialize(right) if derived else right
-    if at_most(right, limit):
+    if derived:
+        right, rows, size = materialize_measured(right)
+    else:
+        rows, size = right.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(_row_bytes(right))).first()
+    if rows <= limit and (size or 0) <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), list(on), how)
-    return salted_join(left, right, on, how)
+    return salted_join(left, right, on, how, materialize(hot_keys(left, on)))
 
 
 def _slices(df: DataFrame, part: Keys, order: Sequence[Column]) -> DataFrame:
@@ -107,8 +168,8 @@ def number_rows(
     its slice plus the rows of its group in earlier slices; no task holds a whole group.
     """
     limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
-    df = materialize(df)
-    if at_most(df, limit):
+    df, rows = materialize_counted(df)
+    if rows <= limit:
         return df.withColumn(name, F.row_number().over(_window(part).orderBy(*order)).cast("long"))
     placed = _slices(df, part, order)
     group = [*part, "_slice"]
@@ -125,14 +186,14 @@ def number_rows(
 def _null_safe_lookup(placed: DataFrame, tally: DataFrame, part: Keys) -> DataFrame:
     """Bring per-(group, slice) figures back to the rows; group keys may be null."""
     code = F.xxhash64(F.lit(0), *[F.col(c) for c in part], *[F.col(c).isNull() for c in part])
-    tally = materialize(tally.withColumn("_code", code))
+    tally, rows = materialize_counted(tally.withColumn("_code", code))
     same = tally.select("_code", "_slice", *[F.col(c).alias(f"_k_{c}") for c in part],
                         *[c for c in tally.columns if c not in {*part, "_code", "_slice"}])
     left = placed.withColumn("_code", code)
     match = (left["_code"] == same["_code"]) & (left["_slice"] == same["_slice"])
     for c in part:
         match = match & left[c].eqNullSafe(same[f"_k_{c}"])
-    side = F.broadcast(same) if at_most(same, BROADCAST_ROWS) else same
+    side = F.broadcast(same) if rows <= BROADCAST_ROWS else same
     joined = left.join(side, match, "inner")
     return joined.drop(same["_slice"]).drop("_code", *[f"_k_{c}" for c in part])
 
@@ -144,8 +205,8 @@ def running_sum(
     """Sum of ``value`` over the rows of ``part`` up to and including the row, by ``order``."""
     limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
     upto = (Window.unboundedPreceding, Window.currentRow)
-    df = materialize(df)
-    if at_most(df, limit):
+    df, rows = materialize_counted(df)
+    if rows <= limit:
         return df.withColumn(name, F.sum(value).over(_window(part).orderBy(*order).rowsBetween(*upto)))
     placed = _slices(df, part, order)
     group = [*part, "_slice"]

@@ -14,7 +14,7 @@ from areapanel.operators.aggregates import sums_by_category
 from areapanel.operators.distribution import quantile_by
 from areapanel.operators.joins import PANEL_KEYS, enrich, shift_year
 from areapanel.operators.panel import cum_increase, rank_areas
-from areapanel.operators.scale import lookup_join
+from areapanel.operators.scale import lookup_join, materialize
 
 # Span of the analysis, last year with actual income, percentiles, reason texts and colours.
 SPAN, LAST_ACTUAL_YEAR, LOW_P, TOP_P = 10, 2015, 0.4, 2 / 3
@@ -63,13 +63,14 @@ def label_areas(
     Eligible: income and house value at the start both below the start year's low percentile. Risen: the house
     value's increase exceeds the year's top percentile of increases. Also the house value it takes to rise so much.
     """
+    panel = materialize(panel.select("area", "year", "income", "price"))
     bands = year_bands(panel, low, top, **kw)
     start = shift_year(panel.select(
         "area", "year", F.col("income").alias("income_start"), F.col("price").alias("price_start")), span)
     start_bands = shift_year(bands, span)
     rows = panel.select("area", "year", "price").join(start, list(PANEL_KEYS))
     rows = lookup_join(rows, start_bands, ["year"], "inner")
-    rows = rows.withColumn("increase", F.try_divide(F.col("price"), F.col("price_start")) - 1)
+    rows = materialize(rows.withColumn("increase", F.try_divide(F.col("price"), F.col("price_start")) - 1))
     tops = quantile_by(rows, ["year"], "increase", {"top_increase": top}, **kw)
     rows = lookup_join(rows, tops, ["year"], "left")
     eligible = (F.col("income_start") < F.col("income_low")) & (F.col("price_start") < F.col("house_low"))

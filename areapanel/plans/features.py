@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from areapanel.operators.joins import neighbor_avg
 from areapanel.operators.nearest import proximity_to_top
 from areapanel.operators.panel import deflate, deflator
+from areapanel.operators.scale import materialize
 
 # Yearly change of consumer prices, public statistics, first entry 2002.
 CPI_FIRST_YEAR = 2002
@@ -29,9 +30,8 @@ def add_features(
 ) -> DataFrame:
     """Adjusted income and price, their neighbour averages, and the distance to the year's top areas by income."""
     adjusted = deflate(panel, {income: "income_adj", price: "price_adj"}, factors)
-    near = neighbor_avg(adjusted, adjacency, "income_adj", "adjacent_income")
-    near = neighbor_avg(near, adjacency, "price_adj", "adjacent_price")
-    return proximity_to_top(near, "income_adj", x, y)
+    near = neighbor_avg(adjusted, adjacency, {"income_adj": "adjacent_income", "price_adj": "adjacent_price"})
+    return proximity_to_top(materialize(near), "income_adj", x, y)
 
 
 def income_features(df: DataFrame) -> DataFrame:

@@ -144,13 +144,35 @@ def test_nearest_without_members(spark):
     assert nearest_in_set(pts, pts.filter("g = 2"), ["g"], "x", "y").first().proximity is None
 
 
+def test_salted_join_with_hot_and_missing_keys(skewed, spark):
+    df, rows = skewed
+    look = spark.createDataFrame([("hot", 1), ("g1", 2), ("none", 3), (None, 4)], "g string, w int")
+    hot = scale.hot_keys(df, ["g"], fraction=1.0, rows=300)
+    assert [r.g for r in hot.collect()] == ["hot"]
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        expect = sorted(map(str, df.join(look, "g", how).collect()))
+        for h in (None, hot):
+            assert sorted(map(str, scale.salted_join(df, look, ["g"], how, h, salts=5).collect())) == expect
+
+
+def test_broadcast_bound_counts_bytes(spark, monkeypatch):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    right = spark.createDataFrame([(1, "x" * 1000)], "k int, t string")
+    assert "BroadcastHashJoin" in scale.lookup_join(left, right, ["k"])._jdf.queryExecution().toString()
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 100)
+    for derived in (True, False):
+        out = scale.lookup_join(left, right, ["k"], derived=derived)
+        assert "_salt" in out._jdf.queryExecution().toString()
+        assert {r.k: r.t for r in out.collect()} == {1: "x" * 1000, 2: None}
+
+
 @pytest.mark.parametrize("limit", [None, 0])
 def test_factor_levels_and_split(skewed, limit):
     df, rows = skewed
     codes = {r.g: r.code for r in factor_levels(df, "g", one_task_rows=limit).collect()}
     levels = sorted({r[1] for r in rows if r[1] is not None})
     assert codes == {g: i for i, g in enumerate(levels, 1)}
-    train, test = split_by_share(df, "id", 0.8, seed=1, one_task_rows=limit)
+    train, test = split_by_share(df, "id", 0.8, seed=1)
     a, b = {r.id for r in train.collect()}, {r.id for r in test.collect()}
     assert len(a) == 960 and not a & b and len(a | b) == 1200
 
