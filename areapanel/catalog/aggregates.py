@@ -135,8 +135,8 @@ def quantile_by_group(spark, sf):
 @query("E-10", """
 SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90
 FROM lineitem GROUP BY 1""")
-def quantile_over_slices(spark, sf):
-    """The same result by the way that never holds a group in one task."""
+def quantile_by_narrowing(spark, sf):
+    """The same by the way that neither sorts nor shuffles the rows."""
     li = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
     q = distribution.quantile_by(li, ["l_returnflag"], "l_extendedprice", {"q1": 0.25, "p90": 0.9}, one_task_rows=0)
     return q.withColumns(rounded(6, "q1", "p90"))

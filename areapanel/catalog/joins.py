@@ -23,10 +23,13 @@ def enrich_left(spark, sf):
 SELECT l_orderkey, l_linenumber, s_nationkey AS area, p_type FROM lineitem
 JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey""")
 def inner_joins(spark, sf):
+    from areapanel.operators.scale import lookup_join
+
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("area"))
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    return li.join(s, "l_suppkey").join(p, "l_partkey").select("l_orderkey", "l_linenumber", "area", "p_type")
+    both = lookup_join(lookup_join(li, s, ["l_suppkey"], "inner", derived=False), p, ["l_partkey"], "inner", derived=False)
+    return both.select("l_orderkey", "l_linenumber", "area", "p_type")
 
 
 @query("D-4", f"""

@@ -10,6 +10,7 @@ from areapanel.catalog.base import (
 )
 from areapanel.operators.panel import deflator, growth_overall, rank_areas
 from areapanel.operators.reshape import top_k
+from areapanel.operators.scale import lookup_join, materialize
 from areapanel.plans import crimes, features, forecast, permits, prices, shops
 
 # --- flagship -----------------------------------------------------------------------------------------------------
@@ -29,7 +30,6 @@ WHERE growth IS NOT NULL ORDER BY rank LIMIT 10""")
 def growth_ranking(spark, sf):
     """The ten areas whose order counts grew fastest over five years, next to their neighbours' average."""
     from areapanel.operators.joins import complete_grid, neighbor_avg
-    from areapanel.operators.scale import materialize
 
     known = areas(spark, sf)
     counts = panel(spark, sf).select("area", "year", F.col("n").alias("count"))
@@ -49,7 +49,7 @@ def filings(spark, sf):
         F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("doc"), F.col("l_returnflag").alias("job_type"),
         F.date_format("l_shipdate", "MM/dd/yyyy").alias("filing_date"), "l_suppkey")
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("area"))
-    return li.join(s, "l_suppkey").drop("l_suppkey")
+    return lookup_join(li, s, ["l_suppkey"], "inner", derived=False).drop("l_suppkey")
 
 
 PERMITS = """jobs AS (SELECT l_orderkey AS job, l_returnflag AS job_type, s_nationkey AS area, CAST(min(year(l_shipdate)) AS INTEGER) AS year
@@ -86,7 +86,7 @@ def permit_points(spark, sf):
         F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("job_type"), F.col("l_quantity").alias("lat"),
         F.col("l_discount").alias("lon"), "l_suppkey")
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("area"))
-    return permits.permit_points(li.join(s, "l_suppkey"), "lat", "lon")
+    return permits.permit_points(lookup_join(li, s, ["l_suppkey"], "inner", derived=False), "lat", "lon")
 
 
 # --- events -------------------------------------------------------------------------------------------------------

@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from areapanel.operators.scale import (
-    ONE_TASK_ROWS, _null_safe_lookup, _slices, _window, lookup_join, materialize, materialize_counted,
-)
+from areapanel.operators.scale import ONE_TASK_ROWS, lookup_join, materialize
+
+# Bins per interval and most rounds of the search for a quantile; after the last the rows left are counted by value.
+BINS = 4096
+MAX_ROUNDS = 40
 
 
 def quantile_by(
@@ -19,55 +21,74 @@ def quantile_by(
 ) -> DataFrame:
     """Quantiles with linear interpolation per group, one column per entry of ``probs``.
 
-    Equal values are combined with their count first, before and after the shuffle. Few distinct values (counted)
-    go through ``percentile`` with frequencies; many are range-partitioned and each quantile is read from the two
-    values at its place, so no task sees a whole group. Missing values are left out; a group without any has no row.
+    The rows are counted first, with their range. Few rows go through ``percentile``. Many are not sorted and not
+    shuffled: see ``_narrow``. Missing values are left out; a group without any value has no row.
     """
-    df = df.select(*by, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
+    key = F.struct(*by) if by else F.lit(0)
+    v = F.col(value).cast("double")
+    df = df.select(key.alias("_key"), v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    groups = [F.col(f"_key.`{c}`").alias(c) for c in by]
     if approximate:
-        return df.groupBy(*by).agg(*[F.percentile_approx("_v", p).alias(n) for n, p in probs.items()])
+        found = df.groupBy("_key").agg(*[F.percentile_approx("_v", p).alias(n) for n, p in probs.items()])
+        return found.select(*groups, *probs)
     limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
-    counts, rows = materialize_counted(df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    if rows <= limit:
+    stats = materialize(df.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    total = stats.agg(F.sum("_n")).first()[0] or 0
+    if total <= limit:
         places = F.array(*[F.lit(float(p)) for p in probs.values()])
-        found = counts.groupBy(*by).agg(F.percentile("_v", places, F.col("_c")).alias("_q"))
-        # Without groups the aggregate has a row even when there is no value.
-        return found.filter(F.col("_q").isNotNull()).select(
-            *by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-    return _quantile_sliced(counts, list(by), probs)
-
-
-def _quantile_sliced(counts: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
-    placed = _slices(counts, by, [F.col("_v").asc()])
-    tally = placed.groupBy(*by, "_slice").agg(F.sum("_c").alias("_n"))
-    inside = _window(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per group and slice.
-    tally = materialize(tally.select(
-        *by, "_slice", "_n", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_before"),
-        F.sum("_n").over(_window(by)).alias("_total"),
-    ))
-    at = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in probs.items()}
-
-    def covers(place, start, size):
-        return (place >= start) & (place < start + size)
-
-    # Only slices that hold a wanted place need their running count.
-    hits = [
-        covers(f(h), F.col("_before"), F.col("_n")) for h in at.values() for f in (F.floor, F.ceil)
-    ]
-    needed = tally.filter(reduce(lambda a, b: a | b, hits)).select(*by, "_slice", "_before", "_total")
-    rows = _null_safe_lookup(placed, needed, by)
-    upto = Window.partitionBy(*by, "_slice").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("_c").over(upto), F.lit(0))
-    rows = rows.withColumn("_start", start)
-    aggs = []
-    for name, h in at.items():
-        low = F.max(F.when(covers(F.floor(h), F.col("_start"), F.col("_c")), F.col("_v")))
-        high = F.max(F.when(covers(F.ceil(h), F.col("_start"), F.col("_c")), F.col("_v")))
-        aggs.append((low + (high - low) * (F.max(h) - F.floor(F.max(h)))).alias(name))
-    return rows.groupBy(*by).agg(*aggs)
+        found = df.groupBy("_key").agg(F.percentile("_v", places).alias("_q"))
+        return found.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+    return _narrow(df, stats, probs, limit).select(*groups, *probs)
+
+
+def _narrow(df: DataFrame, stats: DataFrame, probs: dict[str, float], limit: int) -> DataFrame:
+    """Exact quantiles by narrowing in on the wanted ranks.
+
+    Each round counts the rows of the open value intervals in ``BINS`` bins, and keeps the bins that hold a wanted
+    rank as the next intervals, cut to their smallest and largest value. An interval of one value is an answer. When
+    what is left is few rows, their distinct values are put in order. A round reads two columns and shuffles bin
+    counts only, whatever the size or skew of a group.
+    """
+    def place(p):
+        return (F.col("_n") - 1) * F.lit(float(p))
+
+    wanted = F.array_distinct(F.array(*[f(place(p)).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]))
+    spans = stats.select("_key", "_n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_before"), wanted.alias("_ranks"),
+                         F.col("_n").alias("_inside"))
+    answers = []
+    for round_ in range(MAX_ROUNDS + 1):
+        answers.append(spans.filter("_lo = _hi").select("_key", "_n", F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v")))
+        left = spans.filter("_lo < _hi")
+        inside = left.agg(F.sum("_inside")).first()[0] or 0
+        if not inside:
+            break
+        packed = left.groupBy("_key").agg(F.first("_n").alias("_n"), F.collect_list(
+            F.struct("_lo", "_hi", "_before", "_ranks")).alias("_spans"))
+        rows = lookup_join(df, packed, ["_key"], "inner").withColumn("_s", F.explode(
+            F.filter("_spans", lambda s: (s["_lo"] <= F.col("_v")) & (F.col("_v") <= s["_hi"]))))
+        rows = rows.select("_key", "_n", "_v", "_s._lo", "_s._hi", "_s._before", "_s._ranks")
+        last = inside <= limit or round_ == MAX_ROUNDS
+        # Halves, so that the width of the widest interval is still a finite number.
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        bin_ = F.col("_v") if last else F.least(F.floor(share * BINS), F.lit(BINS - 1))
+        counts = rows.groupBy("_key", "_n", "_lo", "_before", "_ranks", bin_.alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_inside"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        earlier = Window.partitionBy("_key", "_lo").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        begin = F.col("_before") + F.coalesce(F.sum("_inside").over(earlier), F.lit(0))
+        placed = counts.withColumn("_begin", begin)
+        hits = F.filter("_ranks", lambda r: (r >= F.col("_begin")) & (r < F.col("_begin") + F.col("_inside")))
+        spans = materialize(placed.select(
+            "_key", "_n", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_begin").alias("_before"),
+            hits.alias("_ranks"), "_inside").filter(F.size("_ranks") > 0))
+    found = reduce(DataFrame.unionByName, answers)
+    out = []
+    for name, p in probs.items():
+        low = F.max(F.when(F.col("_rank") == F.floor(place(p)), F.col("_v")))
+        high = F.max(F.when(F.col("_rank") == F.ceil(place(p)), F.col("_v")))
+        share = F.max(place(p) - F.floor(place(p)))
+        out.append((low + (high - low) * share).alias(name))
+    return found.groupBy("_key").agg(*out)
 
 
 def below_group_quantile(

@@ -18,12 +18,12 @@ PREFIX = 5
 def pivot_counts(
     df: DataFrame, keys: Sequence[str], category: str, values: Sequence, value: str, fill: int | None = 0
 ) -> DataFrame:
-    """One column per category value, from one aggregate; missing combinations become ``fill`` or NULL.
+    """One column per category value; missing combinations become ``fill`` or NULL.
 
-    Rows with a missing key are left out. The values are named, so no extra pass looks for them.
+    Rows with a missing key are left out. Conditional sums need one shuffle, where ``pivot`` aggregates twice.
     """
     df = df.dropna("any", subset=list(keys))
-    wide = df.groupBy(*keys).pivot(category, list(values)).agg(F.sum(value))
+    wide = df.groupBy(*keys).agg(*[F.sum(F.when(F.col(category) == v, F.col(value))).alias(str(v)) for v in values])
     return wide if fill is None else wide.fillna(fill, subset=[str(v) for v in values])
 
 

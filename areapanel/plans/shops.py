@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areapanel.operators.aggregates import dedupe_first, earliest
+from areapanel.operators.aggregates import dedupe_first
 from areapanel.operators.filters import not_value
 
 # The placeholder date, the cuisine counted and the inspection type of an opening.
@@ -19,10 +19,14 @@ OPENING = "Pre-permit (Operational) / Initial Inspection"
 def first_inspections(
     inspections: DataFrame, order: Sequence[Column], shop: str = "shop", day: str = "day"
 ) -> DataFrame:
-    """The first record of each shop's first day; placeholder dates do not count."""
-    dated = not_value(inspections, day, NO_DATE).filter(F.col(day).isNotNull())
-    single = dedupe_first(dated, [shop, day], order)
-    return earliest(single, shop, day).withColumn("year", F.year(F.col(day).cast("date")))
+    """The first record of each shop's first day; placeholder dates do not count.
+
+    One record per shop and day and then the earliest day is the first row by day and ``order``, so one window with
+    a limit does both.
+    """
+    dated = not_value(inspections, day, NO_DATE).dropna("any", subset=[shop, day])
+    first = dedupe_first(dated, [shop], [F.col(day).asc(), *order])
+    return first.withColumn("year", F.year(F.col(day).cast("date")))
 
 
 def shop_counts(

@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from areapanel.operators.joins import missing_keys
 from areapanel.operators.scale import lookup_join, materialize
+from areapanel.sources.sinks import is_stored
 
 
 def load_lookup(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The stored lookup, or an empty one if none has been stored yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    if not is_stored(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def merge_lookup(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,13 +26,18 @@ def write_by_year(
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """True if a write to ``path`` has finished: Spark leaves a marker when the last task is committed."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def build_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the stored table, or build and store it first. A half-written table has no schema and is rebuilt."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """Read the stored table, or build and store it first. A half-written table is built again."""
+    if not is_stored(spark, path):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_predictions(

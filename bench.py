@@ -15,7 +15,7 @@ import time
 HEADLINE = (
     "growth_ranking", "count_by_area_year_type", "complete_grid", "permit_counts", "panel_with_permits", "crime_yearly",
     "crime_points", "shops_cumulative", "price_index_by_group_max", "inner_joins", "enrich_distinct_keys",
-    "rows_with_listed_code", "earliest_record", "dedupe_first", "quantile_by_group", "quantile_over_slices",
+    "rows_with_listed_code", "earliest_record", "dedupe_first", "quantile_by_group", "quantile_by_narrowing",
     "describe_by_group", "box_stats", "histogram_by_year", "kernel_density", "regression_line", "neighbor_average",
     "nearest_top_member", "area_features", "training_frame", "rank_large_groups", "running_total_large_groups",
     "split_train_test", "gamma_tail_probability", "score_over_draws", "label_areas", "ranking_of_year",

@@ -42,8 +42,11 @@ def test_first_row_per_key_is_limited_before_the_shuffle(spark, sf):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
-    plan = CATALOG["category_and_year_filters"].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(o_orderdate" in plan and "o_totalprice" not in plan
+    df = CATALOG["category_and_year_filters"].run(spark, sf)
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "o_orderpriority" in pushed and "o_orderstatus" in pushed and "o_orderdate" in pushed, pushed
+    assert "o_totalprice" not in plan
 
 
 def test_no_cross_join_anywhere(spark, sf):
