@@ -138,7 +138,7 @@ FROM lineitem GROUP BY 1""")
 def quantile_by_narrowing(spark, sf):
     """The same by the way that neither sorts nor shuffles the rows."""
     li = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
-    q = distribution.quantile_by(li, ["l_returnflag"], "l_extendedprice", {"q1": 0.25, "p90": 0.9}, one_task_rows=0)
+    q = distribution.quantile_by(li, ["l_returnflag"], "l_extendedprice", {"q1": 0.25, "p90": 0.9}, one_task_rows=1000)
     return q.withColumns(rounded(6, "q1", "p90"))
 
 

@@ -143,7 +143,7 @@ def threshold_flag(spark, sf):
     return table(spark, sf, "part").select("p_partkey", numeric.flag_at_least(F.col("p_size"), 10).alias("color"))
 
 
-@query("B-21 J-2", """
+@query("B-21 J-1 J-2", """
 SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'blue' WHEN 'MACHINERY' THEN 'green' WHEN 'HOUSEHOLD' THEN 'orange'
   ELSE 'black' END AS color FROM customer""")
 def category_labels(spark, sf):

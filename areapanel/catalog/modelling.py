@@ -129,7 +129,7 @@ def gamma_tail_probability(spark, sf):
     return g.select("area", "year", F.round(gamma_tail(threshold, a, b), 7).alias("probability"))
 
 
-@query("H-12")
+@query("H-12 J-3")
 def gamma_draws(spark, sf):
     g = panel(spark, sf).select("area", "year", (F.col("price") / 100000).alias("mu"))
     a, b = gamma_params(F.col("mu"), F.lit(0.05))
@@ -219,3 +219,35 @@ def gamma_regression(spark, sf):
 def gamma_regression_by_group(spark, sf):
     _, table_ = models.fit_gamma_glm_by(_fit_rows(spark, sf), "y", ["a", "b"], "g")
     return table_.withColumns(rounded(5, "value"))
+
+
+def _irls(rounds: int, by: bool) -> str:
+    """Reweighted least squares of a gamma regression with log link, whose weights are all 1: each round regresses
+    eta + (y - mu) / mu on the input."""
+    g, on, group = ("g, ", "USING (g)", "GROUP BY g") if by else ("", "ON true", "")
+    ctes = [f"b0 AS (SELECT {g}ln(avg(y)) AS c0, 0.0::DOUBLE AS c1 FROM t {group})"]
+    for i in range(1, rounds + 1):
+        ctes.append(
+            f"b{i} AS (SELECT {g}regr_intercept(z, a) AS c0, regr_slope(z, a) AS c1 FROM (SELECT {g}a, "
+            f"c0 + c1 * a + (y - exp(c0 + c1 * a)) / exp(c0 + c1 * a) AS z FROM t JOIN b{i - 1} {on}) {group})")
+    return ", ".join(ctes)
+
+
+ONE_INPUT = "t AS (SELECT l_returnflag AS g, l_extendedprice / 1000 AS y, l_quantity / 10 AS a FROM lineitem)"
+
+
+@query("H-5", f"""
+WITH {ONE_INPUT}, {_irls(20, False)}
+SELECT 'intercept' AS term, round(c0, 4) AS value FROM b20 UNION ALL SELECT 'a', round(c1, 4) FROM b20""")
+def gamma_regression_one_input(spark, sf):
+    model = models.fit_gamma_glm(_fit_rows(spark, sf), "y", ["a"])
+    rows = [("intercept", float(model.intercept)), ("a", float(model.coefficients[0]))]
+    return spark.createDataFrame(rows, "term string, value double").withColumns(rounded(4, "value"))
+
+
+@query("H-6", f"""
+WITH {ONE_INPUT}, {_irls(20, True)}
+SELECT g, 'intercept' AS term, round(c0, 4) AS value FROM b20 UNION ALL SELECT g, 'a', round(c1, 4) FROM b20""")
+def gamma_regression_one_input_by_group(spark, sf):
+    _, coefficients = models.fit_gamma_glm_by(_fit_rows(spark, sf), "y", ["a"], "g")
+    return coefficients.withColumns(rounded(4, "value"))

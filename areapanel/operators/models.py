@@ -93,7 +93,7 @@ def ols_two(df: DataFrame, y: str, a: str, b: str, by: Sequence[str] = ()) -> Da
 def fit_gamma_glm(train: DataFrame, target: str, inputs: Sequence[str], max_iter: int = 50):
     """Gamma regression with log link."""
     return GeneralizedLinearRegression(
-        family="gamma", link="log", featuresCol=FEATURES, labelCol=target, predictionCol="predicted", maxIter=max_iter,
+        family="gamma", link="log", featuresCol=FEATURES, labelCol=target, predictionCol="predicted", maxIter=max_iter, tol=1e-9,
     ).fit(assemble(train.filter(F.col(target) > 0), inputs))
 
 
@@ -118,7 +118,7 @@ def fit_gamma_glm_by(train: DataFrame, target: str, inputs: Sequence[str], group
     ready, labels = by_group(train.filter(F.col(target) > 0), group, inputs)
     model = GeneralizedLinearRegression(
         family="gamma", link="log", featuresCol=FEATURES, labelCol=target, predictionCol="predicted",
-        fitIntercept=False, maxIter=max_iter,
+        fitIntercept=False, maxIter=max_iter, tol=1e-9,
     ).fit(ready)
     rows = [(str(g), t, float(v)) for (g, t), v in zip(labels, model.coefficients.toArray())]
     return model, train.sparkSession.createDataFrame(rows, f"`{group}` string, term string, value double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from areapanel.functions.numeric import euclid
 from areapanel.operators.distribution import below_group_quantile
-from areapanel.operators.scale import lookup_join, materialize
+from areapanel.operators.scale import lookup_join, materialize_counted
 
 # Cells are addressed by this many bits per axis; a cell at level l is the upper l bits.
 CELL_BITS = 26
@@ -50,9 +50,11 @@ def nearest_in_set(
     computed once per distinct place and joined back. NULL where a group has no member or the point no place.
     """
     by = list(by)
+    if not by:
+        raise ValueError("give the group columns; a constant column makes one group")
     keys = [*by, "_qx", "_qy"]
     places = points.select(*by, F.col(x).cast("double").alias("_qx"), F.col(y).cast("double").alias("_qy")).dropna().distinct()
-    spots = materialize(
+    spots, n_spots = materialize_counted(
         members.select(*by, F.col(x).cast("double").alias("_mx"), F.col(y).cast("double").alias("_my")).dropna().distinct()
     )
     # Four numbers: the square that holds all members.
@@ -66,7 +68,8 @@ def nearest_in_set(
         return F.least(F.floor((F.col(c) - F.lit(origin)) / F.lit(side) * F.lit(float(top + 1))), F.lit(top)).cast("bigint")
 
     spots = spots.withColumns({"_ix": address("_mx", x0), "_iy": address("_my", y0)})
-    depth = _depth(spots, by, leaf)
+    # A handful of members in all is one leaf per group.
+    depth = 0 if n_spots <= leaf else _depth(spots, by, leaf)
     front, level = places, 0
     while level < depth:
         parent, level = level, min(level + LEVEL_STEP, depth)
@@ -88,8 +91,9 @@ def nearest_in_set(
         pairs = pairs.withColumn("_best", F.min("_high").over(Window.partitionBy(*keys)))
         front = pairs.filter("_low <= _best").select(
             *keys, F.col("_nx").alias("_cx"), F.col("_ny").alias("_cy"))
-    leaves = spots.select(*by, _cell("_ix", depth).alias("_cx"), _cell("_iy", depth).alias("_cy"), "_mx", "_my")
-    met = lookup_join(front, leaves, [*by, "_cx", "_cy"], "inner", limit=lookup_rows, derived=False)
+    cells = {"_cx": _cell("_ix", depth), "_cy": _cell("_iy", depth)} if depth else {}
+    leaves = spots.select(*by, *[c.alias(n) for n, c in cells.items()], "_mx", "_my")
+    met = lookup_join(front, leaves, [*by, *cells], "inner", limit=lookup_rows, derived=False)
     found = met.groupBy(*keys).agg(F.min(euclid(F.col("_qx"), F.col("_qy"), F.col("_mx"), F.col("_my"))).alias(name))
     marked = points.withColumns({"_qx": F.col(x).cast("double"), "_qy": F.col(y).cast("double")})
     return lookup_join(marked, found, keys, "left", limit=lookup_rows).select(*points.columns, name)

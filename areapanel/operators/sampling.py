@@ -66,6 +66,8 @@ def gamma_draws(
         *keys, F.col(shape).cast("double").alias("w_shape"), F.col(rate).cast("double").alias("w_rate"),
         F.xxhash64(*keys).alias("w_code"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("w_chunk"),
     ).filter("w_shape > 0 AND w_rate > 0")
+    # A chunk is a small row that becomes a large batch, so chunks are spread over all tasks before they grow.
+    work = work.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w_code", "w_chunk")
     out = T.StructType([*[df.schema[k] for k in keys], T.StructField("draw_no", T.LongType()),
                         T.StructField(name, T.DoubleType())])
 
