@@ -29,6 +29,9 @@ HOT_SAMPLE = 0.01
 
 Keys = Sequence[str]
 
+# Tables this process has written, for ``release``.
+_written: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only when Spark runs on this machine alone."""
@@ -64,11 +67,22 @@ def materialize_measured(df: DataFrame) -> tuple[DataFrame, int, int]:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/areapanel-{uuid.uuid4().hex}"
+    _written.append(path)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("bytes")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"], seen.get["bytes"] or 0
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables this session has written to the shared folder; frames built on them can no longer be run."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``materialize_measured`` without the bytes."""
     return materialize_measured(df)[:2]

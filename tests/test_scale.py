@@ -1,6 +1,7 @@
 """The two ways of every size-checked operator give the same result, with a hot group and ties."""
 
 import math
+import os
 import random
 
 import pytest
@@ -186,3 +187,35 @@ def test_fill_sections(spark):
         for i, h in rows:
             last = h or last
             assert got[i] == last
+
+
+def test_release_deletes_only_own_tables(spark):
+    kept = scale._written[:]
+    scale._written.clear()
+    df = scale.materialize(spark.range(3))
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].replace("file:", "").replace("//", "/")
+    assert df.count() == 3 and os.path.isdir(folder)
+    assert scale.release(spark) == 1 and not os.path.isdir(folder)
+    scale._written.extend(kept)
+
+
+def test_cluster_without_shared_folder_is_refused():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        scale.scratch_dir(Session())
+
+
+def test_quantiles_of_concentrated_and_wide_values(spark):
+    rng = random.Random(1)
+    values = [0.0] * 300 + [1e-300, 1e300, -1e300, 1.7e308, -1.7e308] + [rng.gauss(0, 1) * 10 ** rng.randint(-30, 30) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = {"a": 0.01, "b": 0.25, "c": 0.5, "d": 0.77, "e": 0.999}
+    got = quantile_by(df, [], "v", probs, one_task_rows=20).first()
+    for n, p in probs.items():
+        assert got[n] == pytest.approx(_quantile(values, p), rel=1e-9)
