@@ -251,3 +251,12 @@ SELECT g, 'intercept' AS term, round(c0, 4) AS value FROM b20 UNION ALL SELECT g
 def gamma_regression_one_input_by_group(spark, sf):
     _, coefficients = models.fit_gamma_glm_by(_fit_rows(spark, sf), "y", ["a"], "g")
     return coefficients.withColumns(rounded(4, "value"))
+
+
+@query("H-6", f"""
+WITH {PANEL_CTE}, t AS (SELECT CAST(area AS INTEGER) AS g, price / 100000 AS y, n / 100.0::DOUBLE AS a FROM panel),
+{_irls(20, True)}
+SELECT g AS area, 'intercept' AS term, round(c0, 5) AS value FROM b20 UNION ALL SELECT g, 'a', round(c1, 5) FROM b20""")
+def gamma_regression_per_area(spark, sf):
+    rows = panel(spark, sf).select("area", (F.col("price") / 100000).alias("y"), (F.col("n") / 100).alias("a"))
+    return models.fit_gamma_groups(rows, "y", ["a"], "area").withColumns(rounded(5, "value"))

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import StringIndexer, OneHotEncoder, Interaction, VectorAssembler
 from pyspark.ml.regression import (
     GeneralizedLinearRegression, LinearRegression, RandomForestRegressionModel, RandomForestRegressor,
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from areapanel.functions.clean import fill_zero, parse_percent, yes_no
 from areapanel.functions.probability import gamma_params, weighted_sum
-from areapanel.operators.scale import lookup_join
+from areapanel.operators.scale import lookup_join, materialize, materialize_counted
 
 FEATURES = "features"
+# Coefficients of up to this many groups are broadcast in every round of a per-group fit.
+SMALL_GROUPS = 10_000
+# Rounds of a per-group fit in one plan, before its coefficients are written out.
+ROUNDS_AT_ONCE = 4
 
 
 def feature_table(
@@ -114,7 +121,10 @@ def by_group(df: DataFrame, group: str, inputs: Sequence[str]) -> tuple[DataFram
 
 
 def fit_gamma_glm_by(train: DataFrame, target: str, inputs: Sequence[str], group: str, max_iter: int = 50):
-    """One gamma regression with separate coefficients per group; returns the model and a coefficient table."""
+    """One gamma regression with separate coefficients per group; returns the model and a coefficient table.
+
+    For a few hundred groups at most, since the solver holds all coefficients at once; ``fit_gamma_groups`` has no bound.
+    """
     ready, labels = by_group(train.filter(F.col(target) > 0), group, inputs)
     model = GeneralizedLinearRegression(
         family="gamma", link="log", featuresCol=FEATURES, labelCol=target, predictionCol="predicted",
@@ -124,6 +134,63 @@ def fit_gamma_glm_by(train: DataFrame, target: str, inputs: Sequence[str], group
     return model, train.sparkSession.createDataFrame(rows, f"`{group}` string, term string, value double")
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _inverse(gram: pd.Series) -> pd.Series:
+    """Pseudo-inverse of each row's small symmetric matrix, given as its upper triangle by rows."""
+    out = []
+    for g in gram:
+        k = int((np.sqrt(8 * len(g) + 1) - 1) / 2)
+        full = np.zeros((k, k))
+        full[np.triu_indices(k)] = g
+        out.append(np.linalg.pinv(full + np.triu(full, 1).T, hermitian=True).tolist())
+    return pd.Series(out)
+
+
+def fit_gamma_groups(
+    train: DataFrame, target: str, inputs: Sequence[str], group: str, rounds: int = 50, tol: float = 1e-9
+) -> DataFrame:
+    """Gamma regression with log link in every group on its own, for any number of groups: (group, term, value).
+
+    With this family and link all weights of the reweighted least squares are 1, so the products of the inputs are summed
+    and inverted once per group, and a round sums only inputs times working response. The driver sees one number per
+    round, the largest change of a coefficient.
+    """
+    y = F.col(target).cast("double")
+    rows = train.select(group, y.alias("_y"), *[F.col(c).cast("double").alias(c) for c in inputs]).dropna().filter("_y > 0")
+    rows = materialize(rows)
+    x = [F.lit(1.0), *[F.col(c) for c in inputs]]
+    pairs = [x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))]
+    fixed = rows.groupBy(group).agg(
+        F.array(*[F.sum(p) for p in pairs]).alias("_gram"), F.ln(F.avg("_y")).alias("_start"))
+    zeros = [F.lit(0.0)] * len(inputs)
+    fit, groups = materialize_counted(
+        fixed.select(group, _inverse("_gram").alias("_inverse"), F.array("_start", *zeros).alias("_b")))
+    small = groups <= SMALL_GROUPS
+
+    def step(fit: DataFrame) -> DataFrame:
+        # The old fit travels along with the sums, so that a plan of several rounds holds each round once.
+        now = fit.select(group, "_inverse", "_b")
+        joined = rows.join(F.broadcast(now), group) if small else lookup_join(rows, now, [group], "inner", derived=False)
+        eta = weighted_sum(F.array(*x), F.col("_b"))
+        joined = joined.withColumn("_z", eta + F.col("_y") / F.exp(eta) - 1)
+        sums = joined.groupBy(group).agg(
+            F.array(*[F.sum(c * F.col("_z")) for c in x]).alias("_right"),
+            F.first("_inverse").alias("_inverse"), F.first("_b").alias("_old"))
+        solved = sums.withColumn("_b", F.transform("_inverse", lambda row: weighted_sum(row, F.col("_right"))))
+        moved = F.array_max(F.zip_with("_b", "_old", lambda a, b: F.abs(a - b)))
+        return solved.select(group, "_inverse", "_b", moved.alias("_moved"))
+
+    for done in range(0, rounds, ROUNDS_AT_ONCE):
+        for _ in range(min(ROUNDS_AT_ONCE, rounds - done)):
+            fit = step(fit)
+        fit = materialize(fit)
+        if (fit.agg(F.max("_moved")).first()[0] or 0.0) < tol:
+            break
+    names = F.array(F.lit("intercept"), *[F.lit(c) for c in inputs])
+    return fit.select(group, F.explode(F.arrays_zip(names.alias("term"), F.col("_b").alias("value"))).alias("_t")).select(
+        group, "_t.term", "_t.value")
+
+
 def score_increment(
     df: DataFrame, by_outer: DataFrame, by_inner: DataFrame, outer: str, inner: str, inputs: Sequence[str],
     extra: str, previous: str, name: str = "mu",

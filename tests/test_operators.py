@@ -193,6 +193,9 @@ def test_gamma_glm_recovers_coefficients(spark):
     expect = {("p", "intercept"): 1, ("p", "a"): 0.5, ("q", "intercept"): -0.5, ("q", "a"): -0.8}
     for k, v in expect.items():
         assert got[k] == pytest.approx(v, abs=0.05)
+    groups = {(r.g, r.term): r.value for r in models.fit_gamma_groups(df, "y", ["a"], "g").collect()}
+    for k in expect:
+        assert groups[k] == pytest.approx(got[k], abs=1e-6)
     whole = models.fit_gamma_glm(df.filter("g = 'p'"), "y", ["a"])
     assert whole.intercept == pytest.approx(1, abs=0.05)
 
