@@ -71,14 +71,14 @@ def linear_fit(spark, sf):
 
 @query("H-7 H-8", f"""
 WITH {PANEL_CTE}, {AREAS_CTE},
-x AS (SELECT p.area, p.year, a.borough, p.price / 100000 AS prev, p.n / 1000.0::DOUBLE AS x1, p.income / 100000 AS x2, ln(p.n) AS crime FROM panel p JOIN areas a ON a.area = p.area),
+x AS (SELECT p.area, p.year, a.borough, p.price / 100000 AS prev, p.income / 10000 AS x1, p.income / 100000 AS x2, ln(p.n) AS crime FROM panel p JOIN areas a ON a.area = p.area),
 s AS (SELECT *, prev + exp(x1 * (0.1::DOUBLE * borough) + x2 * (0.05::DOUBLE * borough + 0.2::DOUBLE) + (-1.0::DOUBLE - borough / 10.0::DOUBLE) + crime * (0.01::DOUBLE * (area % 5))) AS mu FROM x)
 SELECT area, year, round(mu, 8) AS mu, round(mu * mu / 0.5::DOUBLE, 6) AS alpha, round(mu / 0.5::DOUBLE, 8) AS beta FROM s""")
 def score_increment(spark, sf):
     a = areas(spark, sf)
     x = panel(spark, sf).join(a.select("area", "borough"), "area").select(
         "area", "year", "borough", (F.col("area") % 5).alias("neighborhood"), (F.col("price") / 100000).alias("prev"),
-        (F.col("n") / 1000).alias("x1"), (F.col("income") / 100000).alias("x2"), F.ln("n").alias("crime"))
+        (F.col("income") / 10000).alias("x1"), (F.col("income") / 100000).alias("x2"), F.ln("n").alias("crime"))
     b = F.col("borough")
     outer = a.select("borough").distinct().select(
         "borough", F.array(b * 0.1, b * 0.05 + 0.2).alias("betas"), (F.lit(-1.0) - b / 10).alias("gamma"))
@@ -105,14 +105,15 @@ def score_linear(spark, sf):
 WITH {PANEL_CTE}, {AREAS_CTE},
 d AS (SELECT b.borough, k.draw, 0.001::DOUBLE * (b.borough + k.draw) AS beta, -1.0::DOUBLE - k.draw / 50.0::DOUBLE AS gamma
   FROM (SELECT DISTINCT borough FROM areas) b CROSS JOIN (SELECT unnest(range(100)) AS draw) k),
-s AS (SELECT p.area, p.year, p.price / 100000 + exp(p.n * d.beta + d.gamma) AS mu FROM panel p JOIN areas a ON a.area = p.area JOIN d ON d.borough = a.borough)
+s AS (SELECT p.area, p.year, p.price / 100000 + exp(p.income / 1000 * d.beta + d.gamma) AS mu FROM panel p JOIN areas a ON a.area = p.area JOIN d ON d.borough = a.borough)
 SELECT area, year, round(avg(mu), 8) AS y_mean, round(quantile_cont(mu, 0.05), 8) AS p05, round(quantile_cont(mu, 0.95), 8) AS p95 FROM s GROUP BY 1, 2""")
 def score_over_draws(spark, sf):
     a = areas(spark, sf)
     draws = a.select("borough").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(99)))).select(
         "draw", "borough", F.array((F.col("borough") + F.col("draw")) * 0.001).alias("betas"), (F.lit(-1.0) - F.col("draw") / 50).alias("gamma"))
-    x = panel(spark, sf).join(a.select("area", "borough"), "area").withColumn("prev", F.col("price") / 100000)
-    out = models.score_draws(x, draws, "borough", ["n"], "prev", {"p05": 0.05, "p95": 0.95})
+    x = panel(spark, sf).join(a.select("area", "borough"), "area").withColumns(
+        {"prev": F.col("price") / 100000, "income": F.col("income") / 1000})
+    out = models.score_draws(x, draws, "borough", ["income"], "prev", {"p05": 0.05, "p95": 0.95})
     return out.select("area", "year", "y_mean", "p05", "p95").withColumns(rounded(8, "y_mean", "p05", "p95"))
 
 

@@ -134,10 +134,10 @@ def factor_dictionary(spark, sf):
 
 
 @query("F-13", f"""
-WITH {PANEL_CTE}, s AS (SELECT area, year, 1.0::DOUBLE AS base, n / 1000.0::DOUBLE AS lin FROM panel)
+WITH {PANEL_CTE}, s AS (SELECT area, year, 1.0::DOUBLE AS base, price / 1000000 AS lin FROM panel)
 SELECT area, year, round(base + sum(exp(lin)) {W}, 8) AS mu FROM s""")
 def forecast_roll(spark, sf):
-    s = _short(spark, sf).select("area", "year", F.lit(1.0).alias("base"), F.exp(F.col("n") / 1000).alias("step"))
+    s = panel(spark, sf).select("area", "year", F.lit(1.0).alias("base"), F.exp(F.col("price") / 1000000).alias("step"))
     return ops.forecast_roll(s, "base", "step", "mu").select("area", "year", F.round("mu", 8).alias("mu"))
 
 

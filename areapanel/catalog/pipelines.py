@@ -203,7 +203,7 @@ FEATURES = f"""{PANEL_CTE}, {AREAS_CTE},
 rates AS (SELECT year, (year - 1990) / 500.0::DOUBLE AS rate FROM (SELECT DISTINCT year FROM panel)),
 f AS (SELECT year, coalesce(product(1 + rate) OVER (ORDER BY year ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS factor FROM rates),
 pts AS (SELECT n_nationkey AS area, (n_nationkey * 7 % 25) / 10.0::DOUBLE AS x, (n_nationkey * 11 % 25) / 10.0::DOUBLE AS y FROM nation),
-adj AS (SELECT p.area, p.year, x, y, round(income * factor, 6) AS income_adj, round(price * factor, 6) AS price_adj FROM panel p JOIN f ON f.year = p.year JOIN pts ON pts.area = p.area),
+adj AS (SELECT p.area, p.year, x, y, income * factor AS income_adj, price * factor AS price_adj FROM panel p JOIN f ON f.year = p.year JOIN pts ON pts.area = p.area),
 ed AS (SELECT area, CAST(trim(unnest(string_split(adjacent, ','))) AS INTEGER) AS nbr FROM areas),
 nb AS (SELECT p.area, p.year, round(avg(q.income_adj), 2) AS adjacent_income, round(avg(q.price_adj), 2) AS adjacent_price
   FROM adj p JOIN ed e ON e.area = p.area JOIN adj q ON q.area = e.nbr AND q.year = p.year GROUP BY 1, 2),

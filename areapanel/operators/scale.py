@@ -93,11 +93,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return materialize_measured(df)[0]
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has no more than ``rows`` rows; reads no further than needed to know."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def hot_keys(df: DataFrame, on: Keys, fraction: float = HOT_SAMPLE, rows: int = HOT_ROWS) -> DataFrame:
     """Keys that hold more than about ``rows`` rows of ``df``, from a sample of the key columns.
 
