@@ -25,10 +25,13 @@ def uniform(keys: Sequence[Column], seed: int) -> Column:
 def poisson_value(u: Column, rate: Column) -> Column:
     """Smallest count whose cumulative Poisson probability reaches ``u``.
 
-    Probabilities are summed inside the row; beyond rate + 12 sqrt(rate) + 60 they vanish in double precision.
+    Probabilities are summed inside the row, over the counts within 12 sqrt(rate) + 60 of the rate; outside of these
+    they vanish in double precision.
     """
-    last = F.ceil(rate + F.sqrt(rate) * 12.0 + 60.0).cast("int")
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("below"))
+    reach = F.sqrt(rate) * 12.0 + 60.0
+    first = F.greatest(F.floor(rate - reach), F.lit(0)).cast("bigint")
+    last = F.ceil(rate + reach).cast("bigint")
+    start = F.struct(F.lit(0.0).alias("sum"), first.alias("below"))
 
     def step(acc: Column, k: Column) -> Column:
         p = F.exp(k * F.ln(rate) - rate - ln_gamma(k.cast("double") + 1.0))
@@ -36,7 +39,7 @@ def poisson_value(u: Column, rate: Column) -> Column:
         return F.struct(total.alias("sum"),
                         (acc["below"] + F.when(total < u, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias("below"))
 
-    drawn = F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["below"])
+    drawn = F.aggregate(F.sequence(first, last), start, step, lambda acc: acc["below"])
     return F.when(rate > 0, drawn).when(rate == 0, F.lit(0).cast("bigint"))
 
 

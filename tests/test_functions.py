@@ -118,6 +118,14 @@ def test_gamma_tail_edges(spark):
     assert got[0] == got[1] == 1.0 and got[2] == 0.0 and got[3] is None and got[4] is None and got[5] == 1.0
 
 
+@pytest.mark.parametrize("shape", [0.5, 100.0, 1e4, 1e6])
+def test_gamma_tail_far_out_is_a_number(spark, shape):
+    edge = shape + 30 * math.sqrt(shape) + 200
+    df = spark.createDataFrame([(edge * m,) for m in (0.98, 0.9999, 1.0001, 1.1, 50.0)], "t double")
+    got = [r.p for r in df.select(probability.gamma_tail(F.col("t"), F.lit(shape), F.lit(1.0)).alias("p")).collect()]
+    assert all(0 <= p < 1e-6 for p in got), got
+
+
 def test_gamma_tail_falls_with_threshold(spark):
     df = spark.range(1, 200).select((F.col("id") / 10).alias("t"))
     got = [r.p for r in df.select(probability.gamma_tail(F.col("t"), F.lit(6.0), F.lit(0.8)).alias("p")).collect()]

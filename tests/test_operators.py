@@ -227,9 +227,9 @@ def test_draws_do_not_depend_on_partitions(spark):
 
 
 def test_poisson_edges(spark):
-    df = spark.createDataFrame([(1, 0.0), (2, 2000.0), (3, None)], "area int, lam double")
+    df = spark.createDataFrame([(1, 0.0), (2, 2000.0), (3, None), (4, 1e6)], "area int, lam double")
     got = {r.area: r.n for r in sampling.poisson_draws(df, {"lam": "n"}, ["area"], [2018], 1).collect()}
-    assert got[1] == 0 and 1700 < got[2] < 2300 and got[3] is None
+    assert got[1] == 0 and 1700 < got[2] < 2300 and got[3] is None and 990_000 < got[4] < 1_010_000
 
 
 def test_score_draws_summary(spark):
