@@ -14,6 +14,7 @@ from areapanel.operators.filters import first_versions
 from areapanel.operators.joins import complete_grid, enrich
 from areapanel.operators.panel import by_area
 from areapanel.operators.reshape import keys_of, pivot_counts
+from areapanel.operators.scale import materialize
 
 # Permit types counted, and the format of filing dates.
 JOB_TYPES = ("A1", "A2", "DM", "NB")
@@ -33,7 +34,8 @@ def permit_counts(
     first = first_versions(filings, doc, F.col(kind).isin(list(types)))
     dated = first.select("area", F.col(job).alias("job"), F.col(kind).alias("job_type"), to_year(F.col(filed), fmt).alias("year"))
     jobs = min_by_key(dated.filter(F.col("year").isNotNull()), ["job", "job_type", "area"], "year", "year")
-    counts = count_by(jobs, ["area", "year", "job_type"])
+    # Written out once: the years seen and the grid both start from the counts, not from the filings.
+    counts = materialize(count_by(jobs, ["area", "year", "job_type"]))
     if years is None:
         known = counts.join(areas.select("area").distinct(), "area", "left_semi")
         years = keys_of(known, "year")
