@@ -3,26 +3,44 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import zipfile
 import zlib
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import areapanel
 from areapanel.operators.scale import materialize
 
-__all__ = ["ChunkCache", "table", "texts", "fold", "hash_share", "kth_largest", "materialize"]
+__all__ = ["ChunkCache", "worker_cache", "table", "texts", "fold", "hash_share", "kth_largest", "materialize"]
 
 # Entries a cache of one Python worker may hold; a full cache is emptied, so memory stays bounded.
 CACHE_ENTRIES = 400_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this library to the Python workers, once per session, so that it need not be installed on them."""
+    context, name = spark.sparkContext, "areapanel-code.zip"
+    if name in context._python_includes:
+        return
+    root = Path(areapanel.__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="areapanel-code-"), name)
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, so that no other column can clash; null text is empty text."""
+    ship(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
@@ -58,6 +76,18 @@ class ChunkCache(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
+_shared: dict[str, ChunkCache] = {}
+
+
+def worker_cache(key: str, make: Callable[[str], bytes]) -> ChunkCache:
+    """The worker's cache for the model called ``key``, so that tasks that follow each other share it; two are kept."""
+    if key not in _shared:
+        while len(_shared) > 1:
+            _shared.pop(next(iter(_shared)))
+        _shared[key] = ChunkCache(make)
+    return _shared[key]
+
+
 TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
 
@@ -86,3 +116,18 @@ def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096) -> int | None
                 break
             k -= row["count"]
     return lo
+
+
+def bounded(rows: DataFrame, max_rows: int, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
+    """At most ``max_rows`` of ``rows``, the same ones each time, in the order of a hash of the id."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(max_rows)
+
+
+def with_labels(documents: DataFrame, labels: DataFrame, label: str, max_rows: int, how: str, seed: int = 0) -> DataFrame:
+    """``documents`` (doc_id, text) with a bounded number of labels as int column ``label``.
+
+    At most ``max_rows`` labels with a non-null id and value are taken (12 bytes each), so that they can be broadcast;
+    of labels that repeat an id the largest counts.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
+    return documents.join(F.broadcast(bounded(known, max_rows, seed)), "doc_id", how)
