@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areapanel.llm import exact_dedup, language, near_dedup, packing, quality, token_counts, toxicity
+from areapanel.llm import decontamination, exact_dedup, language, near_dedup, packing, quality, token_counts, toxicity
 from areapanel.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
