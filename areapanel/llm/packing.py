@@ -6,6 +6,9 @@ over tasks of bounded size; what stays open at their end is packed again, as who
 
 from __future__ import annotations
 
+import json
+import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areapanel.llm.common import ChunkCache, materialize, texts
-from areapanel.llm.token_counts import ODD_SPACE
+from areapanel.llm.token_counts import ODD_SPACE, shown_bytes
 
 MAX_TOKENS = 4096
 # Pieces that one task packs.
@@ -26,24 +29,52 @@ SHARD_PIECES = 20_000
 class Encoder:
     """Ids of texts by a word-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    The file's rule ends words at white space and drops it, so chunks between white space are encoded once and
-    remembered; a text with a character that only Python takes for white space goes to the library whole.
+    The file's rule lowers case, drops white space and splits into words, digits and runs of signs, which the library's
+    byte-pair model then encodes each by itself. So chunks between white space are remembered, and so are their pieces.
+    Characters beyond Latin, special tokens and files with other rules go to the library whole.
     """
 
     def __init__(self, path: str):
         import os
 
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.chunks = ChunkCache(self.whole)
+        self.model = self.library.model
+        steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
+        words = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and [w["type"] for w in words] == ["Split", "ByteLevel"] and words[0]["invert"]
+        if self.known:
+            self.split = regex.compile(words[0]["pattern"]["Regex"]).findall
+        self.shown = shown_bytes()
+        self.chunks, self.pieces = ChunkCache(self._chunk), ChunkCache(self._piece)
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isprintable() else "".join(map(self.shown.__getitem__, piece.encode()))
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if "<|" in chunk or not chunk.isascii() and (max(chunk) >= "\u0250" or "\u0130" in chunk):
+            return self.whole(chunk)
+        low = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
+        if low.isalpha():
+            return self.pieces[low]
+        if low[-1] in ".,!" and low[:-1].isalpha():
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        return self.pieces.lookup(self.split(low))
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in ODD_SPACE):
+        if not self.known or any(c in text for c in ODD_SPACE):
             return self.whole(text)
         return self.chunks.lookup(text.split())
 

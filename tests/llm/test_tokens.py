@@ -146,3 +146,10 @@ def test_empty_tables(spark):
     assert token_counts.prefix_counts(empty, BYTE).count() == 0
     assert packing.pack(packing.tokenized_pieces(empty, WORD)).count() == 0
     assert packing.tokenized_pieces(empty.withColumn("n", F.lit(1)), WORD).columns[0] == "doc_id"
+
+
+def test_ids_of_every_latin_character():
+    library, own = Tokenizer.from_file(WORD), packing.encoder(WORD)
+    for c in [chr(n) for n in range(1, 0x2FF)] + ["é", "ñ", "İ", "ß", "ſ", "µ", "ª"]:
+        for text in (f"a{c}b", f"{c}", f"aB{c}, {c}{c}.", f"{c}'s 1{c}2"):
+            assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
