@@ -85,15 +85,14 @@ PANEL_CTE = """panel AS (
 
 
 def wide_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """(area, year, A1, A2, DM, NB, land): four priorities in the role of permit types, on the full grid.
+    """(area, year, A1, A2, DM, NB, land): priorities in the role of permit types; the last two are both NB.
 
     ``land`` is a size of the area, derived from its name.
     """
     from areapanel.operators.aggregates import sums_by_category
 
     counts = category_counts(spark, sf)
-    names = dict(zip(PRIORITIES, ("A1", "A2", "DM", "NB")))
-    mapped = counts.filter(F.col("category").isin(list(names))).replace(names, subset=["category"])
+    mapped = counts.replace(dict(zip(PRIORITIES, ("A1", "A2", "DM", "NB", "NB"))), subset=["category"])
     wide = sums_by_category(mapped, ["area", "year"], "category", "count", ["A1", "A2", "DM", "NB"])
     return wide.join(areas(spark, sf).select("area", "land"), "area")
 
@@ -118,9 +117,9 @@ WIDE_CTE = CATEGORY_CTE + """, wide AS (
          CAST(sum(CASE WHEN category = '1-URGENT' THEN count ELSE 0 END) AS BIGINT) AS A1,
          CAST(sum(CASE WHEN category = '2-HIGH' THEN count ELSE 0 END) AS BIGINT) AS A2,
          CAST(sum(CASE WHEN category = '3-MEDIUM' THEN count ELSE 0 END) AS BIGINT) AS DM,
-         CAST(sum(CASE WHEN category = '4-NOT SPECIFIED' THEN count ELSE 0 END) AS BIGINT) AS NB,
+         CAST(sum(CASE WHEN category IN ('4-NOT SPECIFIED', '5-LOW') THEN count ELSE 0 END) AS BIGINT) AS NB,
          1.0::DOUBLE + c.area / 10.0::DOUBLE AS land
-  FROM counts c WHERE category <> '5-LOW' GROUP BY c.area, c.year)"""
+  FROM counts c GROUP BY c.area, c.year)"""
 
 
 def rounded(digits: int, *cols: str) -> dict:

@@ -134,7 +134,7 @@ def gamma_tail_probability(spark, sf):
 def gamma_draws(spark, sf):
     g = panel(spark, sf).select("area", "year", (F.col("price") / 100000).alias("mu"))
     a, b = gamma_params(F.col("mu"), F.lit(0.05))
-    draws = sampling.gamma_draws(g.withColumns({"a": a, "b": b}), ["area", "year"], "a", "b", 10_000, seed=11)
+    draws = sampling.gamma_draws(g.withColumns({"a": a, "b": b}), ["area", "year"], "a", "b", 100_000, seed=11)
     return draws.groupBy("area", "year").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("draw"), 6).alias("mean"), F.round(F.var_samp("draw"), 6).alias("variance"))
 
@@ -218,8 +218,7 @@ def gamma_regression(spark, sf):
 
 @query("H-6")
 def gamma_regression_by_group(spark, sf):
-    _, table_ = models.fit_gamma_glm_by(_fit_rows(spark, sf), "y", ["a", "b"], "g")
-    return table_.withColumns(rounded(5, "value"))
+    return models.fit_gamma_groups(_fit_rows(spark, sf), "y", ["a", "b"], "g").drop("converged").withColumns(rounded(5, "value"))
 
 
 def _irls(rounds: int, by: bool) -> str:
@@ -250,8 +249,7 @@ def gamma_regression_one_input(spark, sf):
 WITH {ONE_INPUT}, {_irls(20, True)}
 SELECT g, 'intercept' AS term, round(c0, 4) AS value FROM b20 UNION ALL SELECT g, 'a', round(c1, 4) FROM b20""")
 def gamma_regression_one_input_by_group(spark, sf):
-    _, coefficients = models.fit_gamma_glm_by(_fit_rows(spark, sf), "y", ["a"], "g")
-    return coefficients.withColumns(rounded(4, "value"))
+    return models.fit_gamma_groups(_fit_rows(spark, sf), "y", ["a"], "g").drop("converged").withColumns(rounded(4, "value"))
 
 
 @query("H-6", f"""
@@ -260,4 +258,4 @@ WITH {PANEL_CTE}, t AS (SELECT CAST(area AS INTEGER) AS g, price / 100000 AS y,
 SELECT g AS area, 'intercept' AS term, round(c0, 5) AS value FROM b20 UNION ALL SELECT g, 'a', round(c1, 5) FROM b20""")
 def gamma_regression_per_area(spark, sf):
     rows = panel(spark, sf).select("area", (F.col("price") / 100000).alias("y"), (F.col("n") / 100).alias("a"))
-    return models.fit_gamma_groups(rows, "y", ["a"], "area").withColumns(rounded(5, "value"))
+    return models.fit_gamma_groups(rows, "y", ["a"], "area").drop("converged").withColumns(rounded(5, "value"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from areapanel.catalog.aggregates import MONTHLY, monthly
 from areapanel.catalog.base import (
-    AREAS_CTE, PANEL_CTE, WIDE_CTE, areas, panel, query, rounded, table, wide_counts,
+    AREAS_CTE, PANEL_CTE, WIDE_CTE, YEARS, areas, panel, query, rounded, table, wide_counts,
 )
 from areapanel.operators.panel import deflator, growth_overall, rank_areas
 from areapanel.operators.reshape import top_k
@@ -19,24 +19,24 @@ from areapanel.plans import crimes, features, forecast, permits, prices, shops
 @query("D-7 F-4 F-15 G-3 D-9 E-1", f"""
 WITH {PANEL_CTE}, {AREAS_CTE},
 counts AS (SELECT c_nationkey AS area, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-grid AS (SELECT a.area, y.year, coalesce(c.n, 0) AS n FROM areas a CROSS JOIN (SELECT unnest([1996, 1997, 1998, 1999, 2000]) AS year) y
+grid AS (SELECT a.area, y.year, coalesce(c.n, 0) AS n FROM areas a CROSS JOIN (SELECT unnest([1995, 1996, 1997, 1998, 1999, 2000, 2001]) AS year) y
   LEFT JOIN counts c ON c.area = a.area AND c.year = y.year),
 gr AS (SELECT area, (1 - arg_min(n, year) / nullif(arg_max(n, year), 0)::DOUBLE) / (max(year) - min(year)) AS growth FROM grid GROUP BY 1),
 ed AS (SELECT area, CAST(trim(unnest(string_split(adjacent, ','))) AS INTEGER) AS nbr FROM areas),
-nb AS (SELECT e.area, round_even(avg(n), 2) AS adjacent_n FROM ed e JOIN grid g ON g.area = e.nbr AND g.year = 2000 GROUP BY 1)
+nb AS (SELECT e.area, round_even(avg(n), 2) AS adjacent_n FROM ed e JOIN grid g ON g.area = e.nbr AND g.year = 2001 GROUP BY 1)
 SELECT a.area, name, round(growth, 10) AS growth, g.n, adjacent_n, row_number() OVER (ORDER BY round(growth, 10) DESC, a.area) AS rank
-FROM areas a JOIN gr ON gr.area = a.area JOIN grid g ON g.area = a.area AND g.year = 2000 LEFT JOIN nb ON nb.area = a.area
+FROM areas a JOIN gr ON gr.area = a.area JOIN grid g ON g.area = a.area AND g.year = 2001 LEFT JOIN nb ON nb.area = a.area
 WHERE growth IS NOT NULL ORDER BY rank LIMIT 10""")
 def growth_ranking(spark, sf):
-    """The ten areas whose order counts grew fastest over five years, next to their neighbours' average."""
+    """The ten areas whose order counts grew fastest over all years, next to their neighbours' average."""
     from areapanel.operators.joins import complete_grid, neighbor_avg
 
     known = areas(spark, sf)
     counts = panel(spark, sf).select("area", "year", F.col("n").alias("count"))
-    grid = materialize(complete_grid(counts, known, {"year": range(1996, 2001)}).withColumnRenamed("count", "n"))
+    grid = materialize(complete_grid(counts, known, {"year": YEARS}).withColumnRenamed("count", "n"))
     growth = growth_overall(grid, "n", "growth").withColumns(rounded(10, "growth"))
-    near = neighbor_avg(grid, known, {"n": "adjacent_n"}).filter("year = 2000")
-    rows = known.select("area", "name").join(growth, "area").join(near.drop("year"), "area").withColumn("year", F.lit(2000))
+    near = neighbor_avg(grid, known, {"n": "adjacent_n"}).filter("year = 2001")
+    rows = known.select("area", "name").join(growth, "area").join(near.drop("year"), "area").withColumn("year", F.lit(2001))
     ranked = rank_areas(rows, "growth").select("area", "name", "growth", "n", "adjacent_n", "rank")
     return top_k(ranked, [F.col("rank")], 10)
 
@@ -143,20 +143,20 @@ def _firsts(spark, sf):
 
 
 def _shop_sql(op: str, extra: str = "") -> str:
-    cols = ", ".join(f'CAST(sum(CASE WHEN year {op} {y} THEN 1 ELSE 0 END) AS BIGINT) AS "{y}"' for y in (1995, 1996, 1997))
+    cols = ", ".join(f'CAST(sum(CASE WHEN year {op} {y} THEN 1 ELSE 0 END) AS BIGINT) AS "{y}"' for y in YEARS)
     if op == "<=":
-        cols = cols.replace("year <=", "year IN (1995, 1996, 1997) AND year <=")
+        cols = cols.replace("year <=", f"year IN {YEARS} AND year <=")
     return f"WITH {SHOPS} SELECT area, {cols} FROM firsts WHERE cuisine = '2-HIGH' {extra} GROUP BY 1"
 
 
 @query("I-9 F-11 E-4 E-25 F-6 C-4", _shop_sql("<="))
 def shops_cumulative(spark, sf):
-    return shops.shop_counts(_firsts(spark, sf), (1995, 1996, 1997), cuisine="2-HIGH")
+    return shops.shop_counts(_firsts(spark, sf), YEARS, cuisine="2-HIGH")
 
 
 @query("I-9 E-25", _shop_sql("=", "AND inspection = 'O'"))
 def shops_opened(spark, sf):
-    return shops.shop_counts(_firsts(spark, sf), (1995, 1996, 1997), cuisine="2-HIGH", opening="O", cumulative=False)
+    return shops.shop_counts(_firsts(spark, sf), YEARS, cuisine="2-HIGH", opening="O", cumulative=False)
 
 
 @query("I-9 F-6", f"""
@@ -168,7 +168,7 @@ def shops_by_year(spark, sf):
 
 # --- prices -------------------------------------------------------------------------------------------------------
 
-MONTHS = [f"{y}-{m:02d}" for y in (1998, 1999) for m in range(1, 13)]
+MONTHS = [f"{y}-{m:02d}" for y in YEARS for m in range(1, 13)]
 
 
 def _wide_prices(spark, sf):
@@ -284,22 +284,32 @@ g AS (SELECT area, year, n::DOUBLE AS v, 1 - lag(n) {W} / n::DOUBLE AS g FROM pa
 o AS (SELECT area, (1 - arg_min(n, year) / arg_max(n, year)::DOUBLE) / (max(year) - min(year)) AS o FROM panel GROUP BY 1 HAVING max(year) > min(year)),
 path AS (SELECT g.area, CAST(g.year + 1 AS INTEGER) AS year, round_even(g * v + v, 0) AS r, round_even(o * v + v, 0) AS a, g, o, 1 AS i
     FROM g JOIN o ON o.area = g.area WHERE g.year = 2000 AND g IS NOT NULL
-  UNION ALL SELECT area, year + 1, round_even(g * r + r, 0), round_even(o * a + a, 0), g, o, i + 1 FROM path WHERE i < 8)"""
+  UNION ALL SELECT area, year + 1, round_even(g * r + r, 0), round_even(o * a + a, 0), g, o, i + 1 FROM path WHERE i < 9)"""
 
 
 @query("F-3 F-4 F-14 H-16", f"""
-WITH RECURSIVE {CRIME_FORECAST} SELECT area, CAST(year + 1 AS INTEGER) AS year, r AS count_recent, a AS count_overall FROM path""")
+WITH RECURSIVE {CRIME_FORECAST} SELECT area, year, r AS count_recent, a AS count_overall FROM path WHERE year >= 2002""")
 def crime_forecast(spark, sf):
     crime = panel(spark, sf).select("area", "year", F.col("n").alias("crime_count"))
     return forecast.crime_forecast(crime, 2000, 8)
 
 
+@query("F-14 H-16", f"""
+WITH RECURSIVE {CRIME_FORECAST}
+SELECT area, year, round(ln(nullif(r, 0) / (1 + area / 10.0::DOUBLE)), 8) AS log_recent, round(ln(nullif(a, 0) / (1 + area / 10.0::DOUBLE)), 8) AS log_overall
+FROM path WHERE year >= 2002""")
+def crime_density_forecast(spark, sf):
+    crime = panel(spark, sf).select("area", "year", F.col("n").alias("crime_count"))
+    ahead = forecast.crime_densities(forecast.crime_forecast(crime, 2000, 8), areas(spark, sf).select("area", "land"))
+    return ahead.select("area", "year", F.round("log_recent", 8).alias("log_recent"), F.round("log_overall", 8).alias("log_overall"))
+
+
 @query("H-14 H-16 D-10", f"""
 WITH RECURSIVE {CRIME_FORECAST},
 static AS (SELECT n_nationkey AS area, n_regionkey AS borough FROM nation),
 pw AS (SELECT area, year, n AS A1, lag(n) {W} AS prev FROM panel)
-SELECT s.area, p.year + 1 AS year, s.borough, round(ln(q.n + 1.001), 8) AS a1_lag1, p.a AS count_overall
-FROM static s JOIN path p ON p.area = s.area JOIN panel q ON q.area = s.area AND q.year = p.year - 5 WHERE p.year + 1 BETWEEN 2002 AND 2006""")
+SELECT s.area, p.year, s.borough, round(ln(q.n + 1.001), 8) AS a1_lag1, p.a AS count_overall
+FROM static s JOIN path p ON p.area = s.area JOIN panel q ON q.area = s.area AND q.year = p.year - 6 WHERE p.year BETWEEN 2002 AND 2006""")
 def forecast_frame(spark, sf):
     crime = panel(spark, sf).select("area", "year", F.col("n").alias("crime_count"))
     static = areas(spark, sf).select("area", "borough")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sentences shown next to an area.
+# Sentences shown next to an area, in words of our own.
 PAST_TEXT = "Prediction only applicable for years after 2015"
 HIGH_TEXT = "Not eligible: above average house value and/or income"
 LOW_INCREASE_TEXT = "Not eligible: house value did not increase enough"

@@ -37,9 +37,13 @@ def min_by_key(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataF
 
 
 def earliest(df: DataFrame, entity: str, day: str) -> DataFrame:
-    """The rows of each entity on its first day, all of them if there are several."""
-    first = df.dropna("any", subset=[entity]).groupBy(entity).agg(F.min(day).alias("_first"))
-    return lookup_join(df, first, [entity], "inner").filter(F.col(day) == F.col("_first")).drop("_first")
+    """The rows of each entity on its first day, all of them if there are several.
+
+    A rank that is compared with a constant lets Spark leave out later days before the shuffle.
+    """
+    w = Window.partitionBy(entity).orderBy(day)
+    known = df.filter(F.col(entity).isNotNull() & F.col(day).isNotNull())
+    return known.withColumn("_rank", F.rank().over(w)).filter("_rank = 1").drop("_rank")
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -88,7 +92,7 @@ def metrics(df: DataFrame, actual: str, predicted: str, span: tuple[Column, Colu
     """MSE, MAPE in percent, R2 and range-scaled bias, one row.
 
     ``span`` is (max, min) of the target when it covers more rows than ``df``, such as train and test together.
-    Total variation comes from moments, so one pass is enough.
+    Total variation comes from moments, so one pass is enough. NaN counts as missing; what would be divided by zero is NULL.
     """
     y, p = F.col(actual), F.col(predicted)
     hi, lo = span or (F.max(y), F.min(y))
@@ -96,10 +100,10 @@ def metrics(df: DataFrame, actual: str, predicted: str, span: tuple[Column, Colu
     sse = F.sum((y - p) * (y - p))
     return df.dropna("any", subset=[actual, predicted]).agg(
         n.alias("n"),
-        (sse / n).alias("mse"),
+        F.try_divide(sse, n).alias("mse"),
         (F.avg(F.abs(F.try_divide(y - p, y))) * 100).alias("mape"),
         (F.lit(1.0) - F.try_divide(sse, F.var_pop(y) * n)).alias("r2"),
-        (F.lit(1.0) - F.abs(F.avg(p - y)) / (hi - lo)).alias("performance"),
+        (F.lit(1.0) - F.try_divide(F.abs(F.avg(p - y)), hi - lo)).alias("performance"),
     )
 
 

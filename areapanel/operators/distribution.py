@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areapanel.operators.scale import ONE_TASK_ROWS, lookup_join, materialize
@@ -13,6 +13,8 @@ from areapanel.operators.scale import ONE_TASK_ROWS, lookup_join, materialize
 # Bins per interval and most rounds of the search for a quantile; after the last the rows left are counted by value.
 BINS = 4096
 MAX_ROUNDS = 40
+# Stands for an infinite value while quantiles are sought.
+LARGEST = 1.7976931348623157e308
 
 
 def quantile_by(
@@ -22,7 +24,8 @@ def quantile_by(
     """Quantiles with linear interpolation per group, one column per entry of ``probs``.
 
     The rows are counted first, with their range. Few rows go through ``percentile``. Many are not sorted and not
-    shuffled: see ``_narrow``. Missing values are left out; a group without any value has no row.
+    shuffled: see ``_narrow``. Missing values (NULL and NaN) are left out; a group without any value has no row.
+    Infinite values are the smallest and largest there are.
     """
     key = F.struct(*by) if by else F.lit(0)
     v = F.col(value).cast("double")
@@ -32,14 +35,26 @@ def quantile_by(
         found = df.groupBy("_key").agg(*[F.percentile_approx("_v", p).alias(n) for n, p in probs.items()])
         return found.select(*groups, *probs)
     limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
+    # Infinite values take part as the largest finite number, which has a width that can be halved.
+    up, down = F.col("_v") == float("inf"), F.col("_v") == float("-inf")
+    df = df.select("_key", F.when(up, LARGEST).when(down, -LARGEST).otherwise(F.col("_v")).alias("_v"), up.cast("int").alias("_u"), down.cast("int").alias("_d"))
     stats = materialize(df.groupBy("_key").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+        F.count(F.lit(1)).alias("_n"), F.sum("_u").alias("_up"), F.sum("_d").alias("_down"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    df = df.select("_key", "_v")
     total = stats.agg(F.sum("_n")).first()[0] or 0
     if total <= limit:
         places = F.array(*[F.lit(float(p)) for p in probs.values()])
         found = df.groupBy("_key").agg(F.percentile("_v", places).alias("_q"))
-        return found.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-    return _narrow(df, stats, probs, limit).select(*groups, *probs)
+        found = found.select("_key", *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+    else:
+        found = _narrow(df, stats, probs, limit)
+    return found.join(stats, "_key").select(*groups, *[_infinite(F.col(n), p).alias(n) for n, p in probs.items()])
+
+
+def _infinite(q: Column, p: float) -> Column:
+    """Infinite where the row at the wanted place, or one of the two beside it, is."""
+    place = (F.col("_n") - 1) * F.lit(float(p))
+    return F.when(F.ceil(place) >= F.col("_n") - F.col("_up"), float("inf")).when(F.floor(place) < F.col("_down"), float("-inf")).otherwise(q)
 
 
 def _narrow(df: DataFrame, stats: DataFrame, probs: dict[str, float], limit: int) -> DataFrame:
@@ -113,10 +128,15 @@ def _attach(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     return left.join(renamed, match, "left").drop(*[f"_r_{c}" for c in by])
 
 
+def present(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is neither NULL nor NaN."""
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+
+
 def describe_by(df: DataFrame, by: Sequence[str], value: str, **kw) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles, max."""
-    v = F.col(value)
-    moments = df.filter(v.isNotNull()).groupBy(*by).agg(
+    """count, mean, sample deviation, min, quartiles, max; NULL and NaN are missing values."""
+    df, v = present(df, value), F.col(value)
+    moments = df.groupBy(*by).agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"),
     )
@@ -136,7 +156,7 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str, **kw) -> DataFrame:
     """Quartiles, whiskers (outermost values within 1.5 quartile distances) and number of outliers per group."""
     v = F.col(value)
     fences = _fences(df, by, value, **kw)
-    rows = lookup_join(df.filter(v.isNotNull()).select(*by, value), fences, list(by), "inner", derived=False)
+    rows = lookup_join(present(df, value).select(*by, value), fences, list(by), "inner", derived=False)
     inside = v.between(F.col("low_fence"), F.col("high_fence"))
     return rows.groupBy(*by).agg(
         F.first("q25").alias("q25"), F.first("q50").alias("q50"), F.first("q75").alias("q75"),
@@ -149,18 +169,21 @@ def box_outliers(df: DataFrame, by: Sequence[str], value: str, **kw) -> DataFram
     """The rows outside their group's fences."""
     v = F.col(value)
     fences = _fences(df, by, value, **kw)
-    rows = lookup_join(df, fences, list(by), "inner", derived=False)
+    rows = lookup_join(present(df, value), fences, list(by), "inner", derived=False)
     return rows.filter((v < F.col("low_fence")) | (v > F.col("high_fence"))).select(*df.columns)
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per equal-width bin (0-based) over the range of all values, per group; empty bins have no row.
+    """Rows per equal-width bin (0-based) over the range of all finite values, per group; empty bins have no row.
 
-    The range is one row, read as a scalar; the largest value belongs to the last bin.
+    The range is one row, read as a scalar; the largest value belongs to the last bin. Missing values are in no bin,
+    infinite ones in the first and last.
     """
     v = F.col(value).cast("double")
-    df = df.filter(v.isNotNull()).select(*by, v.alias("_v"))
-    span = materialize(df.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")))
+    df = present(df, value).select(*by, v.alias("_v"))
+    finite = F.when(F.abs("_v") != float("inf"), F.col("_v"))
+    span = materialize(df.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi")))
+    df = df.withColumn("_v", F.greatest(F.least("_v", span.select("hi").scalar()), span.select("lo").scalar()))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     place = F.floor(F.try_divide((F.col("_v") - lo) * bins, hi - lo))
     bin_ = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int")
@@ -185,7 +208,7 @@ def kde(df: DataFrame, by: Sequence[str], value: str, points: int = 512, cut: fl
         *by, F.col("_bw").alias("bw"), F.col("count").alias("_n"), (F.col("min") - F.col("_bw") * cut).alias("_lo"),
         ((F.col("max") - F.col("min") + F.col("_bw") * (2 * cut)) / (points - 1)).alias("_step"),
     ))
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    rows = present(df, value).select(*by, F.col(value).cast("double").alias("_v"))
     rows = lookup_join(rows, stats, list(by), "inner", derived=False) if by else rows.withColumns(
         {c: stats.select(c).scalar() for c in stats.columns})
     at = (F.col("_v") - F.col("_lo")) / F.col("_step")

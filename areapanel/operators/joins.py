@@ -86,20 +86,26 @@ def cross_years(df: DataFrame, years: Sequence[int], year: str = "year") -> Data
 
 
 def complete_grid(
-    counts: DataFrame, areas: DataFrame, dims: Mapping[str, Sequence], value: str = "count", area: str = "area"
+    counts: DataFrame, areas: DataFrame, dims: Mapping[str, Sequence | DataFrame], value: str = "count", area: str = "area"
 ) -> DataFrame:
     """Every (area, dims...) combination, with 0 where ``counts`` has no row.
 
-    Zero rows are made by exploding the short lists ``dims`` per distinct area, unioned below the counts, and
-    summed by key: one shuffle, with the rows combined before it, and no join.
+    Zero rows are made by exploding the lists ``dims`` per distinct area, unioned below the counts, and summed by key: one
+    shuffle, with the rows combined before it, and no join. A dimension may be a frame: its distinct values of that
+    column are then the list, as a scalar that never reaches the driver.
     """
     kind = counts.schema[value].dataType
     zeros = areas.select(area).dropna().distinct()
     for name, values in dims.items():
-        typed = F.array(*[F.lit(v) for v in values]).cast(f"array<{counts.schema[name].dataType.simpleString()}>")
+        if isinstance(values, DataFrame):
+            typed = values.agg(F.collect_set(name)).scalar()
+        else:
+            typed = F.array(*[F.lit(v) for v in values])
+        typed = typed.cast(f"array<{counts.schema[name].dataType.simpleString()}>")
         zeros = zeros.withColumn(name, F.explode(typed))
     keys = [area, *dims]
-    inside = [F.col(name).isin(list(values)) for name, values in dims.items()]
+    inside = [F.col(name).isNotNull() if isinstance(values, DataFrame) else F.col(name).isin(list(values))
+              for name, values in dims.items()]
     kept = counts.join(areas.select(area).distinct(), area, "left_semi")
     for test in inside:
         kept = kept.filter(test)

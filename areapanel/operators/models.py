@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StringIndexer, OneHotEncoder, Interaction, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     GeneralizedLinearRegression, LinearRegression, RandomForestRegressionModel, RandomForestRegressor,
 )
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from areapanel.functions.clean import fill_zero, parse_percent, yes_no
 from areapanel.functions.probability import gamma_params, weighted_sum
-from areapanel.operators.scale import lookup_join, materialize, materialize_counted
+from areapanel.operators.scale import BROADCAST_BYTES, lookup_join, materialize, materialize_counted
 
 FEATURES = "features"
 # Coefficients of up to this many groups are broadcast in every round of a per-group fit.
@@ -104,36 +104,6 @@ def fit_gamma_glm(train: DataFrame, target: str, inputs: Sequence[str], max_iter
     ).fit(assemble(train.filter(F.col(target) > 0), inputs))
 
 
-def by_group(df: DataFrame, group: str, inputs: Sequence[str]) -> tuple[DataFrame, list]:
-    """Give every group its own intercept and slopes: one-hot group times (1, inputs).
-
-    Returns the frame with its vector column, and the (group, term) pair of each vector entry.
-    """
-    indexer = StringIndexer(inputCol=group, outputCol="_g", stringOrderType="alphabetAsc", handleInvalid="skip")
-    indexed = indexer.fit(df)
-    names = list(indexed.labels)
-    coded = indexed.transform(df).withColumn("_one", F.lit(1.0))
-    hot = OneHotEncoder(inputCol="_g", outputCol="_hot", dropLast=False).fit(coded).transform(coded)
-    terms = ["intercept", *inputs]
-    packed = VectorAssembler(inputCols=["_one", *inputs], outputCol="_x", handleInvalid="skip").transform(hot)
-    crossed = Interaction(inputCols=["_hot", "_x"], outputCol=FEATURES).transform(packed)
-    return crossed.drop("_g", "_one", "_hot", "_x"), [(g, t) for g in names for t in terms]
-
-
-def fit_gamma_glm_by(train: DataFrame, target: str, inputs: Sequence[str], group: str, max_iter: int = 50):
-    """One gamma regression with separate coefficients per group; returns the model and a coefficient table.
-
-    For a few hundred groups at most, since the solver holds all coefficients at once; ``fit_gamma_groups`` has no bound.
-    """
-    ready, labels = by_group(train.filter(F.col(target) > 0), group, inputs)
-    model = GeneralizedLinearRegression(
-        family="gamma", link="log", featuresCol=FEATURES, labelCol=target, predictionCol="predicted",
-        fitIntercept=False, maxIter=max_iter, tol=1e-9,
-    ).fit(ready)
-    rows = [(str(g), t, float(v)) for (g, t), v in zip(labels, model.coefficients.toArray())]
-    return model, train.sparkSession.createDataFrame(rows, f"`{group}` string, term string, value double")
-
-
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def _inverse(gram: pd.Series) -> pd.Series:
     """Pseudo-inverse of each row's small symmetric matrix, given as its upper triangle by rows."""
@@ -149,7 +119,10 @@ def _inverse(gram: pd.Series) -> pd.Series:
 def fit_gamma_groups(
     train: DataFrame, target: str, inputs: Sequence[str], group: str, rounds: int = 50, tol: float = 1e-9
 ) -> DataFrame:
-    """Gamma regression with log link in every group on its own, for any number of groups: (group, term, value).
+    """Gamma regression with log link in every group on its own, for any number of groups: (group, term, value,
+    converged).
+
+    ``converged`` tells whether the group's last round moved no coefficient by ``tol`` or more.
 
     With this family and link all weights of the reweighted least squares are 1, so the products of the inputs are summed
     and inverted once per group, and a round sums only inputs times working response. The driver sees one number per
@@ -165,7 +138,8 @@ def fit_gamma_groups(
     zeros = [F.lit(0.0)] * len(inputs)
     fit, groups = materialize_counted(
         fixed.select(group, _inverse("_gram").alias("_inverse"), F.array("_start", *zeros).alias("_b")))
-    small = groups <= SMALL_GROUPS
+    # A group travels as an inverse of k * k and two rows of k numbers.
+    small = groups <= SMALL_GROUPS and groups * 8 * (len(x) ** 2 + 2 * len(x)) <= BROADCAST_BYTES
 
     def step(fit: DataFrame) -> DataFrame:
         # The old fit travels along with the sums, so that a plan of several rounds holds each round once.
@@ -187,8 +161,9 @@ def fit_gamma_groups(
         if (fit.agg(F.max("_moved")).first()[0] or 0.0) < tol:
             break
     names = F.array(F.lit("intercept"), *[F.lit(c) for c in inputs])
-    return fit.select(group, F.explode(F.arrays_zip(names.alias("term"), F.col("_b").alias("value"))).alias("_t")).select(
-        group, "_t.term", "_t.value")
+    calm = F.coalesce(F.col("_moved") < tol, F.lit(False)).alias("converged")
+    return fit.select(group, calm, F.explode(F.arrays_zip(names.alias("term"), F.col("_b").alias("value"))).alias("_t")).select(
+        group, "_t.term", "_t.value", "converged")
 
 
 def score_increment(

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from areapanel.operators.scale import lookup_join, materialize, number_rows
 
-# A pivot or grid dimension that is collected must stay below this many values.
-MAX_DIMENSION = 1_000
 # Hexadecimal digits of a hash by which hashes are counted: at most 16^5 counters.
 PREFIX = 5
 
@@ -48,14 +46,6 @@ def distinct_on(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
-def keys_of(df: DataFrame, col: str, limit: int = MAX_DIMENSION) -> list:
-    """Sorted distinct values of a short dimension on the driver; refuses a long one."""
-    rows = df.select(col).dropna().distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} values and cannot be a dimension")
-    return sorted(r[0] for r in rows)
-
-
 def explode_list(df: DataFrame, col: str, name: str, sep: str = ",") -> DataFrame:
     """One row per item of a separated list."""
     from areapanel.functions.clean import split_words
@@ -128,9 +118,10 @@ def split_by_share(
 
     Rows are ordered by a hash of seed and unique key, and split by comparison with the hash at the cut. To find it,
     hashes are counted by their first ``PREFIX`` digits (a table of fixed size), and only those that share the cut's
-    prefix, about one in a million, are put in order. Nothing else is sorted or shuffled.
+    prefix, about one in a million, are put in order. Nothing else is sorted or shuffled. A missing key is a key like others;
+    rows with equal keys stay together, so keys that repeat may take the shares a little off.
     """
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).isNull().cast("string"), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     hashes = df.select(mark.alias("_h")).withColumn("_p", F.substring("_h", 1, PREFIX))
     counts = materialize(hashes.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")))
     n = counts.agg(F.sum("_n")).first()[0] or 0

@@ -66,8 +66,8 @@ def gamma_draws(
     """
     chunks = (n + CHUNK - 1) // CHUNK
     work = df.select(
-        *keys, F.col(shape).cast("double").alias("w_shape"), F.col(rate).cast("double").alias("w_rate"),
-        F.xxhash64(*keys).alias("w_code"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("w_chunk"),
+        *[F.col(f"`{k}`") for k in keys], F.col(shape).cast("double").alias("w_shape"), F.col(rate).cast("double").alias("w_rate"),
+        F.xxhash64(*[F.col(f"`{k}`") for k in keys]).alias("w_code"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("w_chunk"),
     ).filter("w_shape > 0 AND w_rate > 0")
     # A chunk is a small row that becomes a large batch, so chunks are spread over all tasks before they grow.
     work = work.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w_code", "w_chunk")
@@ -76,13 +76,13 @@ def gamma_draws(
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                first = row.w_chunk * CHUNK
+            for *key, shape_, rate_, code, chunk in batch.itertuples(index=False, name=None):
+                first = chunk * CHUNK
                 size = min(CHUNK, n - first)
-                generator = np.random.default_rng([seed, row.w_code % (1 << 63), row.w_chunk])
-                made = {k: [getattr(row, k)] * size for k in keys}
+                generator = np.random.default_rng([seed, code % (1 << 63), chunk])
+                made = {k: [v] * size for k, v in zip(keys, key)}
                 made["draw_no"] = np.arange(first + 1, first + size + 1)
-                made[name] = generator.gamma(row.w_shape, 1.0 / row.w_rate, size)
+                made[name] = generator.gamma(shape_, 1.0 / rate_, size)
                 yield pd.DataFrame(made)
 
     return work.mapInPandas(draw, out)

@@ -38,7 +38,8 @@ def scratch_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="areapanel-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -46,14 +47,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """Rough size of a row: the length of its texts, 16 bytes per array or map item, 8 for everything else."""
+    """Rough size of a row: the length of its texts and of the text form of nested values, 8 for everything else."""
     size = F.lit(0)
     for field in df.schema:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.StringType):
             size = size + F.coalesce(F.octet_length(c), F.lit(0))
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
-            size = size + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+        elif isinstance(field.dataType, T.BinaryType):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        elif not isinstance(field.dataType, T.AtomicType):  # such as vectors, whose text is longer than their numbers
+            size = size + F.coalesce(F.octet_length(c.cast("string")), F.lit(0))
         else:
             size = size + F.lit(8)
     return size
@@ -108,13 +113,14 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join that keeps ``left``'s rows and spreads the ``hot`` keys (all keys if None) over ``salts`` tasks.
 
-    A left row of a hot key draws a salt from its content and partition, so that copies of one row spread as well;
+    A left row of a hot key draws a salt from its key and place, so that copies of one row spread as well;
     a right row of a hot key is copied once per salt. Every pair of matching rows meets exactly once. Left rows with a
     missing key match nothing and are spread too. ``hot`` must be short: it is broadcast.
     """
     on = list(on)
     salts = salts or max(SALTS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.spark_partition_id()), F.lit(salts)).cast("int")
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in on], F.spark_partition_id(), F.monotonically_increasing_id())
+    drawn = F.pmod(own, F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     if hot is None:
         salted_left = left.withColumn("_salt", drawn)
@@ -221,9 +227,10 @@ def running_sum(
     group = [*part, "_slice"]
     tally = placed.groupBy(*group).agg(F.sum(value).alias("_n"))
     before = _window(part).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    tally = tally.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    tally = tally.select(*group, F.sum("_n").over(before).alias("_before"))  # NULL while no row had a value
     local = placed.withColumn(
         name, F.sum(value).over(Window.partitionBy(*group).orderBy("_place").rowsBetween(*upto))
     )
     joined = _null_safe_lookup(local, tally, part)
-    return joined.withColumn(name, F.col("_before") + F.col(name)).drop("_slice", "_place", "_before")
+    both = F.coalesce(F.col("_before") + F.col(name), F.col("_before"), F.col(name))
+    return joined.withColumn(name, both).drop("_slice", "_place", "_before")

@@ -62,13 +62,20 @@ def model_frame(training: DataFrame, recent: DataFrame) -> DataFrame:
 def crime_forecast(crime: DataFrame, last: int, steps: int) -> DataFrame:
     """Counts carried forward from year ``last`` at the last year's growth and at the average growth.
 
-    Result rows start at ``last`` + 2: each forecast is an input of the following year.
+    ``steps`` rows for each area, from year ``last`` + 2 on, because each forecast is an input of the following year. The
+    count of year ``last`` + n has grown n times.
     """
     recent = growth_back(crime.filter(F.col("year").isin(last - 1, last)), "crime_count", "growth")
     overall = growth_overall(crime, "crime_count", "overall_growth")
     start = recent.filter((F.col("year") == last) & F.col("growth").isNotNull()).join(overall, "area")
-    paths = compound_forecast(start, "crime_count", {"growth": "count_recent", "overall_growth": "count_overall"}, steps)
-    return shift_year(paths, 1).select("area", "year", "count_recent", "count_overall")
+    paths = compound_forecast(start, "crime_count", {"growth": "count_recent", "overall_growth": "count_overall"}, steps + 1)
+    return paths.filter(F.col("year") >= last + 2).select("area", "year", "count_recent", "count_overall")
+
+
+def crime_densities(ahead: DataFrame, land: DataFrame) -> DataFrame:
+    """(area, year, log_recent, log_overall): the logarithms of forecast counts per square mile; areas without a size drop out."""
+    joined = ahead.join(land.select("area", "land").distinct(), "area")
+    return joined.select("area", "year", *[safe_log(per_unit(F.col(f"count_{k}"), F.col("land"))).alias(f"log_{k}") for k in ("recent", "overall")])
 
 
 def permit_forecast(rates: DataFrame, years: Sequence[int], seed: int, types: Sequence[str] = ("A1", "A2", "DM", "NB")) -> DataFrame:

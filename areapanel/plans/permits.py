@@ -13,7 +13,7 @@ from areapanel.operators.aggregates import count_by, min_by_key, rate_by
 from areapanel.operators.filters import first_versions
 from areapanel.operators.joins import complete_grid, enrich
 from areapanel.operators.panel import by_area
-from areapanel.operators.reshape import keys_of, pivot_counts
+from areapanel.operators.reshape import pivot_counts
 from areapanel.operators.scale import materialize
 
 # Permit types counted, and the format of filing dates.
@@ -37,9 +37,8 @@ def permit_counts(
     # Written out once: the years seen and the grid both start from the counts, not from the filings.
     counts = materialize(count_by(jobs, ["area", "year", "job_type"]))
     if years is None:
-        known = counts.join(areas.select("area").distinct(), "area", "left_semi")
-        years = keys_of(known, "year")
-    return complete_grid(counts, areas, {"year": list(years), "job_type": list(types)})
+        years = counts.join(areas.select("area").distinct(), "area", "left_semi")
+    return complete_grid(counts, areas, {"year": years, "job_type": list(types)})
 
 
 def add_permit_columns(panel: DataFrame, counts: DataFrame, types: Sequence[str] = JOB_TYPES) -> DataFrame:

@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areapanel.operators.joins import missing_keys
 from areapanel.operators.scale import lookup_join, materialize
-from areapanel.sources.sinks import is_stored
 
 
-def load_lookup(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """The stored lookup, or an empty one if none has been stored yet."""
-    if not is_stored(spark, path):
+def _one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: the smallest by its other columns in order, so that the choice does not depend on partitions."""
+    rest = [c for c in df.columns if c not in set(keys)]
+    if not rest:
+        return df.distinct()
+    least = df.groupBy(*keys).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_least"))
+    return least.select(*[F.col("_least").getField(c).alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns])
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    """By listing, because a cluster may not write markers; a folder of a run that failed holds hidden files only."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return False
+    files = fs.listFiles(place, True)
+    while files.hasNext():
+        found = files.next().getPath().toString()
+        if found.endswith(".parquet") and "/_temporary/" not in found:
+            return True
+    return False
+
+
+def load_lookup(spark: SparkSession, path: str, schema: T.StructType | str, keys: Sequence[str] = ()) -> DataFrame:
+    """The stored lookup, or an empty one if none has been stored yet; with ``keys``, one row for each."""
+    if not _has_files(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    stored = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    return _one_per_key(stored, keys) if keys else stored
 
 
 def merge_lookup(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Old entries plus those new ones whose key is not known yet, one row per key."""
-    added = new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti")
+    added = _one_per_key(new, keys).join(old.select(*keys), list(keys), "left_anti")
     return old.unionByName(added)
 
 
 def extend_lookup(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Append the entries the stored lookup lacks; stored files are never rewritten."""
-    old = load_lookup(spark, path, new.schema)
-    added = materialize(new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti"))
-    added.write.mode("append").parquet(path)
-    return spark.read.schema(new.schema).parquet(path)
+    """Store the entries the lookup lacks in a folder of their own; stored files are never rewritten.
+
+    Runs at the same time may both store a key: readers keep one row for each.
+    """
+    added = materialize(_one_per_key(new, keys).join(load_lookup(spark, path, new.schema).select(*keys), list(keys), "left_anti"))
+    added.write.parquet(f"{path.rstrip('/')}/version-{uuid.uuid4().hex}")
+    return load_lookup(spark, path, new.schema, keys)
 
 
 def resolve_through_lookup(
@@ -39,7 +67,7 @@ def resolve_through_lookup(
 ) -> DataFrame:
     """Resolve only keys not stored yet, store them, and bring all results to the rows."""
     spark = df.sparkSession
-    known = load_lookup(spark, path, schema)
+    known = load_lookup(spark, path, schema, keys)
     fresh = resolve(missing_keys(df, known, keys)).select(*known.columns)
     stored = extend_lookup(spark, path, fresh, keys)
     return lookup_join(df, stored, keys, how, derived=False)

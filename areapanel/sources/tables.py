@@ -14,8 +14,19 @@ from areapanel.sources.schemas import AREA_NAMES, FEATURES, YEAR_NAMES
 def read_table(
     spark: SparkSession, path, schema: T.StructType | str, encoding: str = "UTF-8", dates: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """CSV with a header line. Line ends may be LF, CRLF or CR alone; a byte-order mark does no harm, because
-    column names come from the schema. ``dates`` maps text columns to their format; a bad date becomes NULL."""
+    """CSV with a header line. Line ends may be LF, CRLF or CR alone; a byte-order mark does no harm.
+
+    The header decides: where it is the schema's, the file is read with it; otherwise columns are found by name, whatever
+    their order, and a missing one is an error. ``dates`` maps text columns to their format; a bad date becomes NULL.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    header = spark.read.option("header", True).option("encoding", encoding).csv(path).columns
+    if [c.replace("\ufeff", "") for c in header] != wanted.names:
+        missing = [c for c in wanted.names if c not in [h.replace("\ufeff", "") for h in header]]
+        if missing:
+            raise ValueError(f"no column {missing} in the header {header}")
+        named = read_named_table(spark, path, {f.name: f.dataType.simpleString() for f in wanted}, encoding)
+        return named.withColumns({c: F.try_to_date(F.col(f"`{c}`"), fmt) for c, fmt in (dates or {}).items()})
     df = (
         spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
         .option("enforceSchema", True).csv(path)

@@ -152,10 +152,54 @@ def test_normalize(spark):
     assert own[("d", 1, "2016-09")] == 1.5 and own[("e", 1, "2016-09")] is None
 
 
-def test_keys_of_refuses_long_dimension(spark):
-    assert reshape.keys_of(spark.range(5).toDF("k"), "k") == [0, 1, 2, 3, 4]
-    with pytest.raises(ValueError):
-        reshape.keys_of(spark.range(50).toDF("k"), "k", limit=10)
+def test_grid_over_the_values_of_a_frame(spark):
+    from areapanel.operators import joins
+
+    counts = spark.createDataFrame([(1, y, 1) for y in range(1500)], "area int, year int, count int")
+    areas = spark.createDataFrame([(1,), (2,), (None,)], "area int")
+    grid = joins.complete_grid(counts, areas, {"year": counts})
+    assert grid.count() == 3000 and grid.agg({"count": "sum"}).first()[0] == 1500
+
+
+def test_missing_and_infinite_values(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, nan, None)] + [("b", v) for v in (inf, -inf, 5.0, 6.0, inf)] + [("c", nan)],
+                               "g string, v double")
+    from areapanel.operators import distribution
+
+    for limit in (0, 10**9):
+        got = {r.g: (r.lo, r.mid, r.hi) for r in distribution.quantile_by(df, ["g"], "v", {"lo": 0.0, "mid": 0.5, "hi": 1.0}, one_task_rows=limit).collect()}
+        assert got == {"a": (1.0, 2.0, 3.0), "b": (-inf, 6.0, inf)}, limit
+    described = {r.g: r for r in distribution.describe_by(df, ["g"], "v").collect()}
+    assert (described["a"]["count"], described["a"].mean, described["a"].max) == (3, 2.0, 3.0) and "c" not in described
+    assert [r["count"] for r in distribution.histogram(df.filter("g = 'a'"), "v", 2).orderBy("bin").collect()] == [1, 2]
+    assert distribution.box_stats(df.filter("g = 'a'"), ["g"], "v").first().outliers == 0
+    assert distribution.box_outliers(df.filter("g = 'a'"), ["g"], "v").count() == 0
+    from areapanel.operators import aggregates
+
+    flat = spark.createDataFrame([(2.0, 1.0), (2.0, 3.0), (nan, 1.0)], "y double, p double")
+    row = aggregates.metrics(flat, "y", "p").first()
+    assert row.n == 2 and row.mse == 1.0 and row.performance is None and row.r2 is None
+
+
+def test_split_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([(i if i % 10 else None,) for i in range(100)], "k int")
+    train, test = reshape.split_by_share(df, "k", 0.8)
+    assert train.count() + test.count() == 100
+
+
+def test_earliest_keeps_ties(spark):
+    from areapanel.operators import aggregates
+
+    df = spark.createDataFrame([(1, 2, "a"), (1, 2, "b"), (1, 3, "c"), (2, 9, "d"), (None, 1, "e"), (3, None, "f")], "k int, day int, v string")
+    assert sorted(r.v for r in aggregates.earliest(df, "k", "day").collect()) == ["a", "b", "d"]
+
+
+def test_draws_by_keys_with_spaces(spark):
+    from areapanel.operators import sampling
+
+    df = spark.createDataFrame([(10453, 2.0, 1.0)], "`Zip Code` int, s double, r double")
+    assert sampling.gamma_draws(df, ["Zip Code"], "s", "r", 5, 1).select("Zip Code").distinct().first()[0] == 10453
 
 
 def test_metrics_against_numpy(spark):
@@ -188,16 +232,15 @@ def test_gamma_glm_recovers_coefficients(spark):
     mu = np.exp(np.where(g == "p", 1 + 0.5 * a, -0.5 - 0.8 * a))
     y = rng.gamma(20, mu / 20)
     df = spark.createDataFrame([(float(u), float(v), str(w)) for u, v, w in zip(y, a, g)], "y double, a double, g string")
-    _, table = models.fit_gamma_glm_by(df, "y", ["a"], "g")
-    got = {(r.g, r.term): r.value for r in table.collect()}
+    fitted = models.fit_gamma_groups(df, "y", ["a"], "g").collect()
+    got = {(r.g, r.term): r.value for r in fitted}
+    assert all(r.converged for r in fitted)
+    assert not any(r.converged for r in models.fit_gamma_groups(df, "y", ["a"], "g", rounds=2).collect())
     expect = {("p", "intercept"): 1, ("p", "a"): 0.5, ("q", "intercept"): -0.5, ("q", "a"): -0.8}
     for k, v in expect.items():
         assert got[k] == pytest.approx(v, abs=0.05)
-    groups = {(r.g, r.term): r.value for r in models.fit_gamma_groups(df, "y", ["a"], "g").collect()}
-    for k in expect:
-        assert groups[k] == pytest.approx(got[k], abs=1e-6)
     whole = models.fit_gamma_glm(df.filter("g = 'p'"), "y", ["a"])
-    assert whole.intercept == pytest.approx(1, abs=0.05)
+    assert whole.intercept == pytest.approx(got["p", "intercept"], abs=1e-6)
 
 
 def test_forest_finds_the_input_that_matters(spark):

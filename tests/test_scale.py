@@ -219,3 +219,20 @@ def test_quantiles_of_concentrated_and_wide_values(spark):
     got = quantile_by(df, [], "v", probs, one_task_rows=20).first()
     for n, p in probs.items():
         assert got[n] == pytest.approx(_quantile(values, p), rel=1e-9)
+
+
+def test_running_sum_past_missing_values(spark):
+    rows = [("a", i, None if i < 40 or 60 <= i < 120 else 1) for i in range(160)] + [("b", i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, o int, v int").repartition(5)
+    got = [sorted((r.g, r.o, r.s) for r in scale.running_sum(df, ["g"], [F.col("o")], "v", "s", one_task_rows=limit).collect())
+           for limit in (0, 10**9)]
+    assert got[0] == got[1]
+
+
+def test_lookup_join_keeps_map_columns(spark):
+    left = spark.range(50).select((F.col("id") % 3).alias("k"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    right = spark.range(2).select(F.col("id").alias("k"), F.struct(F.repeat(F.lit("x"), 1000).alias("s")).alias("t"), F.unhex(F.repeat(F.lit("ff"), 500)).alias("b"))
+    out = scale.lookup_join(left, right, ["k"], "left", limit=0)
+    assert out.count() == 50 and out.filter("t IS NULL").count() == 16
+    _, rows, size = scale.materialize_measured(right)
+    assert rows == 2 and size >= 2 * 1500
