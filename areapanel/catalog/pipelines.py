@@ -181,8 +181,10 @@ def _price_sql(divisor: str) -> str:
     return f"""
 WITH {MONTHLY}, m AS (SELECT * FROM monthly WHERE dataset <> '5-LOW' AND month IN ({", ".join(f"'{x}'" for x in MONTHS)})),
 s AS (SELECT m.area, m.month, m.value / {divisor} AS v FROM m),
-mm AS (SELECT area, month, avg(v) AS v FROM s GROUP BY 1, 2)
-SELECT area, CAST(substr(month, 1, 4) AS INTEGER) AS year, round(avg(v), 8) AS "index" FROM mm GROUP BY 1, 2"""
+mm AS (SELECT area, month, avg(v) AS v FROM s GROUP BY 1, 2),
+yy AS (SELECT area, CAST(substr(month, 1, 4) AS INTEGER) AS year, round(avg(v), 8) AS v FROM mm GROUP BY 1, 2)
+SELECT a.area, y.year, yy.v AS "index" FROM (SELECT DISTINCT area FROM m) a CROSS JOIN (SELECT unnest([{", ".join(map(str, YEARS))}]) AS year) y
+LEFT JOIN yy ON yy.area = a.area AND yy.year = y.year"""
 
 
 @query("A-5 C-4 E-15 E-16 E-9 E-8", _price_sql("(SELECT max(x.value) FROM m x WHERE x.month = '1998-08' AND x.dataset = m.dataset)"))
@@ -296,7 +298,7 @@ def crime_forecast(spark, sf):
 
 @query("F-14 H-16", f"""
 WITH RECURSIVE {CRIME_FORECAST}
-SELECT area, year, round(ln(nullif(r, 0) / (1 + area / 10.0::DOUBLE)), 8) AS log_recent, round(ln(nullif(a, 0) / (1 + area / 10.0::DOUBLE)), 8) AS log_overall
+SELECT area, year, CASE WHEN r > 0 THEN round(ln(r / (1 + area / 10.0::DOUBLE)), 8) END AS log_recent, CASE WHEN a > 0 THEN round(ln(a / (1 + area / 10.0::DOUBLE)), 8) END AS log_overall
 FROM path WHERE year >= 2002""")
 def crime_density_forecast(spark, sf):
     crime = panel(spark, sf).select("area", "year", F.col("n").alias("crime_count"))

@@ -67,7 +67,7 @@ def main(argv):
 
     sf = argv[0] if argv else "/root/testdata/sf0.01"
     wanted = argv[1:] or list(CATALOG)
-    spark, con = local_session(8), connect(sf)
+    spark, con = local_session(os.environ.get("ORACLE_CPUS", "8")), connect(sf)
     bad, slow = [], []
     for name in wanted:
         q = CATALOG[name]
