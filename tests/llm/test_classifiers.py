@@ -86,8 +86,8 @@ def test_groups_alone_do_not_make_a_text_toxic(spark):
         rows.append((" ".join(words), int(toxic)))
     train = spark.createDataFrame(rows, "text string, label int").repartition(2)
     neutral = [f"{g} {' '.join(plain[:12])}" for g in ("muslim", "christian", "jewish")]
-    free, tied = (toxicity.fit(train, 200, fairness=f).scores(neutral) for f in (0.0, 20.0))
-    assert np.ptp(free) > 0.2 and np.ptp(tied) < 0.3 * np.ptp(free)
+    free, tied = (np.log(1 / toxicity.fit(train, 200, fairness=f).scores(neutral) - 1) for f in (0.0, 20.0))
+    assert np.ptp(free) > 1.5 and np.ptp(tied) < 0.3 * np.ptp(free)
     assert toxicity.fit(train, 200).scores(["vile hateful p1 p2"])[0] > 0.5
 
 
@@ -103,7 +103,7 @@ def test_scores_of_odd_rows(made, spark):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert all(r.predicted == int(r.doc_id % 5 == 0) for r in rows if r.doc_id is not None and r.doc_id < 400)
     for empty in (toxicity.training_rows(docs, labels.limit(0)), toxicity.training_rows(docs.limit(0), labels)):
-        assert {r.score for r in toxicity.score(docs, toxicity.fit(empty)).collect()} == {pytest.approx(0.5)}
+        assert all(r.score == pytest.approx(0.5) for r in toxicity.score(docs, toxicity.fit(empty)).collect())
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
