@@ -20,10 +20,10 @@ def corpus(spark, tmp_path_factory):
     rows = [(i, text(rnd.randint(30, 150))) for i in range(120)]
     rows += [(200 + i, " ".join(rnd.choice(["$$$", "###", "!!", "junk%%"]) for _ in range(60))) for i in range(40)]
     rows += [(300, rows[0][1]), (301, rows[0][1].replace(" ", "  ")), (302, rows[1][1] + " one more"), (303, text(20) + " " + item + " " + text(20)),
-             (304, None), (305, ""), (306, "w1"), (5, rows[5][1]), (307, text(40_000))]
+             (304, None), (305, ""), (306, "w1"), (5, rows[5][1]), (307, text(4_000))]
     docs = spark.createDataFrame([(i, t, "en", "s", 1, 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int")
     docs.write.parquet(f"{folder}/documents.parquet")
-    labels = [(i, 1, 0) for i in range(0, 120, 2)] + [(200 + i, 0, 0) for i in range(0, 40, 2)]
+    labels = [(i, 1, 0) for i in range(0, 120, 2)] + [(200 + i, 0, 0) for i in range(0, 40, 2)] + [(307, 1, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, item), (2, text(50))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
