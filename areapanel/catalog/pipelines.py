@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from areapanel.catalog.aggregates import MONTHLY, monthly
@@ -10,8 +12,10 @@ from areapanel.catalog.base import (
 )
 from areapanel.operators.panel import deflator, growth_overall, rank_areas
 from areapanel.operators.reshape import top_k
-from areapanel.operators.scale import lookup_join, materialize
+from areapanel.operators.scale import lookup_join, materialize, scratch_dir
 from areapanel.plans import crimes, features, forecast, permits, prices, shops
+from areapanel.sources.sinks import write_table
+from areapanel.sources.tables import read_named_table
 
 # --- flagship -----------------------------------------------------------------------------------------------------
 
@@ -174,7 +178,10 @@ MONTHS = [f"{y}-{m:02d}" for y in YEARS for m in range(1, 13)]
 def _wide_prices(spark, sf):
     m = monthly(spark, sf).filter(F.col("month").isin(MONTHS))
     wide = m.groupBy(F.col("dataset").alias("Dataset"), F.col("area").alias("RegionName")).pivot("month", MONTHS).agg(F.first("value"))
-    return wide
+    # The sheet as a file: its header tells which columns are months.
+    path = f"{scratch_dir(spark).rstrip('/')}/areapanel-{uuid.uuid4().hex}"
+    write_table(wide, path, "csv")
+    return read_named_table(spark, path, {"Dataset": "string", "RegionName": "int"} | {month: "double" for month in MONTHS})
 
 
 def _price_sql(divisor: str) -> str:
@@ -341,7 +348,15 @@ def rolled_scores(spark, sf):
     return out.select("area", "year", F.round("mu", 8).alias("mu"))
 
 
-@query("H-14")
+@query("H-14", f"""
+WITH {WIDE_CTE}, f AS (SELECT area, year, unnest(['A1', 'A2', 'DM', 'NB']) AS t, unnest([A1, A2, DM, NB])::DOUBLE AS v FROM wide WHERE year >= 1997),
+r AS (SELECT area, t, sum(CASE WHEN year = 2001 THEN round_even(v * (1 + 1 / 12.0::DOUBLE), 0) ELSE v END) / 8 AS rate FROM f GROUP BY 1, 2),
+y AS (SELECT area, t, rate, unnest(range(2002, 2010)) AS year FROM r),
+u AS (SELECT *, CAST('0x' || substr(md5('3:' || area::VARCHAR || ':' || year::VARCHAR || ':' || t), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM y),
+c AS (SELECT area, year, t, u, sum(CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) END) OVER (PARTITION BY area, year, t ORDER BY k) AS cdf
+  FROM u CROSS JOIN (SELECT unnest(range(1200)) AS k) ks)
+SELECT area, CAST(year AS INTEGER) AS year, {", ".join(f"CAST(count(*) FILTER (WHERE t = '{t}' AND cdf < u) AS BIGINT) AS {t}" for t in ("A1", "A2", "DM", "NB"))}
+FROM c GROUP BY 1, 2""")
 def permit_forecast(spark, sf):
     rates = permits.permit_rates(wide_counts(spark, sf), 2001, 1997)
     return forecast.permit_forecast(rates, range(2002, 2010), seed=3)

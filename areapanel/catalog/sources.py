@@ -147,6 +147,20 @@ def map_features(spark, sf):
     return named.select("area", "name", "geometry_type")
 
 
+@query("A-9", """
+SELECT CAST(n_nationkey AS VARCHAR) AS area, n_name AS name, 'Polygon' AS geometry_type FROM nation""")
+def map_features_file(spark, sf):
+    """The collection as a file, pretty-printed over several lines as such files are."""
+    feature = F.struct(
+        F.struct(F.col("n_nationkey").cast("string").alias("postalCode"), F.col("n_name").alias("name")).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), F.array(F.array(F.col("n_nationkey"), F.lit(1))).alias("coordinates")).alias("geometry"))
+    whole = table(spark, sf, "nation").agg(F.to_json(F.struct(F.collect_list(feature).alias("features")), {"pretty": "true"}).alias("value"))
+    path = _path(spark)
+    whole.write.text(path)
+    named = tables.feature_property(tables.feature_property(tables.read_features(spark, path), "postalCode", "area"), "name", "name")
+    return named.select("area", "name", "geometry_type")
+
+
 @query("A-15", r"""
 WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'), '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1) AS ps FROM pages),
 t AS (SELECT page_id, list_transform(ps, lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS ts FROM b)
