@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import re
-import tempfile
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import areapanel
-from areapanel.operators.scale import materialize
+from areapanel.operators.scale import materialize, scratch_dir
 
 __all__ = ["ChunkCache", "worker_cache", "table", "texts", "fold", "hash_share", "kth_largest", "materialize"]
 
@@ -22,16 +23,22 @@ CACHE_ENTRIES = 400_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this library to the Python workers, once per session, so that it need not be installed on them."""
+    """Hand this library to the Python workers, once per session, so that it need not be installed on them.
+
+    The archive is written to the folder that the cluster shares, and Spark brings it to the executors.
+    """
     context, name = spark.sparkContext, "areapanel-code.zip"
     if name in context._python_includes:
         return
-    root = Path(areapanel.__file__).parent
-    path = Path(tempfile.mkdtemp(prefix="areapanel-code-"), name)
-    with zipfile.ZipFile(path, "w") as z:
+    root, archive = Path(areapanel.__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(path))
+    place = context._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark).rstrip('/')}/areapanel-code-{uuid.uuid4().hex}/{name}")
+    out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+    out.write(archive.getvalue())
+    out.close()
+    context.addPyFile(place.toString())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
