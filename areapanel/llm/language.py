@@ -25,9 +25,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def _letter_words(chunk: str) -> list[str]:
+    """Words of letters; signs such as raised figures, which the pattern lets through, are none."""
+    return [w for w in LETTERS.findall(chunk) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def _grams(chunk: str) -> list[int]:
     out = []
-    for word in LETTERS.findall(chunk.lower()):
+    for word in _letter_words(chunk.lower()):
         edged = f"^{word}$"
         out += [bucket(edged[i:i + 3], BUCKETS) for i in range(len(edged) - 2)]
     return out
@@ -47,7 +52,7 @@ class Model:
     def _words(self, chunk: str) -> bytes:
         """One row of log likelihoods for each word of the chunk."""
         rows = []
-        for word in LETTERS.findall(chunk):
+        for word in _letter_words(chunk):
             rows.append(self.table[:, _grams(word)].sum(1))
         return np.asarray(rows, np.float32).tobytes()
 

@@ -170,8 +170,8 @@ def _verified(pairs: DataFrame, candidates: DataFrame, threshold: float) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
-def components(links: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, class): the smallest id that links lead to. ``links`` (a, b) both ways round are one link.
+def components(links: DataFrame) -> DataFrame:
+    """(id, class): the smallest id that links lead to, for every id of a link. ``links`` (a, b) both ways round are one link.
 
     Each round every id takes the smallest class of itself and its neighbours, then the class of that class; the table
     is written each round, until nothing changes.
@@ -188,29 +188,36 @@ def components(links: DataFrame, ids: DataFrame) -> DataFrame:
         changed = new.filter("class <> old").limit(1).count()
         label = new.select("id", "class")
         if not changed:
-            break
-    return ids.join(label, "id", "left").select("id", F.coalesce("class", "id").alias("class"))
+            return label
 
 
-def _links(rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) pairs of at least ``threshold`` among ids that share a bucket; ``rows`` are (id, bucket)."""
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (id, class) after more links, which join classes: earlier links are not gone through again."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left_anti")
+    label = materialize(label.unionByName(ends.select("id", F.col("id").alias("class"))))
+    between = links.join(label.select(F.col("id").alias("a"), F.col("class").alias("x")), "a").join(
+        label.select(F.col("id").alias("b"), F.col("class").alias("y")), "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = components(between.distinct()).select(F.col("id").alias("class"), F.col("class").alias("new"))
+    return materialize(label.join(joined, "class", "left").select("id", F.coalesce("new", "class").alias("class")))
+
+
+def _labels(rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(id, class) of ids that have a link of at least ``threshold``, among ids that share a bucket; ``rows`` are (id, bucket)."""
     held = _with_sizes(rows.withColumn("parts", F.array("bucket")))
     single = held.select("id", F.col("bucket").alias("one"))
-    small, tried, links = SMALL_BUCKET, None, None
+    small, tried, label = SMALL_BUCKET, None, None
     while True:
         pairs = _candidates(held, small)
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         seen = materialize(_verified(pairs, found, threshold))
-        new = seen.filter(F.col("similarity") >= threshold).select("a", "b")
-        links = new if links is None else links.unionByName(new)
+        links = seen.filter(F.col("similarity") >= threshold).select("a", "b")
+        label = components(links) if label is None else _merged(label, links)
         tried = seen.select("a", "b") if tried is None else tried.unionByName(seen.select("a", "b"))
-        large = held.filter(F.col("n") > small)
-        label = components(links, large.select("id").distinct())
-        large = large.join(label, "id")
+        large = held.filter(F.col("n") > small).join(label, "id", "left").withColumn("class", F.coalesce("class", "id"))
         heads = large.groupBy("bucket").agg(F.max(F.struct("central", "class"))["class"].alias("head_class"))
         left = materialize(large.join(heads, "bucket").filter("class <> head_class").select("id", "parts"))
         if not left.limit(1).count():
-            return links
+            return label
         # Ids that aren't linked to the head meet in buckets of one band more.
         finer = left.join(single, "id").filter(~F.array_contains("parts", F.col("one")))
         finer = finer.select("id", F.array_sort(F.concat("parts", F.array("one"))).alias("parts")).distinct()
@@ -226,19 +233,19 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     be in a class and is left out (``drop_near_copies`` keeps such rows). Other columns are ignored.
     """
     sketched = materialize(sketches(docs, id_col, text_col))
-    keys = sketched.groupBy("words_md5").agg(F.min("doc_id").alias("id"))
-    member = materialize(sketched.select("doc_id", "words_md5").join(keys, "words_md5").select("doc_id", "id").distinct())
-    rows = sketched.join(keys, "words_md5").filter(F.col("doc_id") == F.col("id")).select("id", F.explode("bands").alias("bucket")).distinct()
+    keys = sketched.groupBy("words_md5").agg(F.min("doc_id").alias("id"))  # equal words go by their smallest id
+    member = materialize(sketched.join(keys, "words_md5").select("doc_id", "id", F.when(F.col("doc_id") == F.col("id"), F.col("bands")).alias("bands")))
+    rows = member.filter("bands IS NOT NULL").select("id", F.explode("bands").alias("bucket")).distinct()
     shared = materialize(rows.join(rows.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket", "left_semi"))
     # The texts that candidates have, once: what is verified is read from there.
     found = texts(docs, id_col, text_col).join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     found = materialize(found.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")))
-    links = _links(shared, found, threshold)
-    # Ids with equal words are linked, and so are the texts of an id that has several.
-    links = links.unionByName(member.filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
-    label = components(links, member.select(F.col("doc_id").alias("id")).distinct())
-    out = sketched.select("doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id")
-    return out.select("doc_id", F.col("class").alias("class_id"), (F.col("doc_id") == F.col("class")).alias("kept"))
+    label = _labels(shared, found, threshold)
+    # An id with several texts joins what they belong to.
+    several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last")
+    label = _merged(label, member.join(several, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")).distinct())
+    out = member.select("doc_id", "id").join(label, "id", "left")
+    return out.select("doc_id", F.coalesce("class", "id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

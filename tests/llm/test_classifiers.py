@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from areapanel.llm import common, language, quality, toxicity
 
-ODD = [(900, None), (901, ""), (902, "   "), (903, "12 34 !!"), (904, "word " * 30_000), (None, "no id here"), (905, "same"), (905, "same"), (906, "\U0001f642")]
+ODD = [(900, None), (901, ""), (902, "   "), (903, "12 34 !!"), (904, "word " * 30_000), (None, "no id here"), (905, "same"), (905, "same"), (906, "\U0001f642"), (907, "\u00b2 \u2167 \u0660")]
 
 
 @pytest.fixture(scope="module")
@@ -146,7 +146,7 @@ def test_languages_of_odd_rows(spoken):
     rows = language.identify(docs, model).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     by = {r.doc_id: r for r in rows}
-    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (900, 901, 902, 903, 906))
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (900, 901, 902, 903, 906, 907))
     assert by[904].lang_pred in ("aa", "bb", "cc") and by[None].lang_pred in ("aa", "bb", "cc")
     assert language.fit(language.training_rows(docs.filter("lang IS NULL"))) is None
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
