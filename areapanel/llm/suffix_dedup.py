@@ -9,8 +9,9 @@ Sorting every suffix of a corpus together would move each byte many times. What
 found first: each string of ``length`` bytes has one anchor in it, the place whose ``GRAM`` bytes have the smallest hash.
 Equal strings have their anchor at the same place, so only strings with equal anchors can be equal. Strings in a row with
 the same anchor make up a segment; Spark deals segments by anchor, and each task orders the suffixes of its segments.
-Segments that are equal as a whole meet as one; an anchor that has many different segments is dealt over several tasks,
-whose distinct strings are then compared by their digests.
+Segments that are equal as a whole meet as one. The segments of an anchor that has many different ones are cut into blocks
+of strings, which meet by the bytes that all strings of the block have; only what is shared that far by many different
+blocks is dealt over several tasks, whose distinct strings are then compared by their digests.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ LENGTH = 400
 GRAM = 64
 # An anchor with more different segments is dealt over several tasks.
 SEGMENTS_TOGETHER = 1_000
+# Strings in a row that a segment is cut into then.
+BLOCK_STRINGS = 32
 # Bytes whose suffixes one task orders at once: names of up to 2^21 places fit three to a number.
 CHUNK_BYTES = 1_200_000
 # Bytes of a text that are looked at together.
@@ -149,9 +152,8 @@ def _all_segments(source: DataFrame, length: int, gram: int) -> DataFrame:
                 data = text.encode("utf-8", "surrogatepass")
                 size.append(len(data))
                 sha.append(hashlib.sha256(data).hexdigest())
-                parts.append([{"anchor": a, "lo": lo, "hi": hi, "same": int.from_bytes(
-                    hashlib.blake2b(data[lo:hi + length], digest_size=8).digest(), "little", signed=True)}
-                    for a, lo, hi in segments(data, length, gram)])
+                parts.append([{"anchor": a, "lo": lo, "hi": hi, "same": _digest(data[lo:hi + length])}
+                              for a, lo, hi in segments(data, length, gram)])
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(size, pa.int64()), pa.array(sha), pa.array(parts, pa.list_(item))],
                                              names=[*names, "n_bytes", "sha256", "segments"])
 
@@ -159,6 +161,22 @@ def _all_segments(source: DataFrame, length: int, gram: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, id_hash long, text_hash long, n_bytes long, sha256 string, segments array<struct<anchor: bigint, same: bigint, lo: bigint, hi: bigint>>")
 
 
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _anchor_place(data: bytes, start: int, length: int, gram: int) -> int:
+    """Where the anchor of the string that begins at ``start`` is."""
+    part = np.frombuffer(data[start:start + length], np.uint8)
+    hashes = _gram_hashes(part, gram)
+    return start + int(((hashes & ~np.uint64((1 << 20) - 1)) | np.arange(len(hashes), dtype=np.uint64)).argmin())
+
+
+def _pieces(rows: list[dict], numbers: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in numbers), pa.array([r["piece"] for r in rows], pa.binary())],
+                                      names=[*numbers, "piece"])
+
+
 def _compared(pieces: DataFrame, length: int) -> DataFrame:
     """(ROW, lo, hi, one, two): runs of repeated starts, and for anchors dealt over several tasks (``salts`` > 1) the
     digests of their distinct strings; those that repeat nothing in their task have a row, others none."""
@@ -215,23 +233,53 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     whole = materialize(whole.groupBy(*ROW).agg(F.collect_list(F.struct("lo", "hi")).alias("whole")))
     held = materialize(source.join(whole.join(asked, ROW, "full_outer"), ROW).select(*ROW, "text", "whole", "asked"))
 
+    numbers = [*ROW, "anchor", "salt", "salts", "n", "lo", "hi"]
+    schema = ", ".join(f"{c} long" for c in numbers) + ", piece binary"
+
     def cut(batches):
         for batch in batches:
             out = []
             for one, two, text, wanted in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text", "asked"))):
                 data = text.encode("utf-8", "surrogatepass")
-                out += [w | {"id_hash": one, "text_hash": two, "piece": data[w["lo"]:w["hi"] + length]} for w in wanted or ()]
-            numbers = [*ROW, "anchor", "salt", "salts", "n", "lo", "hi"]
-            yield pa.RecordBatch.from_arrays([*(pa.array([o[k] for o in out], pa.int64()) for k in numbers), pa.array([o["piece"] for o in out], pa.binary())],
-                                             names=[*numbers, "piece"])
+                out += [w | {"id_hash": one, "text_hash": two, "piece": data[w["lo"]:w["hi"] + length]} for w in wanted or () if w["salts"] == 1]
+            yield _pieces(out, numbers)
 
-    pieces = held.select(*ROW, "text", "asked").mapInArrow(
-        cut, "id_hash long, text_hash long, anchor long, salt long, salts long, n long, lo long, hi long, piece binary")
+    def cut_blocks(batches):
+        for batch in batches:
+            out = []
+            for one, two, text, wanted in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text", "asked"))):
+                data = text.encode("utf-8", "surrogatepass")
+                for w in wanted or ():
+                    if w["salts"] > 1:
+                        # Blocks are counted from the anchor, so that equal strings are in equal blocks.
+                        place = _anchor_place(data, w["lo"], length, gram)
+                        lo = w["lo"]
+                        while lo <= w["hi"]:
+                            number = (place - lo) // BLOCK_STRINGS
+                            last = place - number * BLOCK_STRINGS
+                            hi = min(w["hi"], last)
+                            core = data[last:last - BLOCK_STRINGS + 1 + length]
+                            out.append({"id_hash": one, "text_hash": two, "n": w["n"], "lo": lo, "hi": hi, "piece": data[lo:hi + length],
+                                        "anchor": _digest(b"%d %d " % (w["anchor"], number) + core), "salt": 0, "salts": 1})
+                            lo = hi + 1
+            yield _pieces(out, numbers)
+
+    asked_texts = held.select(*ROW, "text", "asked").filter("asked IS NOT NULL")
+    many = asked_texts.filter(F.exists("asked", lambda w: w["salts"] > 1))
+    blocks = materialize(many.mapInArrow(cut_blocks, schema).withColumn("same", F.xxhash64("piece")))
+    kinds = materialize(blocks.groupBy("anchor", "same").agg(
+        F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(*ROW, "lo", "hi")).alias("at"), F.min("piece").alias("piece")))
+    crowds = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    crowds = crowds.select("anchor", F.ceil(F.col("kinds") / SEGMENTS_TOGETHER).alias("salts"))
+    rest = kinds.join(crowds, "anchor").select("at.id_hash", "at.text_hash", "anchor", F.pmod("same", "salts").alias("salt"), "salts",
+                                               F.greatest("n", "copies").alias("n"), "at.lo", "at.hi", "piece")
+    alike_blocks = blocks.join(kinds.filter("copies > 1").select("anchor", "same"), ["anchor", "same"]).select(*ROW, "lo", "hi")
+    pieces = asked_texts.mapInArrow(cut, schema).unionByName(rest)
     found = materialize(_compared(pieces, length))
     digests = found.filter("one IS NOT NULL")
     shared = digests.groupBy("one", "two").agg(F.count(F.lit(1)).alias("tasks")).filter("tasks > 1")
     across = digests.filter("id_hash IS NOT NULL").join(shared, ["one", "two"], "left_semi").select(*ROW, "lo", "hi")
-    runs = found.filter("one IS NULL").select(*ROW, "lo", "hi").unionByName(across)
+    runs = found.filter("one IS NULL").select(*ROW, "lo", "hi").unionByName(across).unionByName(alike_blocks)
     runs = runs.groupBy(*ROW).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     empty = F.array().cast("array<struct<lo: bigint, hi: bigint>>")
     spans = held.select(*ROW, "text", "whole").join(runs, ROW, "left").select(

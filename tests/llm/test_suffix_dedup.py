@@ -62,9 +62,10 @@ def odd_rows():
     return rows
 
 
-@pytest.mark.parametrize("together", [1_000, 3])
-def test_equals_brute_force(spark, odd_rows, together, monkeypatch):
+@pytest.mark.parametrize("together, block", [(1_000, 32), (2, 8)])
+def test_equals_brute_force(spark, odd_rows, together, block, monkeypatch):
     monkeypatch.setattr(sd, "SEGMENTS_TOGETHER", together)
+    monkeypatch.setattr(sd, "BLOCK_STRINGS", block)
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in odd_rows], "doc_id long, text string, lo int, n_bytes int").repartition(4)
     for length, gram in ((20, 6), (50, 8)):
         assert rows_of(sd.remove_repeats(docs, length, gram)) == brute(odd_rows, length)
