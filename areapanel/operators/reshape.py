@@ -121,7 +121,7 @@ def split_by_share(
     prefix, about one in a million, are put in order. Nothing else is sorted or shuffled. A missing key is a key like others;
     rows with equal keys stay together, so keys that repeat may take the shares a little off.
     """
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).isNull().cast("string"), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    mark = F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), F.lit(f"{seed}")))
     hashes = df.select(mark.alias("_h")).withColumn("_p", F.substring("_h", 1, PREFIX))
     counts = materialize(hashes.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")))
     n = counts.agg(F.sum("_n")).first()[0] or 0
