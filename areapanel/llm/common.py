@@ -18,8 +18,9 @@ from areapanel.operators.scale import materialize, scratch_dir
 
 __all__ = ["ChunkCache", "worker_cache", "table", "texts", "fold", "hash_share", "kth_largest", "materialize"]
 
-# Entries a cache of one Python worker may hold; a full cache is emptied, so memory stays bounded.
-CACHE_ENTRIES = 400_000
+# Entries that all caches of one Python worker may hold together; then all are emptied, so that memory stays bounded
+# however many operators a worker runs one after another.
+CACHE_ENTRIES = 500_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -67,16 +68,23 @@ class ChunkCache(dict):
     ``lookup`` joins what the chunks of a text give. Chunks repeat, so most of the work is done once per worker.
     """
 
+    entries = 0
+    caches: list[ChunkCache] = []
+
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make = make
+        ChunkCache.caches.append(self)
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+        if ChunkCache.entries >= CACHE_ENTRIES:
+            for cache in ChunkCache.caches:
+                cache.clear()
+            ChunkCache.entries = 0
         value = self.make(chunk)
         if len(chunk) <= 64:
             self[chunk] = value
+            ChunkCache.entries += 1
         return value
 
     def lookup(self, chunks: list[str]) -> bytes:
@@ -90,7 +98,9 @@ def worker_cache(key: str, make: Callable[[str], bytes]) -> ChunkCache:
     """The worker's cache for the model called ``key``, so that tasks that follow each other share it; two are kept."""
     if key not in _shared:
         while len(_shared) > 1:
-            _shared.pop(next(iter(_shared)))
+            old = _shared.pop(next(iter(_shared)))
+            old.clear()
+            ChunkCache.caches[:] = [c for c in ChunkCache.caches if c is not old]
         _shared[key] = ChunkCache(make)
     return _shared[key]
 

@@ -1,9 +1,9 @@
 """Benchmark decontamination: an inverted index of test items, queried with every passage of every document.
 
 Items are ranked by BM25; a score is given as a share of what the item scores for itself, so that one threshold holds
-for all. The search goes from bounds to scores, as block-max WAND does: a passage whose terms can't reach the threshold
-even with their greatest weights is done; of the others only items that have a term without which it can't be reached are
-looked at, and of those only in blocks whose own greatest weights reach it. What is retrieved is checked: the shingles of
+for all. The search goes from bounds to scores, as block-max WAND does: items are put into blocks, and a term's
+greatest weight in a block bounds what it adds there. A passage's bound is the sum of those of its two halves, each worked out
+once; only the blocks whose bound reaches the threshold are scored, term by term. What is retrieved is checked: the shingles of
 the item's question and of its answer have to be found near the passage.
 """
 
@@ -27,9 +27,10 @@ RETRIEVE, OVERLAP = 0.5, 0.8
 SHINGLE = 5
 # A passage has at least so many words, or as many as the longest item of the shard; the next starts half of that later.
 PASSAGE = 64
-BLOCK = 16
+# Blocks of items that a shard has at most; half passages that are bounded together.
+BLOCKS, TOGETHER = 128, 64
 # Bounds of the part of the index that is sent to executors at once.
-SHARD_ITEMS, SHARD_BYTES = 20_000, 8 << 20
+SHARD_ITEMS, SHARD_BYTES = 2_000, 2 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -64,7 +65,8 @@ def overlap(part: list[str], text: list[str]) -> float:
 
 @dataclass
 class Index:
-    """Postings of one shard: for term t the items and weights at ``start[t]:start[t + 1]``, the same for its blocks."""
+    """Postings of one shard: for term t the items and weights at ``start[t]:start[t + 1]``; ``block_max[t]`` has the greatest
+    weight in each block of ``block`` items, and zeros last, for words that no item has."""
 
     name: str
     ids: list
@@ -73,10 +75,8 @@ class Index:
     start: np.ndarray
     items: np.ndarray
     weights: np.ndarray
-    block_start: np.ndarray
-    blocks: np.ndarray
+    block: int
     block_max: np.ndarray
-    most: np.ndarray
     passage: int
 
     @classmethod
@@ -102,53 +102,47 @@ class Index:
         start = np.cumsum([0, *map(len, post)])
         items, weights = np.asarray([x[0] for x in flat], np.int64), np.asarray([x[1] for x in flat])
         term_of = np.repeat(np.arange(len(post)), np.diff(start))
-        n_blocks = len(held) // BLOCK + 1
-        key, back = np.unique(term_of * n_blocks + items // BLOCK, return_inverse=True)
-        block_max = np.zeros(len(key))
-        np.maximum.at(block_max, back, weights)
-        most = np.zeros(len(post) + 1)  # the last is for words that no item has
-        np.maximum.at(most, term_of, weights)
+        block = max(1, -(-len(held) // BLOCKS))
+        block_max = np.zeros((len(post) + 1, len(held) // block + 1), np.float32)
+        np.maximum.at(block_max, (term_of, items // block), np.nextafter(weights.astype(np.float32), np.float32(1)))
         longest = held[-1][0] if held else 0
-        return cls(uuid.uuid4().hex, [h[1] for h in held], [question_and_answer(h[2]) for h in held], terms, start, items, weights,
-                   np.searchsorted(key // n_blocks, np.arange(len(post) + 1)), key % n_blocks, block_max, most, max(PASSAGE, longest))
+        return cls(uuid.uuid4().hex, [h[1] for h in held], [question_and_answer(h[2]) for h in held], terms, start, items, weights, block, block_max,
+                   max(PASSAGE, longest + longest % 2))
 
     def _chunk(self, chunk: str) -> bytes:
         return np.asarray([self.terms.get(w, len(self.terms)) for w in words_of(chunk)], np.int32).tobytes()
 
-    def search(self, passage_terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """(item, score) of all items that score ``threshold`` and more for these distinct terms."""
-        order = passage_terms[np.argsort(self.most[passage_terms], kind="stable")]
-        bound = np.cumsum(self.most[order])
-        if not len(order) or bound[-1] < threshold:
-            return []
-        needed = order[int(np.searchsorted(bound, threshold)):]  # the terms before can't reach it without one of these
-        seen = np.unique(np.concatenate([self.items[self.start[t]:self.start[t + 1]] for t in needed]))
-        block_bound = np.zeros(len(self.ids) // BLOCK + 1)
-        for t in order:
-            at = slice(self.block_start[t], self.block_start[t + 1])
-            block_bound[self.blocks[at]] += self.block_max[at]
-        seen = seen[block_bound[seen // BLOCK] >= threshold]
-        if not len(seen):
-            return []
-        score = np.zeros(len(self.ids))
-        for t in order:
-            at = slice(self.start[t], self.start[t + 1])
-            score[self.items[at]] += self.weights[at]
-        return [(int(i), float(score[i])) for i in seen if score[i] >= threshold - 1e-12]
+    def scores(self, passage_terms: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """(item, score) of the items of ``blocks`` that score ``threshold`` and more for these distinct terms."""
+        spans = [slice(self.start[t], self.start[t + 1]) for t in passage_terms]
+        score = np.bincount(np.concatenate([self.items[at] for at in spans]), np.concatenate([self.weights[at] for at in spans]), len(self.ids))
+        found = np.flatnonzero(score >= threshold - 1e-9)
+        return [(int(i), float(score[i])) for i in found[np.isin(found // self.block, blocks)]]
 
     def document(self, text: str, retrieve: float) -> dict[int, tuple[float, int, float, float]]:
         """item → (score, first word, question's overlap, answer's overlap) of its best passage."""
         terms = np.frombuffer(worker_cache(self.name, self._chunk).lookup(text.split()), np.int32)
-        n = len(terms)
-        sums = np.concatenate([[0.0], np.cumsum(self.most[terms])])
-        starts = np.arange(0, max(1, n - self.passage // 2), max(1, self.passage // 2))
-        ends = np.minimum(starts + self.passage, n)
+        unknown, half = len(self.terms), self.passage // 2
+        at = np.flatnonzero(terms < unknown)
+        if not len(at):
+            return {}
+        # Distinct terms of each half passage.
+        keys = np.unique(at // half * unknown + terms[at])
+        part, term = keys // unknown, keys % unknown
         best: dict[int, tuple[float, int]] = {}
-        for i in np.flatnonzero(sums[ends] - sums[starts] >= retrieve - 1e-9):
-            found = np.unique(terms[starts[i]:ends[i]])
-            for item, score in self.search(found[found < len(self.terms)], retrieve):
-                if score > best.get(item, (0.0, 0))[0]:
-                    best[item] = (score, int(starts[i]))
+        for lo in range(0, int(part[-1]) + 1, TOGETHER):
+            a, b = np.searchsorted(part, [lo, lo + TOGETHER + 1])
+            if a == b:
+                continue
+            first = np.flatnonzero(np.concatenate([[True], part[a + 1:b] != part[a:b - 1]]))
+            bound = np.zeros((TOGETHER + 2, self.block_max.shape[1]), np.float32)
+            bound[part[a:b][first] - lo] = np.add.reduceat(self.block_max[term[a:b]], first)
+            reach = bound[:TOGETHER] + bound[1:TOGETHER + 1] >= retrieve - 1e-4
+            for i in np.flatnonzero(reach.any(1)):
+                c, d = np.searchsorted(part, [lo + i, lo + i + 2])
+                for item, score in self.scores(np.unique(term[c:d]), np.flatnonzero(reach[i]), retrieve):
+                    if score > best.get(item, (0.0, 0))[0]:
+                        best[item] = (score, int(lo + i) * half)
         if not best:
             return {}
         words = [w for chunk in text.split() for w in words_of(chunk)]

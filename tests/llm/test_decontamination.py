@@ -35,7 +35,7 @@ def full_scores(index, text):
     terms = [index.terms.get(w, -1) for w in dc.words_of(text)]
     best = {}
     step = index.passage // 2
-    for lo in range(0, max(1, len(terms) - step), step):
+    for lo in range(0, max(1, len(terms)), step):
         score = np.zeros(len(index.ids))
         for t in {t for t in terms[lo:lo + index.passage] if t >= 0}:
             at = slice(index.start[t], index.start[t + 1])
