@@ -5,8 +5,10 @@ shingles are taken and put back into text order: their hash is one entry of the
 apart that have the same shingles in another order. Documents that share a band of entries are candidates, and a banded
 alignment of their shingles decides: aligned shingles over all shingles of both, at least ``THRESHOLD``.
 
-Only small buckets make all their pairs. In a larger one everyone meets the bucket's most central member; who isn't
-linked to it goes on, with the others that aren't, in buckets of one band more, until no large bucket is left.
+Only small buckets make all their pairs. In a larger one everyone meets the bucket's most central member. Where that leaves
+several classes in it, all its members, linked or not, go through an exact join: shingles are put in one order for all,
+rare ones first, and texts that reach the threshold must share one so early that enough of both is left. Pairs of different
+classes that do are aligned, so that no pair of a large bucket is lost.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 # Smallest labelled shingles of one sketch entry; entries of a band; bands.
 ORDERED, ROWS, BANDS = 2, 3, 28
-# A bucket of at most so many documents makes all its pairs: of one band, and of several.
-SMALL_BUCKET, SMALL_LATER = 8, 64
+# A bucket of at most so many documents makes all its pairs.
+SMALL_BUCKET = 8
+# Bins of shingle counts: they only tell which shingles are rare, so that collisions cost time and lose nothing.
+COUNT_BINS = 1 << 18
 WORDS = re.compile(r"\w+")
 _MIX = np.random.default_rng(20_240_501).integers(1, 1 << 63, (2, ROWS * BANDS), np.uint64) | np.uint64(1)
 
@@ -136,8 +140,7 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def _with_sizes(rows: DataFrame) -> DataFrame:
-    """(bucket, parts, id) rows of buckets of two and more, with ``n`` and how ``central`` the id is: its buckets' sizes
-    summed."""
+    """(bucket, id) rows of buckets of two and more, with ``n`` and how ``central`` the id is: its buckets' sizes summed."""
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = materialize(rows.join(sizes, "bucket"))
     return materialize(held.join(held.groupBy("id").agg(F.sum("n").alias("central")), "id"))
@@ -201,27 +204,84 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(label.join(joined, "class", "left").select("id", F.coalesce("new", "class").alias("class")))
 
 
+def _rarity(candidates: DataFrame) -> np.ndarray:
+    """Of each bin of shingles how often they occur in ``candidates``, as a level."""
+    def run(batches):
+        total = np.zeros(COUNT_BINS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found = labelled_shingles(WORDS.findall(text.lower()))
+                total += np.bincount((found % np.uint64(COUNT_BINS)).astype(np.int64), minlength=COUNT_BINS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "n"])
+
+    counts = candidates.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(COUNT_BINS)
+    total[counts.column("bin").to_numpy()] = counts.column("n").to_numpy()
+    return np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
+
+
+def prefix(shingles: np.ndarray, rarity: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles: two texts of at least ``threshold`` share one. The order is the same in all texts."""
+    order = np.lexsort((shingles, rarity[(shingles % np.uint64(len(rarity))).astype(np.int64)]))
+    return shingles[order[:int(len(shingles) * (1 - threshold) + 1e-9) + 1]]
+
+
+def _joined(candidates: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different classes that may reach ``threshold``, none of those that do missing; ``candidates`` are (id,
+    class, text).
+
+    What precedes the first shared shingle is in one text only, so that the shorter rest bounds what both share.
+    """
+    rarity = _rarity(candidates)
+
+    def run(batches):
+        for batch in batches:
+            at, rare, places, sizes = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                found = labelled_shingles(WORDS.findall(text.lower()))
+                own = prefix(found, rarity, threshold)
+                at.append(np.full(len(own), i))
+                rare.append(own)
+                places.append(np.arange(len(own)))
+                sizes.append(np.full(len(own), len(found)))
+            if not at:
+                continue
+            at = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(at), batch.column("class").take(at), pa.array(np.concatenate(rare).view(np.int64)),
+                 pa.array(np.concatenate(sizes) - np.concatenate(places)), pa.array(np.concatenate(sizes))],
+                names=["id", "class", "shingle", "rest", "size"])
+
+    kind = candidates.schema["id"].dataType.simpleString()
+    rows = materialize(candidates.select("id", "class", "text").mapInArrow(run, f"id {kind}, class {kind}, shingle long, rest long, size long"))
+    # Of shingles that several classes have, the class that has them most often; pairs have one side outside it.
+    several = rows.groupBy("shingle").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first <> last").select("shingle")
+    held = materialize(rows.join(several, "shingle", "left_semi"))
+    most = held.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "class"))["class"].alias("most"))
+    left = held.join(most, "shingle").filter("class <> most").select(
+        "shingle", "most", F.col("id").alias("a"), F.col("class").alias("class_a"), F.col("rest").alias("rest_a"), F.col("size").alias("size_a"))
+    other = held.select("shingle", F.col("id").alias("b"), F.col("class").alias("class_b"), F.col("rest").alias("rest_b"), F.col("size").alias("size_b"))
+    reach = F.least("rest_a", "rest_b") >= (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
+    once = (F.col("class_b") == F.col("most")) | (F.col("a") < F.col("b"))
+    return _distinct_pairs(left.join(other, "shingle").filter((F.col("class_a") != F.col("class_b")) & once & reach).select("a", "b"))
+
+
 def _labels(rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """(id, class) of ids that have a link of at least ``threshold``, among ids that share a bucket; ``rows`` are (id, bucket)."""
-    held = _with_sizes(rows.withColumn("parts", F.array("bucket")))
-    single = held.select("id", F.col("bucket").alias("one"))
-    small, tried, label = SMALL_BUCKET, None, None
-    while True:
-        pairs = _candidates(held, small)
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        seen = materialize(_verified(pairs, found, threshold))
-        links = seen.filter(F.col("similarity") >= threshold).select("a", "b")
-        label = components(links) if label is None else _merged(label, links)
-        tried = seen.select("a", "b") if tried is None else tried.unionByName(seen.select("a", "b"))
-        large = held.filter(F.col("n") > small).join(label, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        heads = large.groupBy("bucket").agg(F.max(F.struct("central", "class"))["class"].alias("head_class"))
-        left = materialize(large.join(heads, "bucket").filter("class <> head_class").select("id", "parts"))
-        if not left.limit(1).count():
-            return label
-        # Ids that aren't linked to the head meet in buckets of one band more.
-        finer = left.join(single, "id").filter(~F.array_contains("parts", F.col("one")))
-        finer = finer.select("id", F.array_sort(F.concat("parts", F.array("one"))).alias("parts")).distinct()
-        held, small = _with_sizes(finer.withColumn("bucket", F.xxhash64("parts"))), SMALL_LATER
+    held = _with_sizes(rows)
+    seen = materialize(_verified(_candidates(held, SMALL_BUCKET), found, threshold))
+    label = components(seen.filter(F.col("similarity") >= threshold).select("a", "b"))
+    large = held.filter(F.col("n") > SMALL_BUCKET).join(label, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    large = materialize(large.select("bucket", "id", "class"))
+    # Large buckets of several classes: their members, those in the head's class too, are joined exactly.
+    several = large.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first <> last").select("bucket")
+    still = materialize(found.join(large.join(several, "bucket", "left_semi").select("id", "class").distinct(), "id"))
+    if not still.limit(1).count():
+        return label
+    pairs = _joined(still, threshold).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    links = _verified(materialize(pairs), found, threshold).filter(F.col("similarity") >= threshold).select("a", "b")
+    return _merged(label, materialize(links))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,6 +80,32 @@ def test_classes_equal_brute_force(spark, corpus):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
 
 
+def test_hot_group_loses_no_link_to_copies_that_are_not_its_head(spark):
+    base = [f"b{i}" for i in range(150)]
+    near = [[*base[:-1], f"n{i}"] for i in range(30)]  # 1 of 146 shingles differs
+    far = []  # 16 more differ: 130 are in the one copy it was made of, which is 0.8, and 129 in any other
+    for i, x in enumerate(near):
+        y = list(x)
+        for at in (0, 20 + i, 60 + i, 100 + i):
+            y[at] = f"f{i}at{at}"
+        far.append(y)
+    rows = [(i, " ".join(t)) for i, t in enumerate([base, *near, *far])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_classes(rows)
+    assert set(want.values()) == {0}
+    assert {r.doc_id: r.class_id for r in nd.near_classes(docs).collect()} == want
+
+
+def test_prefixes_of_alike_texts_meet():
+    rnd = random.Random(3)
+    rarity = np.asarray([rnd.randrange(4) for _ in range(64)], np.uint8)
+    for _ in range(200):
+        a = [rnd.choice(WORDS) for _ in range(rnd.randint(5, 80))]
+        x, y = nd.labelled_shingles(a), nd.labelled_shingles(edited(a, 1, rnd)[rnd.randint(0, 5):])
+        if nd.aligned_similarity(x, y) >= 0.8:
+            assert set(nd.prefix(x, rarity, 0.8)) & set(nd.prefix(y, rarity, 0.8))
+
+
 def test_order_matters_to_the_sketch(corpus):
     a = nd.labelled_shingles([f"x{i}" for i in range(200)])
     b = np.concatenate([a[100:], a[:100]])
