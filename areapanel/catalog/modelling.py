@@ -193,7 +193,7 @@ def _fit_rows(spark, sf):
 
 @query("H-3")
 def forest_importances(spark, sf):
-    model = models.fit_forest(_fit_rows(spark, sf), "y", ["a", "b"], trees=20, depth=5)
+    model = models.fit_forest(_fit_rows(spark, sf), "y", ["a", "b"])
     return models.importances(model, ["a", "b"], _fit_rows(spark, sf)).withColumns(rounded(4, "importance"))
 
 
@@ -203,7 +203,7 @@ def forest_test_metrics(spark, sf):
 
     rows = _fit_rows(spark, sf).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     train, test = split_by_share(rows, "id", 0.8)
-    model = models.fit_forest(train, "y", ["a", "b"], trees=20, depth=5)
+    model = models.fit_forest(train, "y", ["a", "b"])
     span = rows.agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
     scored = models.predict(model, test, ["a", "b"])
     return aggregates.metrics(scored, "y", "predicted", (F.lit(span.select("hi").scalar()), F.lit(span.select("lo").scalar())))

@@ -53,3 +53,25 @@ def test_no_cross_join_anywhere(spark, sf):
     for name in ("complete_grid", "neighbor_average", "nearest_top_member", "score_over_draws", "histogram_all", "rows_for_future_years"):
         plan = CATALOG[name].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_forest_queries_fit_the_whole_forest(spark, sf, monkeypatch):
+    import inspect
+
+    from areapanel.operators import models
+
+    class Fitted(Exception):
+        pass
+
+    signature = inspect.signature(models.fit_forest)
+
+    def fit_forest(*args, **how):
+        given = signature.bind(*args, **how)
+        given.apply_defaults()
+        raise Fitted(given.arguments["trees"], given.arguments["depth"])
+
+    monkeypatch.setattr(models, "fit_forest", fit_forest)
+    for name in ("forest_importances", "forest_test_metrics"):
+        with pytest.raises(Fitted) as found:
+            CATALOG[name].run(spark, sf)
+        assert found.value.args == (500, 8)
