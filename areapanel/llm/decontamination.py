@@ -120,7 +120,8 @@ class Index:
         return [(int(i), float(score[i])) for i in found[np.isin(found // self.block, blocks)]]
 
     def document(self, text: str, retrieve: float) -> dict[int, tuple[float, int, float, float]]:
-        """item → (score, first word, question's overlap, answer's overlap) of its best passage."""
+        """item → (best score of its passages, then first word, question's overlap and answer's overlap of the passage that is
+        most like it); all passages that are retrieved are looked at."""
         terms = np.frombuffer(worker_cache(self.name, self._chunk).lookup(text.split()), np.int32)
         unknown, half = len(self.terms), self.passage // 2
         at = np.flatnonzero(terms < unknown)
@@ -129,7 +130,7 @@ class Index:
         # Distinct terms of each half passage.
         keys = np.unique(at // half * unknown + terms[at])
         part, term = keys // unknown, keys % unknown
-        best: dict[int, tuple[float, int]] = {}
+        retrieved: dict[int, list[tuple[float, int]]] = {}
         for lo in range(0, int(part[-1]) + 1, TOGETHER):
             a, b = np.searchsorted(part, [lo, lo + TOGETHER + 1])
             if a == b:
@@ -141,16 +142,22 @@ class Index:
             for i in np.flatnonzero(reach.any(1)):
                 c, d = np.searchsorted(part, [lo + i, lo + i + 2])
                 for item, score in self.scores(np.unique(term[c:d]), np.flatnonzero(reach[i]), retrieve):
-                    if score > best.get(item, (0.0, 0))[0]:
-                        best[item] = (score, int(lo + i) * half)
-        if not best:
+                    retrieved.setdefault(item, []).append((-score, int(lo + i) * half))
+        if not retrieved:
             return {}
         words = [w for chunk in text.split() for w in words_of(chunk)]
         out = {}
-        for item, (score, at) in best.items():
-            near = words[max(0, at - self.passage):at + 2 * self.passage]
+        for item, passages in retrieved.items():
             question, answer = self.parts[item]
-            out[item] = (score, at, overlap(question, near), overlap(answer, near))
+            likest = -1.0
+            for _, at in sorted(passages):
+                near = words[max(0, at - self.passage):at + 2 * self.passage]
+                both = overlap(question, near), overlap(answer, near)
+                if min(both) > likest:
+                    likest, found = min(both), (at, *both)
+                if likest == 1.0:
+                    break
+            out[item] = (-min(passages)[0], *found)
         return out
 
 

@@ -57,6 +57,18 @@ def test_search_finds_all_that_full_scoring_finds(spark, items, rows):
     assert all(abs(sum(index.weights[index.items == i]) - 1) < 1e-9 for i in range(len(index.ids)))
 
 
+def test_item_after_a_shuffled_rival_is_verified():
+    rnd = random.Random(6)
+    question, answer = [f"q{i}" for i in range(20)], [f"a{i}" for i in range(10)]
+    item = " ".join(question) + "\n" + " ".join(answer)
+    index = dc.Index.of([(1, item)], {w: 1 for w in question + answer}, 1, 30.0)
+    shuffled = question + answer
+    rnd.shuffle(shuffled)
+    text = " ".join(shuffled) + " other" * 1000 + " " + item
+    score, first, *overlaps = index.document(text, dc.RETRIEVE)[0]
+    assert score == pytest.approx(1) and first > 900 and overlaps == [1.0, 1.0]
+
+
 def test_planted_items_are_found_and_others_are_left(spark, items, rows, monkeypatch):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, item_id int, score string").repartition(3)
     table = spark.createDataFrame(items, "item_id long, text string")
