@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from areapanel.catalog.aggregates import MONTHLY, monthly
@@ -12,7 +10,7 @@ from areapanel.catalog.base import (
 )
 from areapanel.operators.panel import deflator, growth_overall, rank_areas
 from areapanel.operators.reshape import top_k
-from areapanel.operators.scale import lookup_join, materialize, scratch_dir
+from areapanel.operators.scale import lookup_join, materialize, scratch_path
 from areapanel.plans import crimes, features, forecast, permits, prices, shops
 from areapanel.sources.sinks import write_table
 from areapanel.sources.tables import read_named_table
@@ -179,7 +177,7 @@ def _wide_prices(spark, sf):
     m = monthly(spark, sf).filter(F.col("month").isin(MONTHS))
     wide = m.groupBy(F.col("dataset").alias("Dataset"), F.col("area").alias("RegionName")).pivot("month", MONTHS).agg(F.first("value"))
     # The sheet as a file: its header tells which columns are months.
-    path = f"{scratch_dir(spark).rstrip('/')}/areapanel-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     write_table(wide, path, "csv")
     return read_named_table(spark, path, {"Dataset": "string", "RegionName": "int"} | {month: "double" for month in MONTHS})
 

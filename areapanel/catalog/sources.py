@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from areapanel.catalog.base import PANEL_CTE, panel, query, table
-from areapanel.operators.scale import scratch_dir
+from areapanel.operators.scale import scratch_path
 from areapanel.sources import lookups, places, sinks, tables
 
 
 def _path(spark) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/areapanel-{uuid.uuid4().hex}"
+    return scratch_path(spark)
 
 
 CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"

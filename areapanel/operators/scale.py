@@ -27,6 +27,9 @@ SALTS = 16
 HOT_ROWS = 1_000_000
 HOT_SAMPLE = 0.01
 
+# Used where spark.checkpoint.dir is not set.
+SCRATCH_KEY = "areapanel.scratch.dir"
+
 Keys = Sequence[str]
 
 # Tables this process has written, for ``release``.
@@ -34,18 +37,28 @@ _written: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only when Spark runs on this machine alone."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster; a temporary one only when Spark runs on this machine alone.
+
+    Spark's own setting is only read. The temporary folder is remembered per session under a key of this library.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH_KEY, None)
     if folder:
         return folder
     master = spark.conf.get("spark.master", "")
     if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        raise RuntimeError(f"set spark.checkpoint.dir (or {SCRATCH_KEY}) to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="areapanel-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(SCRATCH_KEY, folder)
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """A new place in the shared folder, which ``release`` deletes."""
+    path = f"{scratch_dir(spark).rstrip('/')}/areapanel-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """Rough size of a row: the length of its texts and of the text form of nested values, 8 for everything else."""
     size = F.lit(0)
@@ -71,8 +84,7 @@ def materialize_measured(df: DataFrame) -> tuple[DataFrame, int, int]:
     made it.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/areapanel-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch_path(spark)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("bytes")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"], seen.get["bytes"] or 0

@@ -236,3 +236,15 @@ def test_lookup_join_keeps_map_columns(spark):
     assert out.count() == 50 and out.filter("t IS NULL").count() == 16
     _, rows, size = scale.materialize_measured(right)
     assert rows == 2 and size >= 2 * 1500
+
+
+def test_library_runs_on_spark_without_any_configuration(tmp_path):
+    import subprocess
+    import sys
+
+    code = ("from areapanel.session import local_session; from areapanel.operators import scale; spark = local_session(1);"
+            "df = scale.materialize(spark.range(3)); print('rows', df.count(), scale.scratch_dir(spark), spark.conf.get('spark.checkpoint.dir', 'unset'));"
+            "print('gone', scale.release(spark))")
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))},
+                          capture_output=True, text=True, timeout=300)
+    assert "rows 3" in done.stdout and done.stdout.count("unset") == 1 and "gone 1" in done.stdout, done.stderr[-2000:]
