@@ -111,6 +111,24 @@ def nearest_top_member(spark, sf):
     return out.select("vec_id", "label", F.round("proximity", 10).alias("proximity"))
 
 
+@query("D-8", """
+WITH pts AS (SELECT o_orderkey, o_orderpriority AS g, o_totalprice AS x, (o_orderkey % 97)::DOUBLE AS y, o_custkey % 5 = 0 AS member FROM orders),
+m AS (SELECT g, x, y FROM pts WHERE member UNION ALL SELECT DISTINCT g, 1e12, -1e12 FROM pts)
+SELECT p.o_orderkey, round(min(sqrt((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y))), 6) AS proximity
+FROM pts p JOIN m ON m.g = p.g WHERE p.o_orderkey % 4 = 1 GROUP BY 1""")
+def nearest_with_far_member(spark, sf):
+    """One member of each group lies very far from all others."""
+    from areapanel.operators.nearest import nearest_in_set
+
+    o = table(spark, sf, "orders")
+    pts = o.select("o_orderkey", F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("x"), (F.col("o_orderkey") % 97).cast("double").alias("y"),
+                   (F.col("o_custkey") % 5 == 0).alias("member"))
+    far = pts.select("g").distinct().withColumns({"x": F.lit(1e12), "y": F.lit(-1e12)})
+    members = pts.filter("member").select("g", "x", "y").unionByName(far)
+    out = nearest_in_set(pts.filter("o_orderkey % 4 = 1"), members, ["g"], "x", "y")
+    return out.select("o_orderkey", F.round("proximity", 6).alias("proximity"))
+
+
 @query("D-9 G-11", f"""
 WITH dated AS (SELECT c_nationkey AS area, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS category, o_totalprice
   FROM orders JOIN customer ON o_custkey = c_custkey),

@@ -4,96 +4,114 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areapanel.functions.numeric import euclid
 from areapanel.operators.distribution import below_group_quantile
-from areapanel.operators.scale import lookup_join, materialize_counted
+from areapanel.operators.scale import ONE_TASK_ROWS, lookup_join, materialize, materialize_counted, number_rows
 
-# Cells are addressed by this many bits per axis; a cell at level l is the upper l bits.
-CELL_BITS = 26
-LEVEL_STEP = 2
-# Splitting goes on until no cell of the last level holds more members than this.
-LEAF_MEMBERS = 32
+# A leaf of the tree holds at most this many members, wherever they lie.
+LEAF_MEMBERS = 16
+# A node is cut into so many strips by its members' first coordinate, and each strip into as many by the second.
+WAYS = 4
 
 
-def _cell(axis: str, level: int):
-    return F.shiftright(F.col(axis), CELL_BITS - level)
+def _finite(c: Column) -> Column:
+    return F.abs(c) < F.lit(float("inf"))  # false for NaN, NULL for NULL
 
 
-def _depth(members: DataFrame, by: Sequence[str], leaf: int) -> int:
-    """First level at which no cell is crowded; one aggregate over all levels at once."""
-    levels = list(range(LEVEL_STEP, CELL_BITS + 1, LEVEL_STEP))
-    shift = F.lit(CELL_BITS) - F.col("_level")
-    crowd = (
-        members.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
-        .groupBy(*by, "_level", F.call_function("shiftright", "_ix", shift).alias("_cx"),
-                 F.call_function("shiftright", "_iy", shift).alias("_cy"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("_level").agg(F.max("_n").alias("_n"))
-        .filter(F.col("_n") <= leaf).agg(F.min("_level"))
-        .first()[0]
-    )
-    return crowd or CELL_BITS
+def _placed(df: DataFrame, by: Sequence[str], x: str, y: str, names: tuple[str, str]) -> DataFrame:
+    """Distinct places per group; a place has two finite coordinates and a group no NULL key."""
+    out = df.select(*by, F.col(x).cast("double").alias(names[0]), F.col(y).cast("double").alias(names[1]))
+    return out.dropna("any").filter(_finite(F.col(names[0])) & _finite(F.col(names[1]))).distinct()
+
+
+def _cut(spots: DataFrame, part: Sequence[str], order: Sequence[str], name: str, in_windows: bool) -> DataFrame:
+    """Deal the rows of each part, in order, into ``WAYS`` runs whose sizes differ by one at most."""
+    if in_windows:
+        return spots.withColumn(name, F.ntile(WAYS).over(Window.partitionBy(*part).orderBy(*order)) - 1)
+    numbered = number_rows(spots, part, [F.col(c).asc() for c in order], "_no")
+    sizes = numbered.groupBy(*part).agg(F.max("_no").alias("_size"))
+    dealt = lookup_join(numbered, sizes, part, "inner")
+    # The same runs as ntile's: the first (size mod WAYS) of them have one row more.
+    short, longer = F.expr(f"_size div {WAYS}"), F.col("_size") % WAYS
+    run = F.when(F.col("_no") <= longer * (short + 1), F.expr(f"(_no - 1) div (_size div {WAYS} + 1)")).otherwise(
+        longer + F.try_divide(F.col("_no") - 1 - longer * (short + 1), short).cast("bigint"))
+    return dealt.withColumn(name, run.cast("int")).drop("_no", "_size")
+
+
+def member_tree(members: DataFrame, by: Sequence[str], x: str, y: str, leaf: int = LEAF_MEMBERS, one_task_rows: int | None = None) -> tuple[DataFrame, int]:
+    """(by, _mx, _my, _node): distinct members and the leaf each is in, and the depth of the tree.
+
+    Nodes are cut at quantiles of their own members' coordinates, so a leaf's size does not depend on where members lie. A
+    level below is ``_node`` divided by ``WAYS`` squared. While a group is too large for one task it is cut over ranges.
+    """
+    limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
+    spots, _ = materialize_counted(_placed(members, by, x, y, ("_mx", "_my")).withColumn("_node", F.lit(0).cast("bigint")))
+    largest = spots.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    depth, size = 0, largest
+    while size > leaf:
+        part = [*by, "_node"]
+        spots = _cut(spots, part, ["_mx", "_my"], "_strip", size <= limit)
+        spots = _cut(spots, [*part, "_strip"], ["_my", "_mx"], "_tile", size <= limit)
+        spots = spots.withColumn("_node", F.col("_node") * WAYS * WAYS + F.col("_strip") * WAYS + F.col("_tile")).drop("_strip", "_tile")
+        depth, size = depth + 1, -(-(-(-size // WAYS)) // WAYS)
+        if size > limit:
+            spots = materialize(spots)
+    return (materialize(spots) if depth else spots), depth
+
+
+def candidate_pairs(
+    points: DataFrame, members: DataFrame, by: Sequence[str], x: str, y: str, leaf: int = LEAF_MEMBERS, lookup_rows: int | None = None,
+    one_task_rows: int | None = None,
+) -> DataFrame:
+    """(by, _qx, _qy, _mx, _my): each distinct place with the few members one of which is its nearest.
+
+    A place descends the members' tree: of the children of its nodes it keeps those whose nearest possible member is not
+    farther than a member that one of them is known to have. Each level's front is written out, so that plans stay short.
+    """
+    by = list(by)
+    keys = [*by, "_qx", "_qy"]
+    tree, depth = member_tree(members, by, x, y, leaf, one_task_rows)
+    front = _placed(points, by, x, y, ("_qx", "_qy")).withColumns({"_node": F.lit(0).cast("bigint"), "_best": F.lit(float("inf"))})
+    qx, qy = F.col("_qx"), F.col("_qy")
+
+    def sides(q, low, high):
+        """Distances to the box along one axis: to it, to its nearer face, to its farther face."""
+        return F.greatest(low - q, q - high, F.lit(0.0)), F.least(F.abs(q - low), F.abs(q - high)), F.greatest(F.abs(q - low), F.abs(q - high))
+
+    for level in range(1, depth + 1):
+        shift = WAYS ** (2 * (depth - level))
+        node = F.expr(f"_node div {shift}")
+        boxes = tree.groupBy(*by, node.alias("_child")).agg(
+            F.min("_mx").alias("_x0"), F.max("_mx").alias("_x1"), F.min("_my").alias("_y0"), F.max("_my").alias("_y1"))
+        boxes = boxes.withColumn("_node", F.expr(f"_child div {WAYS * WAYS}"))
+        met = lookup_join(front, boxes, [*by, "_node"], "inner", limit=lookup_rows)
+        (dx, near_x, far_x), (dy, near_y, far_y) = sides(qx, F.col("_x0"), F.col("_x1")), sides(qy, F.col("_y0"), F.col("_y1"))
+        # Each face of a smallest box has a member on it, so one is as near as the far end of the nearer face.
+        known = F.least(F.hypot(near_x, far_y), F.hypot(far_x, near_y))
+        met = met.select(*keys, F.col("_child").alias("_node"), F.hypot(dx, dy).alias("_low"), F.least("_best", known).alias("_known"))
+        met = met.withColumn("_best", F.min("_known").over(Window.partitionBy(*keys)))
+        # A little slack, because the two bounds are rounded each in its own way.
+        front = materialize(met.filter(F.col("_low") <= F.col("_best") * (1 + 1e-12)).select(*keys, "_node", "_best"))
+    return lookup_join(front.drop("_best"), tree, [*by, "_node"], "inner", limit=lookup_rows, derived=False).select(*keys, "_mx", "_my")
 
 
 def nearest_in_set(
     points: DataFrame, members: DataFrame, by: Sequence[str], x: str, y: str, name: str = "proximity",
-    leaf: int = LEAF_MEMBERS, lookup_rows: int | None = None,
+    leaf: int = LEAF_MEMBERS, lookup_rows: int | None = None, one_task_rows: int | None = None,
 ) -> DataFrame:
     """Smallest straight-line distance from each point to a member of the same group.
 
-    Members are counted into a pyramid of square cells. Each distinct point descends it: at every level it keeps
-    only the cells whose nearest possible member is not farther than the farthest possible member of its best cell,
-    and splits those further. At the last level it meets the few members of the cells that are left. Distances are
-    computed once per distinct place and joined back. NULL where a group has no member or the point no place.
+    Distances are computed once per distinct place, to its ``candidate_pairs``, and joined back. A place has two finite
+    coordinates: NULL where the point has none, where its group key is NULL, or where a group has no member.
     """
     by = list(by)
     if not by:
         raise ValueError("give the group columns; a constant column makes one group")
     keys = [*by, "_qx", "_qy"]
-    places = points.select(*by, F.col(x).cast("double").alias("_qx"), F.col(y).cast("double").alias("_qy")).dropna().distinct()
-    spots, n_spots = materialize_counted(
-        members.select(*by, F.col(x).cast("double").alias("_mx"), F.col(y).cast("double").alias("_my")).dropna().distinct()
-    )
-    # Four numbers: the square that holds all members.
-    x0, x1, y0, y1 = spots.agg(F.min("_mx"), F.max("_mx"), F.min("_my"), F.max("_my")).first()
-    if x0 is None:
-        return points.withColumn(name, F.lit(None).cast("double"))
-    side = max(x1 - x0, y1 - y0) or 1.0
-    top = (1 << CELL_BITS) - 1
-
-    def address(c, origin):
-        return F.least(F.floor((F.col(c) - F.lit(origin)) / F.lit(side) * F.lit(float(top + 1))), F.lit(top)).cast("bigint")
-
-    spots = spots.withColumns({"_ix": address("_mx", x0), "_iy": address("_my", y0)})
-    # A handful of members in all is one leaf per group.
-    depth = 0 if n_spots <= leaf else _depth(spots, by, leaf)
-    front, level = places, 0
-    while level < depth:
-        parent, level = level, min(level + LEVEL_STEP, depth)
-        nodes = spots.groupBy(*by, _cell("_ix", level).alias("_nx"), _cell("_iy", level).alias("_ny")).agg(
-            F.min("_mx").alias("_x0"), F.max("_mx").alias("_x1"), F.min("_my").alias("_y0"), F.max("_my").alias("_y1"))
-        on = by
-        if parent:
-            nodes = nodes.withColumns({
-                "_cx": F.shiftright("_nx", level - parent), "_cy": F.shiftright("_ny", level - parent)})
-            on = [*by, "_cx", "_cy"]
-        pairs = lookup_join(front, nodes, on, "inner", limit=lookup_rows, derived=False)
-        qx, qy = F.col("_qx"), F.col("_qy")
-        zero = F.lit(0.0)
-        dx = F.greatest(F.col("_x0") - qx, qx - F.col("_x1"), zero)
-        dy = F.greatest(F.col("_y0") - qy, qy - F.col("_y1"), zero)
-        fx = F.greatest(F.abs(qx - F.col("_x0")), F.abs(qx - F.col("_x1")))
-        fy = F.greatest(F.abs(qy - F.col("_y0")), F.abs(qy - F.col("_y1")))
-        pairs = pairs.withColumns({"_low": F.sqrt(dx * dx + dy * dy), "_high": F.sqrt(fx * fx + fy * fy)})
-        pairs = pairs.withColumn("_best", F.min("_high").over(Window.partitionBy(*keys)))
-        front = pairs.filter("_low <= _best").select(
-            *keys, F.col("_nx").alias("_cx"), F.col("_ny").alias("_cy"))
-    cells = {"_cx": _cell("_ix", depth), "_cy": _cell("_iy", depth)} if depth else {}
-    leaves = spots.select(*by, *[c.alias(n) for n, c in cells.items()], "_mx", "_my")
-    met = lookup_join(front, leaves, [*by, *cells], "inner", limit=lookup_rows, derived=False)
+    met = candidate_pairs(points, members, by, x, y, leaf, lookup_rows, one_task_rows)
     found = met.groupBy(*keys).agg(F.min(euclid(F.col("_qx"), F.col("_qy"), F.col("_mx"), F.col("_my"))).alias(name))
     marked = points.withColumns({"_qx": F.col(x).cast("double"), "_qy": F.col(y).cast("double")})
     return lookup_join(marked, found, keys, "left", limit=lookup_rows).select(*points.columns, name)
