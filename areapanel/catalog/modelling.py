@@ -117,6 +117,32 @@ def score_over_draws(spark, sf):
     return out.select("area", "year", "y_mean", "p05", "p95").withColumns(rounded(8, "y_mean", "p05", "p95"))
 
 
+MANY_DRAWS = 4000
+MANY_INPUTS = [f"x{i}" for i in range(1, 8)]
+
+
+@query("H-10", f"""
+WITH {PANEL_CTE}, {AREAS_CTE},
+x AS (SELECT p.area, p.year, a.borough, p.price / 100000 AS prev, {", ".join(f"(p.area * {i} + p.year * {8 - i}) % 17 / 10.0::DOUBLE AS x{i}" for i in range(1, 8))}
+  FROM panel p JOIN areas a ON a.area = p.area),
+d AS (SELECT b.borough, k.draw, {", ".join(f"((k.draw * {13 + 10 * i} + b.borough * 7) % 1009 - 504) / 4000.0::DOUBLE AS b{i}" for i in range(1, 8))}, -1.0::DOUBLE - k.draw % 50 / 50.0::DOUBLE AS gamma
+  FROM (SELECT DISTINCT borough FROM areas) b CROSS JOIN (SELECT unnest(range({MANY_DRAWS})) AS draw) k),
+s AS (SELECT area, year, prev + exp({" + ".join(f"x{i} * b{i}" for i in range(1, 8))} + gamma) AS mu FROM x JOIN d ON d.borough = x.borough)
+SELECT area, year, round(avg(mu), 8) AS y_mean, round(quantile_cont(mu, 0.025), 8) AS p025, round(quantile_cont(mu, 0.5), 8) AS p50, round(quantile_cont(mu, 0.975), 8) AS p975
+FROM s GROUP BY 1, 2""")
+def score_over_many_draws(spark, sf):
+    """Four thousand draws of seven coefficients for each borough."""
+    a = areas(spark, sf)
+    b, k = F.col("borough"), F.col("draw")
+    draws = a.select("borough").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(MANY_DRAWS - 1)))).select(
+        "draw", "borough", F.array(*[((k * (13 + 10 * i) + b * 7) % 1009 - 504) / 4000.0 for i in range(1, 8)]).alias("betas"), (F.lit(-1.0) - k % 50 / 50).alias("gamma"))
+    x = panel(spark, sf).join(a.select("area", "borough"), "area").select(
+        "area", "year", "borough", (F.col("price") / 100000).alias("prev"),
+        *[((F.col("area") * i + F.col("year") * (8 - i)) % 17 / 10.0).alias(f"x{i}") for i in range(1, 8)])
+    out = models.score_draws(x, draws, "borough", MANY_INPUTS, "prev", {"p025": 0.025, "p50": 0.5, "p975": 0.975})
+    return out.select("area", "year", "y_mean", "p025", "p50", "p975").withColumns(rounded(8, "y_mean", "p025", "p50", "p975"))
+
+
 @query("H-11", f"""
 WITH {PANEL_CTE}, g AS (SELECT area, year, price / 100000 AS mu, (price / 100000) * (1 + (area - 12) / 40.0::DOUBLE) AS threshold FROM panel),
 p AS (SELECT area, year, mu * mu / 0.05::DOUBLE AS a, mu / 0.05::DOUBLE * threshold AS z FROM g),

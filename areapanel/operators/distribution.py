@@ -8,102 +8,99 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areapanel.operators.scale import ONE_TASK_ROWS, lookup_join, materialize
+from areapanel.operators.scale import (
+    BROADCAST_BYTES, BROADCAST_ROWS, ONE_TASK_ROWS, lookup_join, materialize, materialize_observed, running_sum,
+)
 
-# Bins per interval and most rounds of the search for a quantile; after the last the rows left are counted by value.
-BINS = 4096
-MAX_ROUNDS = 40
+# The sketch finds a rank to within 1 / ACCURACY of a group's rows; a bracket reaches MARGIN times as far to either side.
+ACCURACY = 10_000
+MARGIN = 3
 # Stands for an infinite value while quantiles are sought.
 LARGEST = 1.7976931348623157e308
 
 
 def quantile_by(
     df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], approximate: bool = False,
-    one_task_rows: int | None = None,
+    one_task_rows: int | None = None, derived: bool = False, accuracy: int = ACCURACY, margin: float = MARGIN,
 ) -> DataFrame:
     """Quantiles with linear interpolation per group, one column per entry of ``probs``.
 
-    The rows are counted first, with their range. Few rows go through ``percentile``. Many are not sorted and not
-    shuffled: see ``_narrow``. Missing values (NULL and NaN) are left out; a group without any value has no row.
-    Infinite values are the smallest and largest there are.
+    One pass counts the rows and makes a mergeable sketch. Few rows then go through ``percentile``; of many only those
+    near the wanted ranks are counted by value, see ``_bracketed``. ``derived`` writes keys and values out first, so that
+    what ``df`` is made from is computed once. Missing values (NULL and NaN) are left out; a group without any value has
+    no row, and the rows without a key are a group. Infinite values are the smallest and largest there are.
     """
-    key = F.struct(*by) if by else F.lit(0)
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
     v = F.col(value).cast("double")
     df = df.select(key.alias("_key"), v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     groups = [F.col(f"_key.`{c}`").alias(c) for c in by]
     if approximate:
         found = df.groupBy("_key").agg(*[F.percentile_approx("_v", p).alias(n) for n, p in probs.items()])
         return found.select(*groups, *probs)
+    df = materialize(df) if derived else df
     limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
-    # Infinite values take part as the largest finite number, which has a width that can be halved.
+    # Infinite values take part as the largest finite number.
     up, down = F.col("_v") == float("inf"), F.col("_v") == float("-inf")
     df = df.select("_key", F.when(up, LARGEST).when(down, -LARGEST).otherwise(F.col("_v")).alias("_v"), up.cast("int").alias("_u"), down.cast("int").alias("_d"))
-    stats = materialize(df.groupBy("_key").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_u").alias("_up"), F.sum("_d").alias("_down"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    df = df.select("_key", "_v")
-    total = stats.agg(F.sum("_n")).first()[0] or 0
-    if total <= limit:
-        places = F.array(*[F.lit(float(p)) for p in probs.values()])
-        found = df.groupBy("_key").agg(F.percentile("_v", places).alias("_q"))
-        found = found.select("_key", *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+    counts = [F.count(F.lit(1)).alias("_n"), F.sum("_u").alias("_up"), F.sum("_d").alias("_down")]
+    places = [min(1.0, max(0.0, float(p) + side * margin / accuracy)) for p in probs.values() for side in (-1, 1)]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in places]), accuracy).alias("_marks")
+    stats, seen = materialize_observed(df.groupBy("_key").agg(*counts, F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), sketch),
+                                       groups=F.count(F.lit(1)), rows=F.sum("_n"), largest=F.max("_n"))
+    if (seen["rows"] or 0) <= limit:
+        found = df.groupBy("_key").agg(*counts, F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
+        found = found.select("_key", "_n", "_up", "_down", *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
     else:
-        found = _narrow(df, stats, probs, limit)
-    return found.join(stats, "_key").select(*groups, *[_infinite(F.col(n), p).alias(n) for n, p in probs.items()])
+        found = _bracketed(df.select("_key", "_v"), stats, probs, seen, accuracy, margin)
+    return found.select(*groups, *[_infinite(F.col(n), p).alias(n) for n, p in probs.items()])
 
 
-def _infinite(q: Column, p: float) -> Column:
-    """Infinite where the row at the wanted place, or one of the two beside it, is."""
-    place = (F.col("_n") - 1) * F.lit(float(p))
-    return F.when(F.ceil(place) >= F.col("_n") - F.col("_up"), float("inf")).when(F.floor(place) < F.col("_down"), float("-inf")).otherwise(q)
+def _place(p: float) -> Column:
+    return (F.col("_n") - 1) * F.lit(float(p))
 
 
-def _narrow(df: DataFrame, stats: DataFrame, probs: dict[str, float], limit: int) -> DataFrame:
-    """Exact quantiles by narrowing in on the wanted ranks.
+def _bracketed(df: DataFrame, stats: DataFrame, probs: dict[str, float], seen: dict, accuracy: int, margin: float) -> DataFrame:
+    """Exact quantiles from one more pass over the rows, which sorts none of them.
 
-    Each round counts the rows of the open value intervals in ``BINS`` bins, and keeps the bins that hold a wanted
-    rank as the next intervals, cut to their smallest and largest value. An interval of one value is an answer. When
-    what is left is few rows, their distinct values are put in order. A round reads two columns and shuffles bin
-    counts only, whatever the size or skew of a group.
+    The sketch gives each wanted rank a bracket of values. Rows inside a bracket are counted by value, all others by the gap
+    between brackets they are in, so that running sums of the counts give every value's rank; a group that the sketch
+    holds whole is one bracket. A hot group costs each task a row per value near a wanted rank. A rank outside its
+    bracket, which the sketch rules out, is an error and no wrong result.
     """
-    def place(p):
-        return (F.col("_n") - 1) * F.lit(float(p))
-
-    wanted = F.array_distinct(F.array(*[f(place(p)).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]))
-    spans = stats.select("_key", "_n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_before"), wanted.alias("_ranks"),
-                         F.col("_n").alias("_inside"))
-    answers = []
-    for round_ in range(MAX_ROUNDS + 1):
-        answers.append(spans.filter("_lo = _hi").select("_key", "_n", F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v")))
-        left = spans.filter("_lo < _hi")
-        inside = left.agg(F.sum("_inside")).first()[0] or 0
-        if not inside:
-            break
-        packed = left.groupBy("_key").agg(F.first("_n").alias("_n"), F.collect_list(
-            F.struct("_lo", "_hi", "_before", "_ranks")).alias("_spans"))
-        rows = lookup_join(df, packed, ["_key"], "inner").withColumn("_s", F.explode(
-            F.filter("_spans", lambda s: (s["_lo"] <= F.col("_v")) & (F.col("_v") <= s["_hi"]))))
-        rows = rows.select("_key", "_n", "_v", "_s._lo", "_s._hi", "_s._before", "_s._ranks")
-        last = inside <= limit or round_ == MAX_ROUNDS
-        # Halves, so that the width of the widest interval is still a finite number.
-        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-        bin_ = F.col("_v") if last else F.least(F.floor(share * BINS), F.lit(BINS - 1))
-        counts = rows.groupBy("_key", "_n", "_lo", "_before", "_ranks", bin_.alias("_bin")).agg(
-            F.count(F.lit(1)).alias("_inside"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-        earlier = Window.partitionBy("_key", "_lo").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        begin = F.col("_before") + F.coalesce(F.sum("_inside").over(earlier), F.lit(0))
-        placed = counts.withColumn("_begin", begin)
-        hits = F.filter("_ranks", lambda r: (r >= F.col("_begin")) & (r < F.col("_begin") + F.col("_inside")))
-        spans = materialize(placed.select(
-            "_key", "_n", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_begin").alias("_before"),
-            hits.alias("_ranks"), "_inside").filter(F.size("_ranks") > 0))
-    found = reduce(DataFrame.unionByName, answers)
+    few = F.col("_n") <= accuracy
+    pairs = [F.struct(F.get("_marks", F.lit(2 * i)).alias("a"), F.get("_marks", F.lit(2 * i + 1)).alias("b")) for i in range(len(probs))]
+    brackets = F.when(few, F.array(F.struct(F.col("_lo").alias("a"), F.col("_hi").alias("b")))).otherwise(F.array(*pairs))
+    ranks = F.array_distinct(F.array(*[f(_place(p)).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]))
+    packed = stats.select("_key", "_n", "_up", "_down", brackets.alias("_brackets"))
+    small = seen["groups"] <= BROADCAST_ROWS and seen["groups"] * 64 * (2 + len(probs)) <= BROADCAST_BYTES
+    rows = df.join(F.broadcast(packed), "_key") if small else lookup_join(df, packed, ["_key"], "inner", derived=False)
+    inside = F.exists("_brackets", lambda s: (s["a"] <= F.col("_v")) & (F.col("_v") <= s["b"]))
+    gap = F.size(F.filter("_brackets", lambda s: s["b"] < F.col("_v")))
+    counted = rows.groupBy("_key", F.when(inside, F.col("_v")).alias("_own"), F.when(~inside, gap).alias("_gap")).agg(
+        F.count(F.lit(1)).alias("_count"), F.max("_v").alias("_at"), *[F.first(c).alias(c) for c in ("_n", "_up", "_down")])  # numbers only, so that it is a hash aggregate
+    # Values in brackets of one group: what the sketch may be off, or a group that it holds whole.
+    if max(accuracy, seen["largest"] * 2 * (margin + 1) * len(probs) / accuracy) <= ONE_TASK_ROWS:
+        upto = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = counted.withColumn("_upto", F.sum("_count").over(upto))
+    else:
+        ranked = running_sum(counted, ["_key"], [F.col("_at").asc()], "_count", "_upto")
+    hits = F.filter(ranks, lambda r: (r >= F.col("_upto") - F.col("_count")) & (r < F.col("_upto")))
+    checked = F.when(F.col("_gap").isNull(), F.col("_at")).otherwise(
+        F.raise_error(F.lit("a rank lies outside the bracket of its sketch; give a larger margin")).cast("double"))
+    hit = ranked.filter(F.size(hits) > 0).select("_key", "_n", "_up", "_down", F.explode(hits).alias("_rank"), checked.alias("_v"))
     out = []
     for name, p in probs.items():
-        low = F.max(F.when(F.col("_rank") == F.floor(place(p)), F.col("_v")))
-        high = F.max(F.when(F.col("_rank") == F.ceil(place(p)), F.col("_v")))
-        share = F.max(place(p) - F.floor(place(p)))
+        low = F.max(F.when(F.col("_rank") == F.floor(_place(p)), F.col("_v")))
+        high = F.max(F.when(F.col("_rank") == F.ceil(_place(p)), F.col("_v")))
+        share = F.max(_place(p) - F.floor(_place(p)))
         out.append((low + (high - low) * share).alias(name))
-    return found.groupBy("_key").agg(*out)
+    return hit.groupBy("_key", "_n", "_up", "_down").agg(*out)
+
+
+def _infinite(q: Column, p: float) -> Column:
+    """Infinite where the row at the wanted place, or one of the two beside it, is."""
+    place = _place(p)
+    return F.when(F.ceil(place) >= F.col("_n") - F.col("_up"), float("inf")).when(F.floor(place) < F.col("_down"), float("-inf")).otherwise(q)
 
 
 def below_group_quantile(

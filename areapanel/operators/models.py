@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     GeneralizedLinearRegression, LinearRegression, RandomForestRegressionModel, RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,9 @@ from areapanel.operators.scale import BROADCAST_BYTES, lookup_join, materialize,
 FEATURES = "features"
 # Coefficients of up to this many groups are broadcast in every round of a per-group fit.
 SMALL_GROUPS = 10_000
+# Bytes of a block of posterior draws, on average, and bins by which the scores of a row under all draws are counted.
+DRAW_ROW_BYTES = 400
+DRAW_BINS = 64
 # Rounds of a per-group fit in one plan, before its coefficients are written out.
 ROUNDS_AT_ONCE = 4
 
@@ -198,24 +201,68 @@ def score_gamma(df: DataFrame, mu: str, phi: str | float) -> DataFrame:
 
 def score_draws(
     df: DataFrame, draws: DataFrame, group: str, inputs: Sequence[str], previous: str, probs: dict[str, float],
-    mean: str = "y_mean",
+    mean: str = "y_mean", row_bytes: int = DRAW_ROW_BYTES, lookup_rows: int | None = None,
 ) -> DataFrame:
-    """Score every row under every posterior draw of its group and summarise over the draws.
+    """Score every row under every posterior draw of its group, and summarise over the draws: mean and exact quantiles.
 
-    ``draws`` has (draw, group, betas array, gamma). The draws of a group, as many as the sampler was run for, are
-    packed into one array, so a row meets all of them without being copied and the summary needs no shuffle.
+    ``draws`` has (draw, group, betas array, gamma). The draws are a side table of blocks of about ``row_bytes``; a row meets
+    the blocks of its group one by one and never holds all of them. Three passes over (row, block): sums and range; counts
+    in ``DRAW_BINS`` bins of the range, which tell the bins of the wanted ranks; and counts by value inside these. Only sums
+    and counts are shuffled, combined per task before. Scores rise with the linear term, so that is what is ranked.
+
+    A row with a missing input, or without a draw, has NULL results; a draw with a missing number is left out, and rows
+    that repeat are summarised each.
     """
-    packed = draws.groupBy(group).agg(
-        F.sort_array(F.collect_list(F.struct("draw", "betas", "gamma"))).alias("_draws"))
-    joined = lookup_join(df, packed, [group], "inner")
+    size = max(1, row_bytes // (8 * (len(inputs) + 2)))
+    whole = draws.filter(F.col("gamma").isNotNull() & ~F.isnan("gamma") & F.forall("betas", lambda b: b.isNotNull() & ~F.isnan(b)) & (F.size("betas") == len(inputs)))
+    # Draws of a group are numbered by hash, not by place, so that no group is in one task; blocks hold about ``size``.
+    counted = whole.groupBy(group).agg(F.count(F.lit(1)).alias("_draws"))
+    block = F.pmod(F.xxhash64("draw"), F.ceil(F.col("_draws") / size))
+    dealt = lookup_join(whole, counted, [group], "inner").select(F.col(group).alias("_g"), block.alias("_block"), F.struct("betas", "gamma").alias("_d"))
+    blocks = materialize(dealt.groupBy("_g", "_block").agg(F.collect_list("_d").alias("_ds")).drop("_block"))
+
     x = F.array(*[F.col(c).cast("double") for c in inputs])
-    scored = F.transform("_draws", lambda d: F.col(previous) + F.exp(weighted_sum(x, d["betas"]) + d["gamma"]))
-    joined = joined.withColumn("_scores", F.array_sort(scored)).withColumn("_m", F.size("_scores"))
-    total = F.aggregate("_scores", F.lit(0.0), lambda acc, s: acc + s)
-    out = {mean: total / F.col("_m")}
-    for name, p in probs.items():
-        place = (F.col("_m") - 1) * F.lit(float(p))
-        low = F.element_at("_scores", (F.floor(place) + 1).cast("int"))
-        high = F.element_at("_scores", (F.ceil(place) + 1).cast("int"))
-        out[name] = low + (high - low) * (place - F.floor(place))
-    return joined.withColumns(out).drop("_draws", "_scores", "_m")
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    fit = F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v)) & F.col("_prev").isNotNull() & ~F.isnan("_prev")
+    points = rows.select("_row", F.col(group).alias("_g"), x.alias("_x"), F.col(previous).cast("double").alias("_prev")).filter(fit)
+
+    def met(side: DataFrame) -> DataFrame:
+        """Each row with the linear terms under a block's draws."""
+        line = F.transform("_ds", lambda d: weighted_sum(F.col("_x"), d["betas"]) + d["gamma"])
+        return lookup_join(side, blocks, ["_g"], "inner", limit=lookup_rows, derived=False).withColumn("_lines", line)
+
+    total = F.aggregate("_lines", F.lit(0.0), lambda acc, t: acc + F.exp(t))
+    spans = met(points).groupBy("_row").agg(
+        F.sum(F.size("_lines")).alias("_n"), F.sum(total).alias("_sum"), F.min(F.array_min("_lines")).alias("_lo"), F.max(F.array_max("_lines")).alias("_hi"))
+    known = materialize(points.join(spans, "_row"))
+    places = [F.expr(f"(_n - 1) * {float(p)!r}D") for p in probs.values()]
+    ranks = F.array_distinct(F.array(*[f(c).cast("bigint") for c in places for f in (F.floor, F.ceil)]))
+
+    def bin_of(t: Column) -> Column:
+        share = F.try_divide(t - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+        return F.least(F.coalesce(F.floor(share * DRAW_BINS), F.lit(0)), F.lit(DRAW_BINS - 1)).cast("int")
+
+    upto = Window.partitionBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def holding(counts: DataFrame, order: str, before: Column) -> DataFrame:
+        """Counted bins or values (at most the draws of a row) that hold a wanted rank; those ranks, and the rows before them."""
+        ended = counts.withColumn("_end", before + F.sum("_count").over(upto.orderBy(order)))
+        begin = F.col("_end") - F.col("_count")
+        return ended.withColumn("_hit", F.filter("_ranks", lambda r: (r >= begin) & (r < F.col("_end")))).filter(F.size("_hit") > 0).withColumn("_begin", begin)
+
+    by_bin = met(known).select("_row", "_n", F.explode(F.transform("_lines", bin_of)).alias("_bin")).groupBy("_row", "_n", "_bin").agg(F.count(F.lit(1)).alias("_count"))
+    open_bins = holding(by_bin.withColumn("_ranks", ranks), "_bin", F.lit(0)).groupBy("_row").agg(
+        F.collect_list(F.struct("_bin", "_begin", "_hit")).alias("_open"))
+    narrowed = materialize(known.join(open_bins, "_row"))
+    inside = F.flatten(F.transform("_lines", lambda t: F.transform(F.filter("_open", lambda o: o["_bin"] == bin_of(t)), lambda o: F.struct(
+        o["_bin"].alias("_bin"), o["_begin"].alias("_first"), o["_hit"].alias("_ranks"), t.alias("_line")))))
+    values = met(narrowed).select("_row", "_n", "_prev", "_sum", F.explode(inside).alias("_v")).select("_row", "_n", "_prev", "_sum", "_v.*")
+    by_value = values.groupBy("_row", "_bin", "_line").agg(F.count(F.lit(1)).alias("_count"), *[F.first(c).alias(c) for c in ("_n", "_prev", "_sum", "_first", "_ranks")])
+    upto = Window.partitionBy("_row", "_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = holding(by_value, "_line", F.col("_first")).select("_row", "_n", "_prev", "_sum", F.explode("_hit").alias("_rank"), (F.col("_prev") + F.exp("_line")).alias("_score"))
+    out = {mean: F.max(F.col("_prev") + F.col("_sum") / F.col("_n"))}
+    for name, place in zip(probs, places):
+        low, high = (F.max(F.when(F.col("_rank") == f(place), F.col("_score"))) for f in (F.floor, F.ceil))
+        out[name] = low + (high - low) * F.max(place - F.floor(place))
+    summary = found.groupBy("_row").agg(*[c.alias(n) for n, c in out.items()])
+    return rows.join(summary, "_row", "left").drop("_row")

@@ -77,17 +77,21 @@ def _row_bytes(df: DataFrame) -> Column:
     return size
 
 
-def materialize_measured(df: DataFrame) -> tuple[DataFrame, int, int]:
-    """Write ``df`` once to the shared folder and read it back, with its rows and bytes counted on the way.
+def materialize_observed(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` once to the shared folder and read it back, with aggregates of its rows worked out on the way.
 
     Later plans start from the files, so they neither recompute the input nor depend on the executors that
     made it.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark)
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("bytes")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["n"], seen.get["bytes"] or 0
+    spark, path, seen = df.sparkSession, scratch_path(df.sparkSession), Observation()
+    df.observe(seen, *[c.alias(n) for n, c in figures.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), dict(seen.get)
+
+
+def materialize_measured(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """``materialize_observed`` with the number of rows and their size in bytes."""
+    stored, seen = materialize_observed(df, n=F.count(F.lit(1)), bytes=F.sum(_row_bytes(df)))
+    return stored, seen["n"], seen["bytes"] or 0
 
 
 def release(spark: SparkSession) -> int:
