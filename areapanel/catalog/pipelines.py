@@ -351,12 +351,72 @@ WITH {WIDE_CTE}, f AS (SELECT area, year, unnest(['A1', 'A2', 'DM', 'NB']) AS t,
 r AS (SELECT area, t, sum(CASE WHEN year = 2001 THEN round_even(v * (1 + 1 / 12.0::DOUBLE), 0) ELSE v END) / 8 AS rate FROM f GROUP BY 1, 2),
 y AS (SELECT area, t, rate, unnest(range(2002, 2010)) AS year FROM r),
 u AS (SELECT *, CAST('0x' || substr(md5('3:' || area::VARCHAR || ':' || year::VARCHAR || ':' || t), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM y),
-c AS (SELECT area, year, t, u, sum(CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) END) OVER (PARTITION BY area, year, t ORDER BY k) AS cdf
-  FROM u CROSS JOIN (SELECT unnest(range(1200)) AS k) ks)
-SELECT area, CAST(year AS INTEGER) AS year, {", ".join(f"CAST(count(*) FILTER (WHERE t = '{t}' AND cdf < u) AS BIGINT) AS {t}" for t in ("A1", "A2", "DM", "NB"))}
-FROM c GROUP BY 1, 2""")
+c AS (SELECT area, year, t, u, rate, k, sum(CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) END) OVER (PARTITION BY area, year, t ORDER BY k) AS cdf
+  FROM (SELECT *, unnest(range(CAST(greatest(floor(rate - 12 * sqrt(rate) - 60), 0) AS BIGINT), CAST(ceil(rate + 12 * sqrt(rate) + 60) AS BIGINT) + 1)) AS k FROM u))
+SELECT area, CAST(year AS INTEGER) AS year, {", ".join(f"CAST(max(drawn) FILTER (WHERE t = '{t}') AS BIGINT) AS {t}" for t in ("A1", "A2", "DM", "NB"))}
+FROM (SELECT area, year, t, CASE WHEN max(rate) > 0 THEN min(k) + count(*) FILTER (WHERE cdf < u) ELSE 0 END AS drawn FROM c GROUP BY 1, 2, 3) s GROUP BY 1, 2""")
 def permit_forecast(spark, sf):
     rates = permits.permit_rates(wide_counts(spark, sf), 2001, 1997)
     return forecast.permit_forecast(rates, range(2002, 2010), seed=3)
 
 
+
+
+# The forecast from the panel to the ranking: stand-in parameters for 10 draws, 5 boroughs and 5 neighbourhoods.
+DRAWS, SPAN, AHEAD = 10, 4, range(2002, 2010)
+
+
+def forecast_parameters(spark, sf):
+    """(by_borough, by_neighborhood, by_draw)"""
+    b, d, n = F.col("borough").cast("double"), F.col("draw"), F.col("neighborhood")
+    each = lambda df: df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    boroughs = each(areas(spark, sf).select("borough").distinct()).select(
+        "draw", "borough", F.array(b * 0.01 + d * 0.002, F.lit(0.02), d * 0.003, F.lit(-0.01), F.lit(0.05)).alias("betas"), (F.lit(-3.0) - b / 10 - d * 0.01).alias("gamma"))
+    hoods = each(areas(spark, sf).select((F.col("area") % 5).alias("neighborhood")).distinct()).select("draw", "neighborhood", (n * 0.01 - d * 0.001).alias("tau"))
+    return boroughs, hoods, spark.range(DRAWS).select(F.col("id").cast("int").alias("draw"), (F.col("id") * 0.005 + 0.05).alias("phi"))
+
+
+@query("H-16 H-14 H-7 F-13 H-8 H-10 I-1 I-4 I-5 F-14", f"""
+WITH RECURSIVE {CRIME_FORECAST}, {WIDE_CTE}, {AREAS_CTE},
+crime AS (SELECT path.area, path.year, ln(a / land) AS log_overall FROM path JOIN areas ON areas.area = path.area WHERE path.year BETWEEN 2002 AND 2009 AND a > 0
+  QUALIFY count(*) OVER (PARTITION BY path.area) = 8),
+f AS (SELECT area, year, unnest(['A1', 'A2', 'DM', 'NB']) AS t, unnest([A1, A2, DM, NB])::DOUBLE AS v FROM wide),
+full_years AS (SELECT area, year, t, CASE WHEN year = 2001 THEN round_even(v * (1 + 1 / 12.0::DOUBLE), 0) ELSE v END AS v FROM f),
+rates AS (SELECT area, t, sum(v) / 8 AS rate FROM full_years WHERE year >= 1997 GROUP BY 1, 2),
+u AS (SELECT area, t, rate, draw, year, CAST('0x' || substr(md5('3:' || area::VARCHAR || ':' || draw::VARCHAR || ':' || year::VARCHAR || ':' || t), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  FROM (SELECT area, t, rate, unnest(range({DRAWS})) AS draw FROM rates) CROSS JOIN (SELECT unnest(range(2002, 2010)) AS year) y),
+c AS (SELECT area, t, rate, draw, year, u, k, sum(CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) END) OVER (PARTITION BY area, t, draw, year ORDER BY k) AS cdf
+  FROM (SELECT *, unnest(range(CAST(greatest(floor(rate - 12 * sqrt(rate) - 60), 0) AS BIGINT), CAST(ceil(rate + 12 * sqrt(rate) + 60) AS BIGINT) + 1)) AS k FROM u)),
+drawn AS (SELECT area, t, draw, year, CASE WHEN max(rate) > 0 THEN min(k) + count(*) FILTER (WHERE cdf < u) ELSE 0 END::DOUBLE AS v FROM c GROUP BY 1, 2, 3, 4),
+known AS (SELECT area, t, draw, year, v FROM full_years CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw) d WHERE year >= 2000 UNION ALL SELECT area, t, draw, year, v FROM drawn),
+perm AS (SELECT k.area, draw, k.year, max(v) FILTER (WHERE t = 'NB') AS nb, max(v) FILTER (WHERE t = 'A1') AS a1, max(v) FILTER (WHERE t = 'A2') AS a2, max(v / land) FILTER (WHERE t = 'DM') AS dm
+  FROM known k JOIN areas ON areas.area = k.area GROUP BY 1, 2, 3),
+lagged AS (SELECT *, ln(lag(nb) OVER p + 1.001) AS nb1, ln(lag(a1) OVER p + 1.001) AS a11, ln(lag(a2) OVER p + 1.001) AS a21, ln(lag(dm, 2) OVER p + 1.001) AS dm2
+  FROM perm WINDOW p AS (PARTITION BY area, draw ORDER BY year)),
+inc AS (SELECT l.area, l.draw, l.year, exp(nb1 * (borough * 0.01::DOUBLE + draw * 0.002::DOUBLE) + a11 * 0.02::DOUBLE + a21 * (draw * 0.003::DOUBLE) + dm2 * -0.01::DOUBLE + (l.area * 7 % 25) / 10.0::DOUBLE * 0.05::DOUBLE
+    + (-3.0::DOUBLE - borough / 10.0::DOUBLE - draw * 0.01::DOUBLE) + log_overall * ((l.area % 5) * 0.01::DOUBLE - draw * 0.001::DOUBLE)) AS inc
+  FROM lagged l JOIN areas ON areas.area = l.area JOIN crime ON crime.area = l.area AND crime.year = l.year WHERE l.year >= 2002),
+mus AS (SELECT i.area, draw, i.year, p.price / 100000 + sum(inc) OVER (PARTITION BY i.area, draw ORDER BY i.year) AS mu, draw * 0.005::DOUBLE + 0.05::DOUBLE AS phi
+  FROM inc i JOIN panel p ON p.area = i.area AND p.year = 2001),
+fc AS (SELECT area, year, avg(mu) AS price, avg(mu * mu / phi) AS alpha, avg(mu / phi) AS beta FROM mus GROUP BY 1, 2),
+both_ AS (SELECT area, year, income, price / 100000 AS price FROM panel UNION ALL SELECT area, year, NULL, price FROM fc),
+bands AS (SELECT year, quantile_cont(income, 0.4) AS income_low, quantile_cont(price, 0.4) AS house_low FROM both_ GROUP BY 1),
+joined AS (SELECT p.area, p.year, p.price, s.income AS income_start, s.price AS price_start, b.income_low, b.house_low, p.price / s.price - 1 AS increase
+  FROM both_ p JOIN both_ s ON s.area = p.area AND s.year = p.year - {SPAN} JOIN bands b ON b.year = p.year - {SPAN}),
+tops AS (SELECT year, quantile_cont(increase, 2 / 3.0::DOUBLE) AS top_increase FROM joined GROUP BY 1),
+graded AS (SELECT j.area, j.year, j.price, alpha, beta, income_start < income_low AND price_start < house_low AND increase > top_increase AS wanted, beta * price_start * (top_increase + 1) AS z
+  FROM joined j JOIN tops t ON t.year = j.year JOIN fc ON fc.area = j.area AND fc.year = j.year WHERE j.year IN (2004, 2005)),
+cdf AS (SELECT area, year, least(1.0, sum(exp((alpha + k) * ln(z) - z - lgamma(alpha + k + 1)))) AS cdf FROM graded CROSS JOIN (SELECT unnest(range(2500)) AS k) t GROUP BY 1, 2),
+prob AS (SELECT g.area, g.year, g.price, round(CASE WHEN wanted THEN 1 - cdf ELSE 0.0 END, 6) AS probability FROM graded g JOIN cdf c ON c.area = g.area AND c.year = g.year)
+SELECT area, CAST(year AS INTEGER) AS year, row_number() OVER (PARTITION BY year ORDER BY probability DESC, area) AS rank, CAST(round_even(probability * 100, 0) AS INTEGER) AS percent, round(price, 6) AS price FROM prob""")
+def panel_to_ranking(spark, sf):
+    """Permits are drawn year by year for each draw of the parameters, and become the lags of the years after."""
+    from areapanel.operators.reshape import concat
+    from areapanel.plans.areas import ranking
+
+    p = materialize(_model_panel(spark, sf).withColumn("neighborhood", F.col("area") % 5))
+    crime = forecast.crime_densities(forecast.crime_forecast(p.select("area", "year", "crime_count"), 2000, 8), p.select("area", "land"))
+    paths = forecast.forecast_paths(forecast.path_start(p, 2001, 1997), crime, *forecast_parameters(spark, sf), AHEAD, seed=3)
+    scored = forecast.forecast_ranking(p, paths, SPAN, 2001).withColumn("probability", F.round("probability", 6))
+    shown = concat([ranking(scored, year) for year in (2004, 2005)])
+    return shown.select("area", "year", "rank", "percent", F.round("price", 6).alias("price"))

@@ -26,17 +26,17 @@ def poisson_value(u: Column, rate: Column) -> Column:
     """Smallest count whose cumulative Poisson probability reaches ``u``.
 
     Probabilities are summed inside the row, over the counts within 12 sqrt(rate) + 60 of the rate; outside of these
-    they vanish in double precision.
+    they vanish in double precision. Each follows from the one before it.
     """
     reach = F.sqrt(rate) * 12.0 + 60.0
     first = F.greatest(F.floor(rate - reach), F.lit(0)).cast("bigint")
     last = F.ceil(rate + reach).cast("bigint")
-    start = F.struct(F.lit(0.0).alias("sum"), first.alias("below"))
+    least = F.exp(first * F.ln(rate) - rate - ln_gamma(first.cast("double") + 1.0))
+    start = F.struct(F.lit(0.0).alias("sum"), least.alias("p"), first.alias("below"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = F.exp(k * F.ln(rate) - rate - ln_gamma(k.cast("double") + 1.0))
-        total = acc["sum"] + p
-        return F.struct(total.alias("sum"),
+        total = acc["sum"] + acc["p"]
+        return F.struct(total.alias("sum"), (acc["p"] * rate / (k + 1)).alias("p"),
                         (acc["below"] + F.when(total < u, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias("below"))
 
     drawn = F.aggregate(F.sequence(first, last), start, step, lambda acc: acc["below"])
