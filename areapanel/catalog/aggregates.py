@@ -377,8 +377,17 @@ SELECT event_id, event_type, last_value(CASE WHEN event_type = 'error' THEN even
 def fill_sections(spark, sf):
     e = table(spark, sf, "events").select(
         "event_id", "event_type", F.when(F.col("event_type") == "error", F.col("event_id")).alias("head"))
-    block = F.floor(F.col("event_id") / 1_000_000)
-    return reshape.fill_sections(e, "head", ["event_id"], block).select("event_id", "event_type", "section")
+    return reshape.fill_sections(e, "head", ["event_id"]).select("event_id", "event_type", "section")
+
+
+@query("G-6", """
+SELECT event_id, event_type, last_value(CASE WHEN event_id % 1000 = 17 THEN event_type || event_id::VARCHAR END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id) AS section
+FROM events""")
+def fill_sections_over_slices(spark, sf):
+    """Headers are far apart, and rows lie in more slices than one, so that most slices inherit."""
+    head = F.when(F.col("event_id") % 1000 == 17, F.concat("event_type", F.col("event_id").cast("string")))
+    e = table(spark, sf, "events").select("event_id", "event_type", head.alias("head"))
+    return reshape.fill_sections(e, "head", ["event_id"], file=["event_type"], one_task_rows=0).select("event_id", "event_type", "section")
 
 
 @query("G-7", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from areapanel.catalog.base import PANEL_CTE, panel, query, table
 from areapanel.operators.scale import scratch_path
-from areapanel.sources import lookups, places, sinks, tables
+from areapanel.sources import lookups, places, sinks, store, tables
 
 
 def _path(spark) -> str:
@@ -14,6 +14,7 @@ def _path(spark) -> str:
 
 
 CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+CUSTOMER_NAMES = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 @query("A-1 A-11", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -23,6 +24,28 @@ def csv_round_trip(spark, sf):
     return tables.read_table(spark, path, CUSTOMER)
 
 
+@query("A-1", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def mixed_header_csv(spark, sf):
+    """A folder whose files have their columns in three orders, one with a further column."""
+    path, c = _path(spark), table(spark, sf, "customer")
+    orders = [["c_mktsegment", "c_acctbal", "c_nationkey", "c_name", "c_custkey"], ["c_name", "c_custkey", "c_phone", "c_acctbal", "c_mktsegment", "c_nationkey"], CUSTOMER_NAMES]
+    for n, names in enumerate(orders):
+        part = c.filter(F.col("c_custkey") % 3 == n).withColumn("c_phone", F.lit("555"))
+        sinks.write_table(part.select(*names), path, "csv", "append")
+    return tables.read_table(spark, path, CUSTOMER)
+
+
+@query("A-6", "SELECT c_custkey, c_nationkey AS area FROM customer")
+def lookup_in_parts(spark, sf):
+    """Three extensions, with keys that overlap, and a part that was never committed: each key is read once."""
+    path = _path(spark)
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("area"))
+    for keys in ("c_custkey % 3 = 0", "c_custkey % 2 = 0", "true"):
+        lookups.extend_lookup(spark, path, c.filter(keys), ["c_custkey"])
+    store.write_part(c.withColumn("area", F.lit(-1)), path)
+    return lookups.load_lookup(spark, path, c.schema)
+
+
 @query("A-2", "SELECT c_custkey, 'Café ' || c_name AS c_name FROM customer")
 def latin1_csv(spark, sf):
     path = _path(spark)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areapanel.operators.scale import lookup_join, materialize, number_rows
+from areapanel.operators.scale import fill_forward, lookup_join, materialize, number_rows
 
 # Hexadecimal digits of a hash by which hashes are counted: at most 16^5 counters.
 PREFIX = 5
@@ -89,26 +89,15 @@ def factor_levels(df: DataFrame, col: str, name: str = "code", **kw) -> DataFram
 
 def fill_sections(
     df: DataFrame, header: str, order: Sequence[str], block: Column | None = None, file: Sequence[str] = (),
-    name: str = "section",
+    name: str = "section", one_task_rows: int | None = None,
 ) -> DataFrame:
-    """Give each row the last non-NULL ``header`` at or before it in its file.
+    """Give each row the last non-NULL ``header`` at or before it in its file, in ``order``.
 
-    ``block`` splits a file into consecutive runs of bounded size (a scan's block start, or line number / n).
-    Inside a block a window fills; what a block inherits is read from one row per block.
+    ``block``, if given, comes before ``order``, for lines that are numbered inside blocks. A file of any size is spread over
+    all tasks: see ``fill_forward``.
     """
-    block = F.lit(0) if block is None else block
-    df = df.withColumn("_block", block)
-    part = [*file, "_block"]
-    cols = [F.col(c) for c in order]
-    last = df.filter(F.col(header).isNotNull()).groupBy(*part).agg(
-        F.max_by(header, F.struct(*order)).alias("_last"))
-    blocks = df.select(*part).distinct().join(last, part, "left")
-    before = Window.partitionBy(*(file or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*part, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    inside = Window.partitionBy(*part).orderBy(*cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = df.withColumn("_own", F.last(header, ignorenulls=True).over(inside))
-    joined = lookup_join(filled, carried, part, "left")
-    return joined.withColumn(name, F.coalesce("_own", "_carried")).drop("_own", "_carried", "_block")
+    first = [] if block is None else [block]
+    return fill_forward(df, list(file), [*first, *[F.col(c) for c in order]], header, name, one_task_rows)
 
 
 def split_by_share(

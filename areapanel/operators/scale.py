@@ -4,6 +4,7 @@
 ``lookup_join``  broadcasts a side after measuring it; beyond the bound it joins by shuffle, hot keys salted.
 ``number_rows``  numbers rows in order without putting a group into one task.
 ``running_sum``  the same for cumulative sums.
+``fill_forward``  the same for the last value seen.
 """
 
 from __future__ import annotations
@@ -250,3 +251,27 @@ def running_sum(
     joined = _null_safe_lookup(local, tally, part)
     both = F.coalesce(F.col("_before") + F.col(name), F.col("_before"), F.col(name))
     return joined.withColumn(name, both).drop("_slice", "_place", "_before")
+
+
+def fill_forward(
+    df: DataFrame, part: Keys, order: Sequence[Column], value: str, name: str, one_task_rows: int | None = None
+) -> DataFrame:
+    """The last value that is not NULL at or before each row of ``part``, by ``order``.
+
+    Beyond the counted bound rows lie in range slices; what a slice inherits is the last value of the slices before it,
+    found among one row per slice.
+    """
+    limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    df, rows = materialize_counted(df)
+    if rows <= limit:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(_window(part).orderBy(*order).rowsBetween(*upto)))
+    placed = _slices(df, part, order)
+    group = [*part, "_slice"]
+    at = F.when(F.col(value).isNotNull(), F.col("_place"))
+    ends = placed.groupBy(*group).agg(F.max_by(value, at).alias("_last"))
+    before = _window(part).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*group, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    local = placed.withColumn("_own", F.last(value, ignorenulls=True).over(Window.partitionBy(*group).orderBy("_place").rowsBetween(*upto)))
+    joined = _null_safe_lookup(local, ends, part)
+    return joined.withColumn(name, F.coalesce("_own", "_carried")).drop("_slice", "_place", "_own", "_carried")

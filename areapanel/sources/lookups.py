@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areapanel.operators.joins import missing_keys
-from areapanel.operators.scale import lookup_join, materialize
+from areapanel.operators.scale import lookup_join, materialize_counted
+from areapanel.sources import store
 
 
 def _one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -22,26 +22,12 @@ def _one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return least.select(*[F.col("_least").getField(c).alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns])
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    """By listing, because a cluster may not write markers; a folder of a run that failed holds hidden files only."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        return False
-    files = fs.listFiles(place, True)
-    while files.hasNext():
-        found = files.next().getPath().toString()
-        if found.endswith(".parquet") and "/_temporary/" not in found:
-            return True
-    return False
-
-
 def load_lookup(spark: SparkSession, path: str, schema: T.StructType | str, keys: Sequence[str] = ()) -> DataFrame:
     """The stored lookup, or an empty one if none has been stored yet; with ``keys``, one row for each."""
-    if not _has_files(spark, path):
+    parts = store.folders(spark, path)
+    if not parts:
         return spark.createDataFrame([], schema)
-    stored = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    stored = spark.read.schema(schema).parquet(*parts)
     return _one_per_key(stored, keys) if keys else stored
 
 
@@ -52,12 +38,13 @@ def merge_lookup(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def extend_lookup(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Store the entries the lookup lacks in a folder of their own; stored files are never rewritten.
+    """Store the entries the lookup lacks as a part of their own; stored files are never rewritten (see ``store``).
 
     Runs at the same time may both store a key: readers keep one row for each.
     """
-    added = materialize(_one_per_key(new, keys).join(load_lookup(spark, path, new.schema).select(*keys), list(keys), "left_anti"))
-    added.write.parquet(f"{path.rstrip('/')}/version-{uuid.uuid4().hex}")
+    added, rows = materialize_counted(_one_per_key(new, keys).join(load_lookup(spark, path, new.schema).select(*keys), list(keys), "left_anti"))
+    if rows:
+        store.append(added, path)
     return load_lookup(spark, path, new.schema, keys)
 
 

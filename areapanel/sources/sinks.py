@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from areapanel.sources import store
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """Parquet by default; CSV gets a header line and no index column."""
@@ -27,17 +29,22 @@ def write_by_year(
 
 
 def is_stored(spark: SparkSession, path: str) -> bool:
-    """True if a write to ``path`` has finished: Spark leaves a marker when the last task is committed."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    """True if a table has been built there: a manifest names its folder."""
+    return bool(store.manifests(spark, path))
 
 
 def build_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the stored table, or build and store it first. A half-written table is built again."""
+    """Read the stored table, or build and store it first.
+
+    A half-written table does not count and is never overwritten. Of builds at the same time one table stays, which all
+    of them return; ``store.sweep`` deletes what the others wrote.
+    """
     if not is_stored(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        part = store.write_part(build(), path)
+        if not is_stored(spark, path):  # else another build was quicker
+            store.commit(spark, path, part, 1)
+            store.first_of(spark, path, part)
+    return spark.read.parquet(store.folders(spark, path)[0])
 
 
 def write_predictions(

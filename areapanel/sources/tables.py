@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import csv
+import re
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,37 +15,101 @@ from pyspark.sql import types as T
 from areapanel.sources.schemas import AREA_NAMES, FEATURES, YEAR_NAMES
 
 
+def files_by_header(spark: SparkSession, path, encoding: str = "UTF-8") -> dict[tuple[str, ...], list[str]]:
+    """The files under ``path`` (a file, folder, pattern, or list of these) by the column names in their first line.
+
+    Only first lines are read, on the driver, by any file system and compression that Spark reads. Files without a line are left
+    out, and so are hidden ones.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def listed(place) -> list:
+        fs = place.getFileSystem(conf)
+        found = []
+        for status in fs.globStatus(place) or []:
+            root, own = status.getPath().toString().rstrip("/"), status.getPath().getName()
+            if own.startswith(("_", ".")) and own != place.getName():  # matched by a pattern, not given
+                continue
+            files = fs.listFiles(status.getPath(), True)
+            while files.hasNext():
+                file = files.next().getPath()
+                below = file.toString()[len(root):].split("/")
+                if not any(part.startswith(("_", ".")) for part in below if part):
+                    found.append(file)
+        return found
+
+    def header(file) -> tuple[str, ...]:
+        stream = file.getFileSystem(conf).open(file)
+        try:
+            codec = codecs.getCodec(file)
+            source, data = codec.createInputStream(stream) if codec else stream, b""
+            while part := bytes(source.readNBytes(1 << 16)):
+                data += part
+                if re.search("[\r\n].", data.decode(encoding, "ignore").lstrip("\r\n")):
+                    break
+        finally:
+            stream.close()
+        lines = data.decode(encoding, "replace").replace("\ufeff", "").lstrip("\r\n").splitlines()
+        return tuple(next(csv.reader(lines[:1]), ()))
+
+    files = [f for p in ([path] if isinstance(path, str) else path) for f in listed(jvm.org.apache.hadoop.fs.Path(str(p)))]
+    with ThreadPoolExecutor(16) as pool:
+        found = list(zip(pool.map(header, files), files))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for names, file in sorted(((n, f.toString()) for n, f in found if n), key=lambda x: x[1]):
+        out.setdefault(names, []).append(file)
+    return out
+
+
+def _by_position(spark: SparkSession, files, header: tuple[str, ...], columns: Mapping[str, str], encoding: str) -> DataFrame:
+    """Named columns of files that share a header, which may hold a name twice: the first counts. Bad text becomes NULL."""
+    raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    df = spark.read.schema(raw).option("header", True).option("encoding", encoding).option("enforceSchema", True).csv(files)
+    return df.select(*[F.col(f"c{header.index(c)}").try_cast(t).alias(c) for c, t in columns.items()])
+
+
+def _checked(groups: Mapping[tuple[str, ...], list[str]], names: Sequence[str]) -> None:
+    for header, files in groups.items():
+        missing = [c for c in names if c not in header]
+        if missing:
+            raise ValueError(f"no column {missing} in the header {list(header)} of {files[0]}" + f" and {len(files) - 1} more" * (len(files) > 1))
+
+
 def read_table(
     spark: SparkSession, path, schema: T.StructType | str, encoding: str = "UTF-8", dates: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """CSV with a header line. Line ends may be LF, CRLF or CR alone; a byte-order mark does no harm.
+    """CSV with header lines. Line ends may be LF, CRLF or CR alone; a byte-order mark does no harm.
 
-    The header decides: where it is the schema's, the file is read with it; otherwise columns are found by name, whatever
-    their order, and a missing one is an error. ``dates`` maps text columns to their format; a bad date becomes NULL.
+    Each file's own header decides: where it is the schema's, the file is read with it; otherwise its columns are found by
+    name, whatever their order. A file without one of them is an error that names it; further columns are ignored.
+    ``dates`` maps text columns to their format; a bad date becomes NULL.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    header = spark.read.option("header", True).option("encoding", encoding).csv(path).columns
-    if [c.replace("\ufeff", "") for c in header] != wanted.names:
-        missing = [c for c in wanted.names if c not in [h.replace("\ufeff", "") for h in header]]
-        if missing:
-            raise ValueError(f"no column {missing} in the header {header}")
-        named = read_named_table(spark, path, {f.name: f.dataType.simpleString() for f in wanted}, encoding)
-        return named.withColumns({c: F.try_to_date(F.col(f"`{c}`"), fmt) for c, fmt in (dates or {}).items()})
-    df = (
-        spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-        .option("enforceSchema", True).csv(path)
-    )
+    groups = files_by_header(spark, path, encoding)
+    _checked(groups, wanted.names)
+    parts = []
+    for header, files in groups.items():
+        files = path if len(groups) == 1 else files  # one header: Spark lists the files itself
+        if list(header) == wanted.names:
+            parts.append(spark.read.schema(wanted).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+                         .option("enforceSchema", True).csv(files).select(*[F.col(f"`{c}`") for c in wanted.names]))
+        else:
+            parts.append(_by_position(spark, files, header, {f.name: f.dataType.simpleString() for f in wanted}, encoding))
+    df = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], wanted)
     return df.withColumns({c: F.try_to_date(F.col(f"`{c}`"), fmt) for c, fmt in (dates or {}).items()})
 
 
 def read_named_table(spark: SparkSession, path, columns: Mapping[str, str], encoding: str = "UTF-8") -> DataFrame:
-    """CSV whose column order is not known: columns are found by header name, and only those named are read.
+    """CSV whose column order is not known: columns are found by the header of each file, and only those named are read.
 
     ``columns`` maps header name -> type; text that is not of the type becomes NULL.
     """
-    raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    raw = raw.toDF(*[c.replace("﻿", "") for c in raw.columns])
-    return raw.select(*[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in columns.items()])
+    groups = files_by_header(spark, path, encoding)
+    _checked(groups, list(columns))
+    parts = [_by_position(spark, path if len(groups) == 1 else files, header, columns, encoding) for header, files in groups.items()]
+    empty = ", ".join(f"`{c}` {t}" for c, t in columns.items())
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], empty)
 
 
 def normalize_keys(df: DataFrame) -> DataFrame:
@@ -78,7 +146,7 @@ def feature_property(features: DataFrame, name: str, alias: str) -> DataFrame:
 def read_lines(spark: SparkSession, path, line_sep: str = "\n") -> DataFrame:
     """Text lines with what is needed to put them in file order: (file, block, line, text).
 
-    A block is one split of the scan, so it has a bounded size; lines are numbered inside it.
+    A block is one split of the scan; lines are numbered inside it, so (block, line) is the order of a file.
     """
     raw = spark.read.option("lineSep", line_sep).text(path)
     return raw.select(
@@ -96,7 +164,7 @@ def read_sections(spark: SparkSession, path, fmt: str = "M/d/yy", line_sep: str
     lines = lines.withColumns({"_first": F.trim(parts[0]), "_second": F.trim(F.try_element_at(parts, F.lit(2)))})
     lines = lines.withColumn("day", F.try_to_date("_first", fmt))
     head = F.when(F.col("day").isNull() & (F.col("_first") != ""), F.col("_first"))
-    filled = fill_sections(lines.withColumn("_head", head), "_head", ["line"], F.col("block"), ["file"])
+    filled = fill_sections(lines.withColumn("_head", head), "_head", ["block", "line"], file=["file"])
     return filled.filter(F.col("day").isNotNull()).select(
         "section", "day", F.col("_second").try_cast("double").alias("value"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from areapanel.plans import crimes, features, forecast, permits, prices, shops
-from areapanel.sources import lookups, places, schemas, sinks, tables
+from areapanel.sources import lookups, places, schemas, sinks, store, tables
 
 
 def test_carriage_return_and_bom(spark, tmp_path):
@@ -196,7 +196,7 @@ def test_lookup_needs_no_marker_and_keeps_one_row_per_key(spark, tmp_path):
         for marker in (tmp_path / "lookup").rglob("_SUCCESS"):
             marker.unlink()
     lookups.extend_lookup(spark, path, spark.createDataFrame([(3, 5)], schema), ["k"])
-    spark.createDataFrame([(3, 4), (1, 11)], schema).write.parquet(path + "/version-of-another-run")
+    store.append(spark.createDataFrame([(3, 4), (1, 11)], schema), path)  # another run that did not see the key
     assert sorted((r.k, r.v) for r in lookups.load_lookup(spark, path, schema, ["k"]).collect()) == [(1, 10), (2, 20), (3, 4)]
     merged = lookups.merge_lookup(spark.createDataFrame([(1, 1)], schema), spark.createDataFrame([(1, 0), (2, 9), (2, 8)], schema), ["k"])
     assert sorted(tuple(r) for r in merged.collect()) == [(1, 1), (2, 8)]
