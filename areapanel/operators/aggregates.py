@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areapanel.operators.scale import lookup_join
+from areapanel.operators.missing import known, without_nan
 
 
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "count", drop_null_keys: bool = True) -> DataFrame:
@@ -18,22 +18,24 @@ def count_by(df: DataFrame, keys: Sequence[str], name: str = "count", drop_null_
 
 
 def sum_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols])
+    """Sums of what is known; NULL where a group knows nothing of a column."""
+    return df.groupBy(*keys).agg(*[F.sum(known(df, c)).alias(c) for c in cols])
 
 
 def avg_by(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(col).alias(name))
+    """Mean of the known values."""
+    return df.groupBy(*keys).agg(F.avg(known(df, col)).alias(name))
 
 
 def count_distinct(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
     """Number of levels of each column, one row."""
     f = F.approx_count_distinct if approximate else F.count_distinct
-    return df.agg(*[f(c).alias(c) for c in cols])
+    return df.agg(*[f(known(df, c)).alias(c) for c in cols])
 
 
 def min_by_key(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
     """First year (or smallest value) per key."""
-    return df.dropna("any", subset=list(keys)).groupBy(*keys).agg(F.min(col).alias(name))
+    return df.dropna("any", subset=list(keys)).groupBy(*keys).agg(F.min(known(df, col)).alias(name))
 
 
 def earliest(df: DataFrame, entity: str, day: str) -> DataFrame:
@@ -59,6 +61,7 @@ def bbox(df: DataFrame, area: str, x: str, y: str, years: Sequence[int] | None =
     """Largest and smallest coordinates per area, over all years or some, in one aggregate."""
     if years is not None:
         df = df.filter(F.col(year).isin(list(years)))
+    df = without_nan(df, [x, y])
     return df.dropna("any", subset=[area]).groupBy(area).agg(
         F.max(y).alias("max_y"), F.max(x).alias("max_x"), F.min(y).alias("min_y"), F.min(x).alias("min_x")
     )
@@ -69,19 +72,19 @@ def sums_by_category(
 ) -> DataFrame:
     """One sum column per category value, 0 where none."""
     return df.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col(category) == v, F.col(value)).otherwise(0)).alias(v) for v in values]
+        *[F.sum(F.when(F.col(category) == v, known(df, value)).otherwise(0)).alias(v) for v in values]
     )
 
 
 def yearly_mean(df: DataFrame, area: str, month: str, value: str, name: str) -> DataFrame:
     """Mean over the months of a year that have a value; ``month`` is 'YYYY-MM'."""
     year = F.substring(F.col(month), 1, 4).try_cast("int")
-    return df.groupBy(F.col(area), year.alias("year")).agg(F.avg(value).alias(name))
+    return df.groupBy(F.col(area), year.alias("year")).agg(F.avg(known(df, value)).alias(name))
 
 
 def rate_by(df: DataFrame, area: str, cols: Sequence[str], periods: int) -> DataFrame:
     """Mean, sample deviation and rate (sum / periods) of each column per area."""
-    out = []
+    out, df = [], without_nan(df, cols)
     for c in cols:
         out += [F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"sd_{c}"),
                 (F.sum(c) / F.lit(float(periods))).alias(f"rate_{c}")]
@@ -108,7 +111,8 @@ def metrics(df: DataFrame, actual: str, predicted: str, span: tuple[Column, Colu
 
 
 def reg_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Least-squares line of y on x."""
+    """Least-squares line of y on x, over the rows that have both."""
+    df = without_nan(df, [x, y])
     return df.groupBy(*by).agg(
         F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
@@ -116,8 +120,8 @@ def reg_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def compound(df: DataFrame, rate: str, keys: Sequence[str] = (), name: str = "factor") -> DataFrame:
-    """Product of (1 + rate)."""
-    return df.groupBy(*keys).agg(F.product(F.col(rate) + 1).alias(name))
+    """Product of (1 + rate) over the known rates."""
+    return df.groupBy(*keys).agg(F.product(known(df, rate) + 1).alias(name))
 
 
 def distinct_tokens(df: DataFrame, col: str, sep: str, name: str = "token") -> DataFrame:
@@ -129,7 +133,7 @@ def distinct_tokens(df: DataFrame, col: str, sep: str, name: str = "token") -> D
 
 def max_min(df: DataFrame, cols: Mapping[str, str]) -> DataFrame:
     """Largest and smallest value of each column; names come from the mapping column -> alias."""
-    out = []
+    out, df = [], without_nan(df, cols)
     for c, alias in cols.items():
         out += [F.max(c).alias(f"max_{alias}"), F.min(c).alias(f"min_{alias}")]
     return df.agg(*out)

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from areapanel.operators.missing import known
 from areapanel.operators.scale import (
-    BROADCAST_BYTES, BROADCAST_ROWS, ONE_TASK_ROWS, lookup_join, materialize, materialize_observed, running_sum,
+    BROADCAST_BYTES, BROADCAST_ROWS, ONE_TASK_ROWS, group_lookup, lookup_join, materialize, materialize_observed, running_sum,
 )
 
 # The sketch finds a rank to within 1 / ACCURACY of a group's rows; a bracket reaches MARGIN times as far to either side.
@@ -106,14 +107,17 @@ def _infinite(q: Column, p: float) -> Column:
 def below_group_quantile(
     df: DataFrame, by: Sequence[str], value: str, p: float, at_or_above: bool = False, **kw
 ) -> DataFrame:
-    """Rows strictly below their group's quantile, or at or above it. No ``by``: the quantile of all rows."""
+    """Rows strictly below their group's quantile, or at or above it. No ``by``: the quantile of all rows.
+
+    A row without a value is neither; rows without a key are a group.
+    """
     q = quantile_by(df, by, value, {"_q": p}, **kw)
     if by:
-        joined = lookup_join(df, q, list(by), "inner")
+        joined = group_lookup(df, q, list(by))
     else:
         joined = df.withColumn("_q", q.scalar())
-    test = F.col(value) >= F.col("_q") if at_or_above else F.col(value) < F.col("_q")
-    return joined.filter(test).drop("_q")
+    v = known(df, value)
+    return joined.filter(v >= F.col("_q") if at_or_above else v < F.col("_q")).drop("_q")
 
 
 def _attach(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -150,10 +154,13 @@ def _fences(df: DataFrame, by: Sequence[str], value: str, **kw) -> DataFrame:
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str, **kw) -> DataFrame:
-    """Quartiles, whiskers (outermost values within 1.5 quartile distances) and number of outliers per group."""
+    """Quartiles, whiskers (outermost values within 1.5 quartile distances) and number of outliers per group.
+
+    Rows without a value take no part; rows without a key are a group.
+    """
     v = F.col(value)
     fences = _fences(df, by, value, **kw)
-    rows = lookup_join(present(df, value).select(*by, value), fences, list(by), "inner", derived=False)
+    rows = group_lookup(present(df, value).select(*by, value), fences, list(by), derived=False)
     inside = v.between(F.col("low_fence"), F.col("high_fence"))
     return rows.groupBy(*by).agg(
         F.first("q25").alias("q25"), F.first("q50").alias("q50"), F.first("q75").alias("q75"),
@@ -166,7 +173,7 @@ def box_outliers(df: DataFrame, by: Sequence[str], value: str, **kw) -> DataFram
     """The rows outside their group's fences."""
     v = F.col(value)
     fences = _fences(df, by, value, **kw)
-    rows = lookup_join(present(df, value), fences, list(by), "inner", derived=False)
+    rows = group_lookup(present(df, value), fences, list(by), derived=False)
     return rows.filter((v < F.col("low_fence")) | (v > F.col("high_fence"))).select(*df.columns)
 
 
@@ -195,8 +202,10 @@ def kde(df: DataFrame, by: Sequence[str], value: str, points: int = 512, cut: fl
 
     Bandwidth 0.9 * min(sd, IQR / 1.34) * n^-0.2; the grid reaches ``cut`` bandwidths past the values. Each value's
     weight is split linearly between its two grid points, so what is left per group is at most ``points`` weights
-    and the kernel runs over those, not over the rows. Needs two different values in a group.
+    and the kernel runs over those, not over the rows. Needs two different values in a group. Infinite values lie on no
+    grid and take no part; rows without a key are a group.
     """
+    df = df.filter(F.abs(F.col(value).cast("double")) < float("inf"))  # NULL and NaN go too
     stats = describe_by(df, by, value, **kw)
     spread = F.least(F.col("std"), F.when(F.col("q75") > F.col("q25"), (F.col("q75") - F.col("q25")) / 1.34)
                      .otherwise(F.col("std")))
@@ -206,7 +215,7 @@ def kde(df: DataFrame, by: Sequence[str], value: str, points: int = 512, cut: fl
         ((F.col("max") - F.col("min") + F.col("_bw") * (2 * cut)) / (points - 1)).alias("_step"),
     ))
     rows = present(df, value).select(*by, F.col(value).cast("double").alias("_v"))
-    rows = lookup_join(rows, stats, list(by), "inner", derived=False) if by else rows.withColumns(
+    rows = group_lookup(rows, stats, list(by), derived=False) if by else rows.withColumns(
         {c: stats.select(c).scalar() for c in stats.columns})
     at = (F.col("_v") - F.col("_lo")) / F.col("_step")
     cell = F.least(F.floor(at), F.lit(points - 2)).cast("int")

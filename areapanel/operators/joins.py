@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areapanel.functions.clean import split_ints
+from areapanel.operators.missing import without_nan
 from areapanel.operators.scale import lookup_join, materialize
 
 PANEL_KEYS = ("area", "year")
@@ -126,7 +127,7 @@ def neighbor_avg(
     A neighbour without a value is left out; with ``strict`` it makes the mean NULL. The panel is written out once,
     since it is checked, looked up in, and extended.
     """
-    panel = materialize(panel)
+    panel = materialize(without_nan(panel, values))
     check_unique(panel, PANEL_KEYS)
     pairs = panel.select("area", "year").join(edges(adjacency), "area")
     theirs = {v: f"_v{i}" for i, v in enumerate(values)}

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from areapanel.functions.clean import fill_zero, parse_percent, yes_no
 from areapanel.functions.probability import gamma_params, weighted_sum
+from areapanel.operators.missing import without_nan
 from areapanel.operators.scale import BROADCAST_BYTES, lookup_join, materialize, materialize_counted
 
 FEATURES = "features"
@@ -77,7 +78,8 @@ def predict(model, df: DataFrame, inputs: Sequence[str]) -> DataFrame:
 
 
 def ols_one(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
-    """Intercept and slope per group from one aggregate."""
+    """Intercept and slope per group from one aggregate, over the rows that have both values."""
+    df = without_nan(df, [y, x])
     return df.groupBy(*by).agg(F.regr_intercept(y, x).alias("intercept"), F.regr_slope(y, x).alias("slope"))
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areapanel.operators.joins import PANEL_KEYS, shift_year
-from areapanel.operators.scale import lookup_join, number_rows
+from areapanel.operators.missing import known, without_nan
+from areapanel.operators.scale import group_lookup, lookup_join, number_rows
 
 
 def by_area(area: str = "area", year: str = "year"):
@@ -30,22 +31,25 @@ def panel_lag(df: DataFrame, value: str, n: int, name: str, mode: str = "row") -
 
 
 def panel_diff(df: DataFrame, value: str, name: str) -> DataFrame:
+    df = without_nan(df, [value])
     return df.withColumn(name, F.col(value) - F.lag(value).over(by_area()))
 
 
 def growth_back(df: DataFrame, value: str, name: str) -> DataFrame:
     """Growth as a share of the current value: 1 - previous / current."""
+    df = without_nan(df, [value])
     return df.withColumn(name, F.lit(1.0) - F.try_divide(F.lag(value).over(by_area()), F.col(value)))
 
 
 def growth_forward(df: DataFrame, value: str, name: str) -> DataFrame:
     """The usual growth: current / previous - 1."""
+    df = without_nan(df, [value])
     return df.withColumn(name, F.try_divide(F.col(value), F.lag(value).over(by_area())) - 1)
 
 
 def growth_overall(df: DataFrame, value: str, name: str) -> DataFrame:
     """(1 - first / last) / years between, over the first and last year with a value; needs two such years."""
-    span = df.filter(F.col(value).isNotNull()).groupBy("area").agg(
+    span = df.filter(known(df, value).isNotNull()).groupBy("area").agg(
         F.min_by(value, "year").alias("_first"), F.max_by(value, "year").alias("_last"),
         (F.max("year") - F.min("year")).alias("_years"),
     )
@@ -62,12 +66,14 @@ def first_last(df: DataFrame) -> DataFrame:
 
 
 def running_total(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Sum of the known values up to the row's year; NULL before the first of them."""
     w = by_area().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(value).over(w))
+    return df.withColumn(name, F.sum(known(df, value)).over(w))
 
 
 def cum_increase(df: DataFrame, value: str, name: str, years: int = 10) -> DataFrame:
     """Increase in percent over the first value found in the trailing ``years``; also names that first year."""
+    df = without_nan(df, [value])
     w = by_area().rangeBetween(-years, 0)
     base = F.first(value).over(w)
     return df.withColumns({
@@ -76,9 +82,13 @@ def cum_increase(df: DataFrame, value: str, name: str, years: int = 10) -> DataF
 
 
 def with_group_stats(df: DataFrame, group: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
-    """Aggregates of a group next to each of its rows, from one aggregate and a lookup."""
-    stats = df.groupBy(*group).agg(*[c.alias(n) for n, c in aggs.items()])
-    return lookup_join(df, stats, list(group), "left")
+    """Aggregates of a group next to each of its rows, from one aggregate and a lookup.
+
+    Aggregates see NULL where a value is NaN; rows without a key are a group.
+    """
+    seen = without_nan(df, [c for c in df.columns if c not in set(group)])
+    stats = seen.groupBy(*group).agg(*[c.alias(n) for n, c in aggs.items()])
+    return group_lookup(df, stats, list(group), "left")
 
 
 def deflator(rates: DataFrame, rate: str = "rate", name: str = "factor") -> DataFrame:
@@ -122,4 +132,4 @@ def compound_forecast(
 
 def rank_areas(df: DataFrame, value: str, name: str = "rank", year: str = "year", area: str = "area", **kw) -> DataFrame:
     """Rank within the year by falling value, ties by area; rows without a value come last."""
-    return number_rows(df, [year], [F.col(value).desc_nulls_last(), F.col(area).asc()], name, **kw)
+    return number_rows(df, [year], [known(df, value).desc_nulls_last(), F.col(area).asc()], name, **kw)

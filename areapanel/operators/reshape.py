@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areapanel.operators.scale import fill_forward, lookup_join, materialize, number_rows
+from areapanel.operators.missing import known, without_nan
+from areapanel.operators.scale import fill_forward, group_lookup, lookup_join, materialize, number_rows
 
 # Hexadecimal digits of a hash by which hashes are counted: at most 16^5 counters.
 PREFIX = 5
@@ -21,7 +22,7 @@ def pivot_counts(
     Rows with a missing key are left out. Conditional sums need one shuffle, where ``pivot`` aggregates twice.
     """
     df = df.dropna("any", subset=list(keys))
-    wide = df.groupBy(*keys).agg(*[F.sum(F.when(F.col(category) == v, F.col(value))).alias(str(v)) for v in values])
+    wide = df.groupBy(*keys).agg(*[F.sum(F.when(F.col(category) == v, known(df, value))).alias(str(v)) for v in values])
     return wide if fill is None else wide.fillna(fill, subset=[str(v) for v in values])
 
 
@@ -61,9 +62,13 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 def normalize_by_group_max(
     df: DataFrame, group: str, period: str, base: str, value: str, name: str = "value_norm"
 ) -> DataFrame:
-    """Divide by the group's largest value in the base period; groups without one are left out."""
-    top = df.filter(F.col(period) == base).groupBy(group).agg(F.max(value).alias("_top"))
-    joined = lookup_join(df, top, [group], "inner")
+    """Divide by the group's largest known value in the base period; groups without one are left out.
+
+    Rows without a group are a group; a row without a value stays, without a result.
+    """
+    df = without_nan(df, [value])
+    top = df.filter(F.col(period) == base).groupBy(group).agg(F.max(value).alias("_top")).filter("_top IS NOT NULL")
+    joined = group_lookup(df, top, [group])
     return joined.withColumn(name, F.try_divide(F.col(value), F.col("_top"))).drop("_top")
 
 
@@ -71,8 +76,9 @@ def normalize_by_base(
     df: DataFrame, series: Sequence[str], period: str, base: str, value: str, name: str = "value_norm"
 ) -> DataFrame:
     """Divide by the same series' own value in the base period; NULL where it has none."""
+    df = without_nan(df, [value])
     own = df.filter(F.col(period) == base).groupBy(*series).agg(F.max(value).alias("_base"))
-    joined = lookup_join(df, own, list(series), "left")
+    joined = group_lookup(df, own, list(series), "left")
     return joined.withColumn(name, F.try_divide(F.col(value), F.col("_base"))).drop("_base")
 
 

@@ -176,6 +176,14 @@ def lookup_join(
     return salted_join(left, right, on, how, materialize(hot_keys(left, on)))
 
 
+def group_lookup(left: DataFrame, right: DataFrame, by: Keys, how: str = "inner", **kw) -> DataFrame:
+    """``lookup_join`` on group keys that may be NULL: rows without a key are a group like others."""
+    own = [c for c in right.columns if c not in set(by)]
+    key = F.struct(*[F.col(f"`{c}`") for c in by]).alias("_group")  # NULLs inside a struct are equal
+    joined = lookup_join(left.select("*", key), right.select(key, *own), ["_group"], how, **kw)
+    return joined.select(*[F.col(f"`{c}`") for c in [*left.columns, *own]])
+
+
 def _slices(df: DataFrame, part: Keys, order: Sequence[Column]) -> DataFrame:
     """Range-partition by (part, order) and remember slice and place; slices follow each other in order."""
     keys = [F.col(c).asc() for c in part] + list(order)

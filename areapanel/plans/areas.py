@@ -13,6 +13,7 @@ from areapanel.functions.probability import gamma_tail
 from areapanel.operators.aggregates import sums_by_category
 from areapanel.operators.distribution import quantile_by
 from areapanel.operators.joins import PANEL_KEYS, enrich, shift_year
+from areapanel.operators.missing import known
 from areapanel.operators.panel import cum_increase, rank_areas
 from areapanel.operators.scale import lookup_join, materialize
 
@@ -148,4 +149,4 @@ def area_profile(area, names: DataFrame, features: DataFrame, places: DataFrame)
 
 def top_area(df: DataFrame, year: int, value: str = "probability") -> DataFrame:
     """The default selection: the highest value of the year, ties to the smallest area."""
-    return df.filter(F.col("year") == year).orderBy(F.col(value).desc_nulls_last(), "area").limit(1).select("area")
+    return df.filter(F.col("year") == year).orderBy(known(df, value).desc_nulls_last(), "area").limit(1).select("area")
