@@ -235,6 +235,44 @@ def forest_test_metrics(spark, sf):
     return aggregates.metrics(scored, "y", "predicted", (F.lit(span.select("hi").scalar()), F.lit(span.select("lo").scalar())))
 
 
+TREE_ROWS = "t AS (SELECT l_discount AS b, l_tax AS c, l_extendedprice / 1000 * (1 + l_discount) * (1 - 3 * l_tax) AS y FROM lineitem)"
+
+
+def _best_cut(rows: str, part: str) -> str:
+    """Per part, the cut between two values of one input that leaves the least squared error."""
+    by = f"{part}, " if part else ""
+    return f"""SELECT {by}f, v FROM (
+  SELECT {by}f, v, sum(n) OVER upto AS nl, sum(s) OVER upto AS sl, sum(n) OVER whole AS n, sum(s) OVER whole AS s FROM (
+    SELECT {by}f, v, count(*) AS n, sum(y) AS s FROM (SELECT {by}0 AS f, b AS v, y FROM {rows} UNION ALL SELECT {by}1, c, y FROM {rows}) GROUP BY ALL)
+  WINDOW upto AS (PARTITION BY {by}f ORDER BY v), whole AS (PARTITION BY {by}f))
+  WHERE nl < n QUALIFY row_number() OVER ({f"PARTITION BY {part} " if part else ""}ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, f, v) = 1"""
+
+
+@query("H-3", f"""
+WITH {TREE_ROWS}, one AS ({_best_cut("t", "")}),
+t1 AS (SELECT t.*, CASE WHEN CASE WHEN f = 0 THEN b ELSE c END <= v THEN 0 ELSE 1 END AS side FROM t, one),
+two AS ({_best_cut("t1", "side")}),
+t2 AS (SELECT t1.*, CASE WHEN CASE WHEN f = 0 THEN b ELSE c END <= v THEN 0 ELSE 1 END AS leaf FROM t1 JOIN two USING (side)),
+means AS (SELECT side, leaf, avg(y) AS predicted FROM t2 GROUP BY 1, 2)
+SELECT DISTINCT b, c, side, leaf, round(predicted, 6) AS predicted FROM t2 JOIN means USING (side, leaf)""")
+def regression_tree(spark, sf):
+    """A tree of two levels, exported as a table of nodes and followed there; which side a row takes is read from it as well."""
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_discount").alias("b"), F.col("l_tax").alias("c"), (F.col("l_extendedprice") / 1000 * (F.col("l_discount") + 1) * (F.lit(1) - F.col("l_tax") * 3)).alias("y"))
+    model = models.fit_forest(rows, "y", ["b", "c"], trees=1, depth=2, bootstrap=False, inputs_per_split="all")
+    nodes = models.forest_nodes(model, spark)
+    places = rows.select("b", "c").distinct()
+    # Ends are told apart by putting 0 and 1 where the table has predictions.
+    root = nodes.filter("node = 0").select(F.col("left").alias("l"), F.col("right").alias("r")).first()
+    sides = nodes.withColumn("prediction", (F.col("node") >= root["r"]).cast("double"))
+    rights = nodes.filter("feature >= 0 AND node > 0").select(F.col("right").alias("node")).withColumn("is_right", F.lit(1.0))
+    leaves = nodes.join(rights, "node", "left").withColumn("prediction", F.coalesce("is_right", F.lit(0.0))).drop("is_right")
+    out = models.predict_from_nodes(places, nodes, ["b", "c"], 2)
+    out = models.predict_from_nodes(out, sides, ["b", "c"], 2, "side")
+    out = models.predict_from_nodes(out, leaves, ["b", "c"], 2, "leaf")
+    return out.select("b", "c", F.col("side").cast("int").alias("side"), F.col("leaf").cast("int").alias("leaf"), F.round("predicted", 6).alias("predicted"))
+
+
 def _irls_two(rounds: int, by: bool) -> str:
     """The same on two inputs: each round solves the normal equations of eta + (y - mu) / mu on both."""
     g, on, group = ("g, ", "USING (g)", "GROUP BY g") if by else ("", "ON true", "")

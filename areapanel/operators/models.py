@@ -10,18 +10,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     GeneralizedLinearRegression, LinearRegression, RandomForestRegressionModel, RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areapanel.functions.clean import fill_zero, parse_percent, yes_no
 from areapanel.functions.probability import gamma_params, weighted_sum
 from areapanel.operators.missing import without_nan
-from areapanel.operators.scale import BROADCAST_BYTES, lookup_join, materialize, materialize_counted
+from areapanel.operators.scale import BROADCAST_BYTES, lookup_join, materialize, materialize_counted, scratch_path
 
 FEATURES = "features"
 # Coefficients of up to this many groups are broadcast in every round of a per-group fit.
 SMALL_GROUPS = 10_000
+# Nodes of a forest that may be broadcast, if they also fit the bound in bytes.
+FOREST_NODES = 1_000_000
 # Bytes of a block of posterior draws, on average, and bins by which the scores of a row under all draws are counted.
 DRAW_ROW_BYTES = 400
 DRAW_BINS = 64
@@ -51,13 +53,54 @@ def baseline(df: DataFrame, value: str, name: str = "predicted") -> DataFrame:
 
 
 def fit_forest(
-    train: DataFrame, target: str, inputs: Sequence[str], trees: int = 500, depth: int = 8, seed: int = 0
+    train: DataFrame, target: str, inputs: Sequence[str], trees: int = 500, depth: int = 8, seed: int = 0, bootstrap: bool = True,
+    inputs_per_split: str = "auto",
 ) -> RandomForestRegressionModel:
-    forest = RandomForestRegressor(featuresCol=FEATURES, labelCol=target, predictionCol="predicted",
-                                   numTrees=trees, maxDepth=depth, seed=seed)
+    """Without ``bootstrap``, and with ``inputs_per_split`` all, one tree is the plain regression tree of all rows."""
+    forest = RandomForestRegressor(featuresCol=FEATURES, labelCol=target, predictionCol="predicted", numTrees=trees, maxDepth=depth, seed=seed,
+                                   bootstrap=bootstrap, featureSubsetStrategy=inputs_per_split)
     return forest.fit(assemble(train, inputs))
 
 
+def forest_nodes(model: RandomForestRegressionModel, spark: SparkSession) -> DataFrame:
+    """(tree, node, feature, threshold, left, right, prediction): a fitted forest as a table, written and read by the executors.
+
+    A tree starts at node 0. ``feature`` is the place of the input that a node asks for: rows with at most ``threshold`` go
+    left. A leaf has feature -1 and is its own child.
+    """
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    n = F.col("nodeData")
+    leaf = n["leftChild"] < 0
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").cast("int").alias("tree"), n["id"].cast("int").alias("node"), F.when(leaf, -1).otherwise(n["split"]["featureIndex"]).cast("int").alias("feature"),
+        F.when(~leaf, F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+        F.when(leaf, n["id"]).otherwise(n["leftChild"]).cast("int").alias("left"), F.when(leaf, n["id"]).otherwise(n["rightChild"]).cast("int").alias("right"),
+        n["prediction"].alias("prediction"))
+
+
+def predict_from_nodes(df: DataFrame, nodes: DataFrame, inputs: Sequence[str], depth: int, name: str = "predicted") -> DataFrame:
+    """The forest's predictions from its node table alone: the mean over the trees of the leaf a row comes to.
+
+    Each row becomes one short row per tree, which follows its tree level by level through a lookup on (tree, node); the
+    mean is taken per task before the shuffle. A row with a missing input has no prediction.
+    """
+    step = materialize(nodes.select((F.col("tree").cast("long") * (1 << 31) + F.col("node")).alias("_at"), "tree", "feature", "threshold",
+                                    *[(F.col("tree").cast("long") * (1 << 31) + F.col(c)).alias(f"_{c}") for c in ("left", "right")], "prediction"))
+    trees = step.agg(F.max("tree")).first()[0]
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in inputs])
+    whole = rows.select("_row", x.alias("_x")).filter(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    roots = F.transform(F.sequence(F.lit(0), F.lit(trees)), lambda t: t.cast("long") * (1 << 31))
+    at = whole.withColumn("_at", F.explode(roots))
+    for _ in range(depth):
+        met = lookup_join(at, step.select("_at", "feature", "threshold", "_left", "_right"), ["_at"], "inner", limit=FOREST_NODES, derived=False)
+        left = (F.col("feature") < 0) | (F.get("_x", F.greatest("feature", F.lit(0))) <= F.col("threshold"))
+        at = met.select("_row", "_x", F.when(left, F.col("_left")).otherwise(F.col("_right")).alias("_at"))
+    ended = lookup_join(at, step.select("_at", "prediction"), ["_at"], "inner", limit=FOREST_NODES, derived=False)
+    return rows.join(ended.groupBy("_row").agg(F.avg("prediction").alias(name)), "_row", "left").drop("_row")
+
+
 def importances(model: RandomForestRegressionModel, inputs: Sequence[str], df: DataFrame) -> DataFrame:
     """(feature, importance); one row per model input."""
     rows = [(n, float(v)) for n, v in zip(inputs, model.featureImportances.toArray())]
