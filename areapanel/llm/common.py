@@ -91,6 +91,26 @@ class ChunkCache(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
+class Generations(dict):
+    """What a function makes of a key, remembered in two generations: when ``entries`` keys have been added, those of the
+    generation before go, unless they were asked for since. Rare keys do not push the frequent ones out."""
+
+    def __init__(self, make: Callable[[str], object], entries: int = CACHE_ENTRIES // 4):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key: str):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 _shared: dict[str, ChunkCache] = {}
 
 
@@ -105,6 +125,18 @@ def worker_cache(key: str, make: Callable[[str], bytes]) -> ChunkCache:
     return _shared[key]
 
 
+_kept: dict[str, Generations] = {}
+
+
+def worker_generations(key: str, make: Callable[[str], object], entries: int) -> Generations:
+    """The same for a cache in two generations."""
+    if key not in _kept:
+        while len(_kept) > 1:
+            _kept.pop(next(iter(_kept)))
+        _kept[key] = Generations(make, entries)
+    return _kept[key]
+
+
 TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
 
