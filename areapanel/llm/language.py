@@ -10,15 +10,17 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areapanel.llm.common import ChunkCache, bounded, bucket, fold, texts, worker_cache
+from areapanel.llm.common import ChunkCache, bounded, bucket, fold, texts, worker_generations
 
 BUCKETS = 1 << 16
+CACHED_CHUNKS = 250_000
 LABELLED_ROWS = 20_000
 SMOOTHING = 0.1
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -33,11 +35,20 @@ def _letter_words(chunk: str) -> list[str]:
 def _grams(chunk: str) -> list[int]:
     out = []
     for word in _letter_words(chunk.lower()):
-        edged = f"^{word}$"
-        out += [bucket(edged[i:i + 3], BUCKETS) for i in range(len(edged) - 2)]
+        out += _word_grams(word)
     return out
 
 
+@lru_cache(1 << 17)  # there are few triples
+def _triple(triple: str) -> int:
+    return bucket(triple, BUCKETS)
+
+
+def _word_grams(word: str) -> list[int]:
+    edged = f"^{word}$"
+    return [_triple(edged[i:i + 3]) for i in range(len(edged) - 2)]
+
+
 _all = ChunkCache(lambda chunk: np.asarray(_grams(chunk), np.int64).tobytes())
 
 
@@ -49,24 +60,28 @@ class Model:
     table: np.ndarray
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def __post_init__(self):
+        self.by_bucket = np.ascontiguousarray(self.table.T)
+
     def _words(self, chunk: str) -> bytes:
         """One row of log likelihoods for each word of the chunk."""
-        rows = []
-        for word in _letter_words(chunk):
-            rows.append(self.table[:, _grams(word)].sum(1))
-        return np.asarray(rows, np.float32).tobytes()
+        low = chunk.lower()
+        if low.isalpha() and LETTERS.fullmatch(low):
+            return self.by_bucket[_word_grams(low)].sum(0).tobytes()
+        return b"".join(self.by_bucket[_grams(word)].sum(0).tobytes() for word in _letter_words(chunk))
 
     def likelihoods(self, text: str) -> np.ndarray:
         """(words, languages)"""
-        found = worker_cache(self.name, self._words).lookup(text.split())
+        words = worker_generations(self.name, self._words, CACHED_CHUNKS)
+        found = b"".join(map(words.__getitem__, text.split()))
         return np.frombuffer(found, np.float32).reshape(-1, len(self.languages)).astype(float)
 
 
-def shares(like: np.ndarray, steps: int = 50, close: float = 1e-4) -> tuple[np.ndarray, float]:
-    """The mixture's shares by expectation maximisation and the log likelihood."""
+def shares(like: np.ndarray, start: np.ndarray | None = None, steps: int = 50, close: float = 1e-4) -> tuple[np.ndarray, float]:
+    """The mixture's shares by expectation maximisation, from even ones or from ``start``, and the log likelihood."""
     top = like.max(1, keepdims=True)
     p = np.exp(np.maximum(like - top, -60))
-    pi = np.full(like.shape[1], 1 / like.shape[1])
+    pi = np.full(like.shape[1], 1 / like.shape[1]) if start is None else start
     for _ in range(steps):
         new = pi * ((1 / (p @ pi)) @ p) / len(p)
         moved = np.abs(new - pi).max()
@@ -84,7 +99,9 @@ def mixture(like: np.ndarray, penalty: float = 3.0) -> dict[int, float]:
     cost = penalty * np.log(len(like) + 1)
     while len(stay) > 1:
         rest = np.delete(np.arange(len(stay)), pi.argmin())
-        next_pi, next_value = shares(like[:, stay[rest]]) if len(rest) > 1 else (np.ones(1), float(like[:, stay[rest[0]]].sum()))
+        # Near the shares that were found with one language more; a little of each, so that none is out for good.
+        near = (pi[rest] + 1e-3) / (pi[rest] + 1e-3).sum()
+        next_pi, next_value = shares(like[:, stay[rest]], near) if len(rest) > 1 else (np.ones(1), float(like[:, stay[rest[0]]].sum()))
         if value - next_value > cost:
             break
         stay, pi, value = stay[rest], next_pi, next_value
