@@ -45,7 +45,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.prefix_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    counted = token_counts.prefix_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_steps=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit(F.col("n_tokens"), 512).alias("over_limit"))
 
 
@@ -81,7 +81,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
 
 
 @registered
