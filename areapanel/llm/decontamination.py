@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from areapanel.llm.common import materialize, ship, texts, worker_cache
 
@@ -191,8 +192,8 @@ def matches(
     """
     source = texts(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    item_kind = items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word long, question_overlap double, answer_overlap double"
+    item_type = items.schema["item_id"].dataType
+    schema = f"doc_id {kind}, item_id {item_type.simpleString()}, score double, first_word long, question_overlap double, answer_overlap double"
 
     def searched(index: Index) -> DataFrame:
         def run(batches):
@@ -203,8 +204,8 @@ def matches(
                         at.append(n)
                         rows.append((index.ids[item], *found))
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate([None, pa.float64(), pa.int64(), pa.float64(), pa.float64()]) if k]
-                ids = pa.array([r[0] for r in rows], pa.int64() if item_kind in ("bigint", "long") else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), ids, *columns],
+                ids, place = pa.array([r[0] for r in rows], to_arrow_type(item_type)), pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(place), ids, *columns],
                                                  names=["doc_id", "item_id", "score", "first_word", "question_overlap", "answer_overlap"])
 
         return source.mapInArrow(run, schema)
@@ -234,7 +235,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with all its columns, without those that hold a verified item."""
+    """``docs`` with all its columns, without those that hold a verified item. Rows that repeat an id are judged together, as
+    ``contaminated`` does: if one holds an item, all go."""
     found = matches(docs, items, id_col=id_col, text_col=text_col, **how).filter("verified")
     out = materialize(found.select(F.col("doc_id").alias("_out_id")).distinct())
     return docs.join(out, docs[id_col].eqNullSafe(F.col("_out_id")), "left_anti")

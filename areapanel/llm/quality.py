@@ -62,7 +62,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def log_weights(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_features, log_weight). An empty or null text has weight 0 in logarithm."""
+    """(doc_id, n_features, log_weight, text_hash). An empty or null text has weight 0 in logarithm."""
     def run(batches):
         for batch in batches:
             n, w = [], []
@@ -70,11 +70,11 @@ def log_weights(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text
                 f = features(text)
                 n.append(len(f))
                 w.append(float(model[f].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(w, pa.float64())],
-                                             names=["doc_id", "n_features", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(w, pa.float64()), batch.column("text_hash")],
+                                             names=["doc_id", "n_features", "log_weight", "text_hash"])
 
-    source = texts(docs, id_col, text_col)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_features long, log_weight double")
+    source = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_features long, log_weight double, text_hash long")
 
 
 def cut_of(weights: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> float:
@@ -117,6 +117,13 @@ def resample(
     as many are drawn as look like the target. Null text is empty text. Equal rows get equal results; with a ``k`` of
     at least the number of rows all are selected. Labels may be missing: then all stay.
     """
+    return _resampled(docs, labels, k, id_col, text_col, labelled_rows, seed, temperature).drop("text_hash")
+
+
+def _resampled(
+    docs: DataFrame, labels: DataFrame, k: int | None, id_col: str, text_col: str, labelled_rows: int = LABELLED_ROWS, seed: int = 7, temperature: float = 0.25
+) -> DataFrame:
+    """``resample`` with a hash of each row's text, which tells rows apart that share an id."""
     weights = materialize(log_weights(docs, fit(docs, labels, id_col, text_col, labelled_rows), id_col, text_col))
     if k is None:
         k = weights.filter(F.col("log_weight") >= cut_of(weights, labels, labelled_rows)).count()
@@ -124,7 +131,11 @@ def resample(
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with all its columns, without the rows that were not drawn."""
-    chosen = resample(docs, labels, None, id_col, text_col, **how)
-    drawn = materialize(chosen.filter("not selected").select(F.col("doc_id").alias("_out_id")).distinct())
-    return docs.join(drawn, docs[id_col].eqNullSafe(F.col("_out_id")), "left_anti")
+    """``docs`` with all its columns, without the rows that were not drawn.
+
+    Of rows that share an id those with a text that was drawn stay; rows that repeat id and text stay or go together.
+    """
+    chosen = _resampled(docs, labels, None, id_col, text_col, **how)
+    drawn = materialize(chosen.filter("not selected").select(F.col("doc_id").alias("_out_id"), F.col("text_hash").alias("_out_hash")).distinct())
+    own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    return docs.join(drawn, docs[id_col].eqNullSafe(F.col("_out_id")) & (own == F.col("_out_hash")), "left_anti")

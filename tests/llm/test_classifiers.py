@@ -44,6 +44,14 @@ def test_resampling_draws_what_looks_like_the_target(made):
     assert left.columns == docs.columns and left.filter("doc_id < 400").count() == 320
 
 
+def test_a_drawn_text_stays_beside_a_rejected_one_of_the_same_id(made, spark):
+    docs, labels = made
+    good, bad = docs.filter("doc_id = 1").first(), docs.filter("doc_id = 5").first()
+    twin = spark.createDataFrame([(1000, good.text, "a", 1.0), (1000, bad.text, "b", 1.0), (1000, bad.text, "b", 1.0)], docs.schema)
+    left = quality.keep_selected(docs.unionByName(twin), labels).filter("doc_id = 1000").collect()
+    assert [r.label for r in left] == ["a"]
+
+
 def test_top_k_takes_k_with_chances_that_follow_the_weights(spark):
     weights = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, 0.0).otherwise(2.0).alias("log_weight"))
     drawn = quality.gumbel_top_k(weights, 500, seed=3, temperature=1.0).filter("selected").collect()

@@ -89,6 +89,19 @@ def test_planted_items_are_found_and_others_are_left(spark, items, rows, monkeyp
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in got if not r.contaminated}
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "short"])
+def test_item_ids_of_any_type(spark, items, kind):
+    own = str if kind == "string" else int
+    n, text = next((i, t) for i, t in items if t)
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing of it"), (1, "another text with the same id")], "doc_id long, text string")
+    table = spark.createDataFrame([(own(i), t) for i, t in items], f"item_id {kind}, text string")
+    got = dc.contaminated(docs, table)
+    assert got.schema["item_ids"].dataType.elementType.simpleString() == {"short": "smallint"}.get(kind, kind)
+    assert {r.doc_id: own(n) in r.item_ids for r in got.collect()} == {1: True, 2: False}
+    # Rows of one id are judged together.
+    assert [r.text for r in dc.drop_contaminated(docs, table).collect()] == ["nothing of it"]
+
+
 def test_no_rows(spark, items):
     empty, table = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert dc.contaminated(empty, table).count() == 0
