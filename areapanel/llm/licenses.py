@@ -2,18 +2,23 @@
 
 Paragraphs are turned into counts of words, word pairs and word triples that occur in licence notices; a multinomial
 logistic regression with a sparsity penalty gives each licence family and "none" a probability. The model is trained on
-mutilated copies of notices and on paragraphs of the corpus. On paragraphs that were held back, the probability below which
-a prediction counts as unknown is set. What is predicted has to have most of the words of one of the family's notices.
+mutilated copies of notices, on sentences that use their words otherwise, and on paragraphs of the corpus.
+
+A paragraph that the model takes for a notice is of the likeliest family if that family's share of the notice's probability
+reaches a limit and if the paragraph has most of the words of one of the family's notices; else it is "unknown". The limit of
+the share is set on notices of families that were left out of the training; the limit of a notice's probability on all
+paragraphs of the corpus that hardly have words of notices.
 
 Notices may be wrapped: what is classified are runs of neighbouring lines, of every length that a notice may take. Comment
-signs are no words. Of runs that overlap the one that is most like a notice stays.
+signs are no words. Lines that touch a confirmed notice belong to it, and of other runs that overlap one stays.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
@@ -47,12 +52,28 @@ NOTICES = (
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0."),
     ("proprietary", "Copyright. All rights reserved. No part may be reproduced without permission."),
 )
-NONE = "none"
-# Copies of each notice to train on; paragraphs of the corpus to train on and, as many again, to calibrate with.
+# Sentences that are no notices, though they have words of notices.
+OTHERWISE = (
+    "She renewed her driving license in the spring and drove to the work on the new version of the road.",
+    "A license to fish is required by the law of the county.", "The general public is permitted to use the reading room free of charge.",
+    "No part of the program was written when the terms of the contract were agreed.", "The author has waived the fee for any person obtaining a ticket.",
+    "The software is free to try and the source was distributed on a disk in 1998.", "All rights of way on the land are reserved for the public works department.",
+    "You may not use the lift, except in an emergency.", "Version 2.0 of the game was released in May with a copy of the map.",
+    "The documentation and the files are on the shelf, as is the form.", "Permission to enter was granted in writing by the owner.",
+    "This library is open to the public on Monday.", "The creative work of the students is on show at the international fair.",
+    "The attribution of the painting is subject to the terms of a long dispute.", "Copyright law was changed in the last century.",
+    "The binary star was seen with or without a telescope.", "We were free to redistribute the seats under the old rules.",
+)
+NONE, UNKNOWN = "none", "unknown"
+# Copies of each notice to train on, and paragraphs of the corpus; parts that families are left out in, to calibrate.
 COPIES = 40
 PARAGRAPHS = 5_000
-# Share of held-back paragraphs that may be taken for a notice, and least share of a notice's words.
-FALSE_ALARMS = 0.001
+PARTS = 2
+# Share of fresh copies of the notices that has to reach the limit of the family's share.
+KEPT = 0.98
+# Least probability of a notice; share of the corpus's lines that may be taken for one; least share of a notice's words.
+NOTICE = 0.5
+FALSE_ALARMS = 0.0001
 TEMPLATE = 0.8
 
 
@@ -72,10 +93,12 @@ def runs(docs: DataFrame, cues: list[str], id_col: str = "doc_id", text_col: str
     wanted = F.array(*map(F.lit, cues))
     found = texts(docs, id_col, text_col).filter(F.arrays_overlap(words_of(F.col("text")), wanted))
     lines = materialize(found.select("doc_id", F.transform(F.split("text", "\n"), words_of).alias("lines")))
-    # Each line with those that follow it; as lines have words, there are at most ``longest`` more.
-    near = F.transform("lines", lambda _, i: F.slice("lines", i + 1, longest + 1))
-    starts = lines.select("doc_id", F.posexplode(near).alias("paragraph", "near"))
-    starts = starts.filter((F.size(F.col("near")[0]) > 0) & F.arrays_overlap(F.flatten("near"), wanted))
+    # Only lines that have a cue among those that follow start a run; each takes its piece of the lines in a row of its own.
+    has_cue = F.filter(F.transform("lines", lambda x, i: F.when(F.arrays_overlap(x, wanted), i)), lambda i: i.isNotNull())
+    first = F.array_distinct(F.flatten(F.transform(has_cue, lambda i: F.sequence(F.greatest(i - longest, F.lit(0)), i))))
+    starts = lines.select("doc_id", "lines", F.explode(first).alias("paragraph"))
+    # As lines have words, a run has at most ``longest`` more.
+    starts = starts.select("doc_id", "paragraph", F.slice("lines", F.col("paragraph") + 1, longest + 1).alias("near")).filter(F.size(F.col("near")[0]) > 0)
     ends = starts.select("doc_id", "paragraph", "near", F.explode(F.sequence(F.lit(1), F.size("near"))).alias("n"))
     ends = ends.filter(~F.exists(F.slice("near", 1, F.col("n")), lambda x: F.size(x) == 0)).filter(
         (F.col("n") <= 2) | (F.size(F.flatten(F.slice("near", 2, F.greatest(F.col("n") - 2, F.lit(0))))) < longest))
@@ -101,8 +124,13 @@ def templates(spark: SparkSession) -> DataFrame:
         "number", "family", words_of(F.col("line")).alias("words"))
 
 
+def _otherwise(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(-1 - i, NONE, line) for i, line in enumerate(OTHERWISE)], "number int, family string, line string").select(
+        "number", "family", words_of(F.col("line")).alias("words"))
+
+
 def _mutilated(known: DataFrame, seed: int) -> DataFrame:
-    """Copies of the notices with about one word in eight left out; which ones depends on copy, place and seed."""
+    """Copies of sentences with about one word in eight left out; which ones depends on copy, place and seed."""
     copies = known.select("number", "family", "words", F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("copy"))
     kept = F.filter("words", lambda w, i: F.pmod(F.xxhash64(F.lit(seed), "number", "copy", i), F.lit(8)) > 0)
     return copies.select("family", F.when(F.col("copy") % 4 == 0, F.col("words")).otherwise(kept).alias("words"))
@@ -110,94 +138,158 @@ def _mutilated(known: DataFrame, seed: int) -> DataFrame:
 
 @dataclass
 class Model:
-    """Vocabulary and weights, of a size that the notices decide, and the probability that a prediction needs."""
+    """Vocabulary and weights, of a size that the notices decide; ``share`` is what the likeliest family needs of a notice's
+    probability. A run without one of ``cues`` has a notice's probability below ``NOTICE``."""
 
     counts: CountVectorizerModel
     regression: LogisticRegressionModel
     families: list[str]
-    least: float
-    cues: list[str]
-
-
-def _scored(model_parts: tuple[CountVectorizerModel, LogisticRegressionModel], rows: DataFrame) -> DataFrame:
-    return PipelineModel(list(model_parts)).transform(rows).withColumn("p", vector_to_array("probability"))
+    share: float = 0.5
+    cues: tuple[str, ...] = ()
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with (notice, family, share): probability of any notice, the likeliest family and its share of that.
+
+        A row without any known word, pair or triple is no notice.
+        """
+        p = PipelineModel([self.counts, self.regression]).transform(rows.withColumn("grams", _n_grams(F.col("words")))).withColumn(
+            "p", vector_to_array("probability"))
+        notices = F.slice("p", 2, len(self.families))
+        best, notice = F.array_max(notices), F.aggregate(notices, F.lit(0.0), lambda a, x: a + x)
+        empty = ~F.exists("grams", lambda g: g.isin(self.counts.vocabulary))
+        return p.select(*rows.columns, F.when(empty, 0.0).otherwise(notice).alias("notice"),
+                        F.element_at(F.array(*map(F.lit, self.families)), F.array_position(notices, best).cast("int") + 1).alias("family"),
+                        (best / notice).alias("share"))
+
+
+def _train(rows: DataFrame) -> Model:
+    """``rows`` are (family, grams)."""
+    families = [NONE, *sorted(r["family"] for r in rows.select("family").distinct().collect() if r["family"] != NONE)]
+    labelled = rows.withColumn("label", F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1)
+    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=20_000).fit(labelled.filter("label > 0"))
+    regression = LogisticRegression(maxIter=40, regParam=0.001, elasticNetParam=0.5, family="multinomial")
+    return Model(counts, regression.fit(counts.transform(labelled)), families)
+
+
+def _cues(model: Model, common: dict[str, int]) -> tuple[str, ...]:
+    """Words without one of which a run can't reach ``NOTICE``, the commonest words left out first.
+
+    A run without cues has only the known n-grams that have none. If all of those that speak for a family were there, and
+    none that speak against it, the families' odds against "none" would still be below those of ``NOTICE``.
+    """
+    weights, at = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    gains, start = np.maximum(weights[1:] - weights[0], 0), at[1:] - at[0]
+    missing = [set(g.split(" ")) for g in model.counts.vocabulary]
+    total = np.zeros(len(start))
+    words = sorted({w for g in missing for w in g}, key=lambda w: (-common.get(w, 0), w))
+    cues = []
+    for word in words:
+        whole = [i for i, m in enumerate(missing) if m == {word}]
+        after = total + gains[:, whole].sum(1)
+        if np.exp(start + after).sum() < NOTICE / (1 - NOTICE) * (1 - 1e-9):
+            total = after
+            for m in missing:
+                m.discard(word)
+        else:
+            cues.append(word)
+    return tuple(sorted(cues))
+
+
+def _is_plain(words: list[str]) -> Column:
+    """Whether a paragraph hardly has words of notices: less than three, or than a third of its own."""
+    n = F.size(F.array_intersect("words", F.array(*map(F.lit, words))))
+    return (n < 3) | (n < F.size("words") / 3)
+
+
+def notice_words() -> list[str]:
+    return sorted({w for _, line in NOTICES for w in re.findall(r"[^\W_]+", line.lower())})
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on the notices and on a bounded number of the corpus's paragraphs, one each of ``2 * PARAGRAPHS`` documents.
+    """Train on the notices, on ``OTHERWISE`` and on at most ``PARAGRAPHS`` plain paragraphs, one each of as many documents.
 
-    Paragraphs with three words and more that occur in notices, a third of all theirs, may be notices and are no example
-    of "none".
+    The limit of the share is calibrated on copies of the notices that no model was trained on. The model scores copies of all of
+    them; models trained without a part of the families, in ``PARTS`` parts, score those of that part.
     """
     spark = docs.sparkSession
-    known = templates(spark)
-    cues = sorted({w for r in known.collect() for w in r["words"]})
-    chosen = bounded(texts(docs, id_col, text_col).select("doc_id").filter("doc_id IS NOT NULL").distinct(), 2 * PARAGRAPHS, 11)
+    known, words = templates(spark), notice_words()
+    chosen = bounded(texts(docs, id_col, text_col).select("doc_id").filter("doc_id IS NOT NULL").distinct(), PARAGRAPHS, 11)
     lines = paragraphs(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     one = lines.groupBy("doc_id").agg(F.min_by(F.struct("words"), F.xxhash64("doc_id", "paragraph"))["words"].alias("words"))
-    cue_words = F.size(F.array_intersect("words", F.array(*map(F.lit, cues))))
-    plain = materialize(one.filter((cue_words < 3) | (cue_words < F.size("words") / 3)).withColumn(
-        "held", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0))
-    families = [NONE, *sorted({f for f, _ in NOTICES})]
-    label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    rows = _mutilated(known, 1).unionByName(plain.filter("NOT held").select(F.lit(NONE).alias("family"), "words"))
-    rows = rows.select(label.alias("label"), _n_grams(F.col("words")).alias("grams"))
-    rows = materialize(rows.repartition(4))
-    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=20_000).fit(rows.filter("label > 0"))
-    regression = LogisticRegression(maxIter=40, regParam=0.001, elasticNetParam=0.5, family="multinomial").fit(counts.transform(rows))
-    held = _scored((counts, regression), plain.filter("held").select(_n_grams(F.col("words")).alias("grams")))
-    top = F.array_max(F.slice("p", 2, len(families)))
-    limit = held.agg(F.percentile(top, F.lit(1 - FALSE_ALARMS))).first()[0]
+    plain = materialize(one.filter(_is_plain(words)).select(F.lit(NONE).alias("family"), "words"))
+    examples = _mutilated(known.unionByName(_otherwise(spark)), 1).unionByName(plain).select("family", _n_grams(F.col("words")).alias("grams"))
+    examples = materialize(examples.repartition(2))
+    fresh = materialize(_mutilated(known, 2).repartition(1))
+    fresh = fresh.withColumnRenamed("family", "own")
+    families = sorted({f for f, _ in NOTICES})
+    others: list[float] = []
+    for part in range(PARTS):
+        out = families[part::PARTS]
+        strange = _train(examples.filter(~F.col("family").isin(out))).score(fresh.filter(F.col("own").isin(out)))
+        others += [r["share"] if r["likeness"] >= TEMPLATE else 0.0 for r in _with_likeness(strange).filter(F.col("notice") >= NOTICE).collect()]
+    model = _train(examples)
+    own = [r["share"] for r in model.score(fresh).filter((F.col("notice") >= NOTICE) & (F.col("own") == F.col("family"))).collect()]
     common = {r["w"]: r["n"] for r in plain.select(F.explode(F.array_distinct("words")).alias("w")).filter(
-        F.col("w").isin(cues)).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Model(counts, regression, families, max(0.5, limit or 0.0), _rare_words(known, common))
+        F.col("w").isin(words)).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return replace(model, share=_best_cut(others, own), cues=_cues(model, common))
 
 
-def _rare_words(known: DataFrame, common: dict[str, int]) -> list[str]:
-    """Of each notice its rarest words, so many that a paragraph with ``TEMPLATE`` of the notice's words has one of them."""
-    found = set()
-    for r in known.collect():
-        words = sorted(set(r["words"]), key=lambda w: (common.get(w, 0), w))
-        found.update(words[:int((1 - TEMPLATE) * len(words) + 1e-9) + 1])
-    return sorted(found)
+def _best_cut(others: list[float], own: list[float]) -> float:
+    """The limit, 0.5 and more, that most left-out notices miss of those that ``KEPT`` of the known ones reach."""
+    cuts = [0.5, *(c for c in np.arange(0.51, 1.0, 0.01) if (np.asarray(own) >= c).mean() >= KEPT)] if own else [0.5]
+    return float(max(cuts, key=lambda c: (sum(s < c for s in others), -c)))
 
 
 def _likeness(words: list[str]) -> Column:
     return F.size(F.array_intersect("words", F.array(*map(F.lit, words)))) / len(set(words))
 
 
+def _with_likeness(scored: DataFrame) -> DataFrame:
+    """``likeness``: share of words of the likest notice of the row's family."""
+    return scored.withColumn("likeness", F.greatest(*(
+        F.when(F.col("family") == r["family"], _likeness(r["words"])) for r in templates(scored.sparkSession).collect())))
+
+
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, last, family, probability, likeness) of the runs of lines that are taken for a notice.
+    """(doc_id, paragraph, last, notice, family, share, likeness, plain) of all runs of lines that reach ``NOTICE``.
 
-    Runs without any of the model's cues can't be like a notice. Those that are like no notice of any family can't be
-    confirmed and aren't classified either. Runs may overlap.
+    ``likeness`` is for the likeliest family; templates decide nothing here. Runs may overlap.
     """
-    known = [(r["family"], r["words"]) for r in templates(docs.sparkSession).collect()]
-    # Written out, so that the n-grams start from words and not from the text each time.
-    rows = runs(docs, model.cues, id_col, text_col)
-    rows = materialize(rows.filter(F.greatest(*(_likeness(w) for _, w in known)) >= TEMPLATE))
-    scored = _scored((model.counts, model.regression), rows.withColumn("grams", _n_grams(F.col("words"))))
-    families = F.array(*map(F.lit, model.families))
-    best = F.array_max(F.slice("p", 2, len(model.families)))
-    scored = scored.select("doc_id", "paragraph", "last", "words", best.alias("probability"),
-                           F.element_at(families, F.array_position("p", best).cast("int")).alias("family"), F.element_at("p", 1).alias("none"))
-    likeness = [F.when(F.col("family") == f, _likeness(w)) for f, w in known]
-    return scored.filter((F.col("probability") >= model.least) & (F.col("probability") > F.col("none"))).withColumn(
-        "likeness", F.greatest(*likeness)).drop("words", "none")
+    scored = model.score(runs(docs, list(model.cues), id_col, text_col)).filter(F.col("notice") >= NOTICE)
+    return _with_likeness(scored).withColumn("plain", _is_plain(notice_words())).drop("words")
+
+
+def _linked(found: DataFrame) -> DataFrame:
+    """``found`` with ``together``: runs of a document that are linked by overlaps or touch have the same number."""
+    order = Window.partitionBy("doc_id").orderBy("paragraph", "last")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("new", F.when(before + 1 >= F.col("paragraph"), 0).otherwise(1)).withColumn("together", F.sum("new").over(order))
+
+
+def notice_limit(found: DataFrame, n_lines: int) -> float:
+    """The probability that so few places with plain runs only reach that they are ``FALSE_ALARMS`` of all the corpus's lines."""
+    places = _linked(found).groupBy("doc_id", "together").agg(F.max("notice").alias("notice"), F.bool_and("plain").alias("plain"))
+    bins = places.filter("plain").groupBy(F.floor(F.col("notice") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    left = FALSE_ALARMS * n_lines
+    for row in sorted(bins, key=lambda r: -r["bin"]):
+        left -= row["n"]
+        if left < 0:
+            return max(NOTICE, (row["bin"] + 1) / 1000)
+    return NOTICE
 
 
 def _apart(found: DataFrame) -> DataFrame:
-    """``found`` without the runs that overlap a better one that stays: the likest first, then shorter, likelier, earlier ones."""
-    rank = F.struct((-F.col("likeness")).alias("unlike"), (F.col("last") - F.col("paragraph")).alias("more"), (-F.col("probability")).alias("unlikely"),
-                    "paragraph", "last", "family", "probability", "likeness")
+    """``found`` without the runs that overlap a better one that stays: confirmed ones first, of these the likest, of others the
+    likeliest; then the shorter and earlier ones. Where runs overlap or touch a confirmed one, only confirmed ones stay."""
+    sure = F.col("family") != UNKNOWN
+    rank = F.struct(F.when(sure, -1 - F.col("likeness")).otherwise(-F.col("probability")).alias("rank"), (F.col("last") - F.col("paragraph")).alias("more"),
+                    (-F.col("probability")).alias("unlikely"), "paragraph", "last", "family", "probability", "likeness")
     found = found.select("doc_id", "paragraph", "last", rank.alias("run"))
-    # A longer run that is no liker than a shorter one of the same first line never stays.
+    # A longer run that ranks no better than a shorter one of the same first line never stays.
     shorter = Window.partitionBy("doc_id", "paragraph").orderBy("last").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("liker", F.max("run.likeness").over(shorter)).filter("liker IS NULL OR liker < run.likeness")
-    # Runs that are linked by overlaps, together.
-    order = Window.partitionBy("doc_id").orderBy("paragraph", "last")
-    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("new", F.when(before >= F.col("paragraph"), 0).otherwise(1)).withColumn("together", F.sum("new").over(order))
+    found = found.withColumn("better", F.min("run.rank").over(shorter)).filter("better IS NULL OR better > run.rank")
+    group = Window.partitionBy("doc_id", "together")
+    found = _linked(found).withColumn("best", F.min("run.rank").over(group)).filter((F.col("best") > -1) | (F.col("run.rank") <= -1))
     by = found.groupBy("doc_id", "together").agg(F.array_sort(F.collect_list("run")).alias("all"))
     kind = by.schema["all"].dataType.simpleString()
     stays = F.aggregate("all", F.array().cast(kind), lambda kept, x: F.when(
@@ -205,16 +297,32 @@ def _apart(found: DataFrame) -> DataFrame:
     return by.select("doc_id", F.explode(stays).alias("run")).select("doc_id", "run.paragraph", "run.last", "run.family", "run.probability", "run.likeness")
 
 
-def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """(doc_id, paragraph, last, family, probability, likeness) of the notices found, from line ``paragraph`` to ``last``.
+
+    ``family`` is "unknown" where the likeliest family's share misses its limit or no notice of it confirms the run;
+    ``probability`` is that of any notice.
+    """
+    model = model or fit(docs, id_col, text_col)
+    found = materialize(scan(docs, model, id_col, text_col))
+    source = texts(docs, id_col, text_col)
+    n_lines = source.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    sure = (F.col("share") >= model.share) & (F.col("likeness") >= TEMPLATE)
+    return _apart(found.filter(F.col("notice") >= notice_limit(found, n_lines)).select(
+        "doc_id", "paragraph", "last", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), F.col("notice").alias("probability"), "likeness"))
+
+
+def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """(doc_id, licence, licences, probability, likeness, paragraph, n_notices), one row for each row of ``docs``.
 
-    ``paragraph`` is the first line, from 0, of the run of lines that holds the notice.
-    ``licences`` are the families of confirmed notices in order; the other columns tell of the likeliest one. A document
+    ``licences`` are the families of all notices in order, "unknown" among them; the other columns tell of one notice, the
+    likeliest of a known family if there is one. ``paragraph`` is the first line, from 0, of its run of lines. A document
     without any has nulls, an empty list and 0; so have null and empty texts. Rows that repeat an id are judged together.
+    Without ``model`` one is trained on ``docs``.
     """
-    found = _apart(scan(docs, fit(docs, id_col, text_col), id_col, text_col).filter(F.col("likeness") >= TEMPLATE))
-    first = F.max(F.struct("probability", "likeness", (-F.col("paragraph")).alias("before"), "family"))
-    by = materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(
+    known = (F.col("family") != UNKNOWN).alias("known")
+    first = F.max(F.struct(known, "probability", "likeness", (-F.col("paragraph")).alias("before"), "family"))
+    by = materialize(notices(docs, id_col, text_col, model).groupBy(F.col("doc_id").alias("_id")).agg(
         first.alias("best"), F.array_sort(F.collect_set("family")).alias("licences"), F.count(F.lit(1)).alias("n_notices")))
     ids = texts(docs, id_col, text_col).select("doc_id")
     return ids.join(by, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(

@@ -1,5 +1,7 @@
-"""Licence notices in made-up documents, and held-out accuracy on the test tables."""
+"""Licence notices in made-up documents, the search against classifying every run, and planted notices of the test tables."""
 
+import math
+import random
 import re
 import textwrap
 
@@ -20,6 +22,11 @@ def docs(spark):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, words string, paragraph int").repartition(3)
 
 
+@pytest.fixture(scope="module")
+def model(docs):
+    return li.fit(docs)
+
+
 def test_finds_notices_and_leaves_the_rest(docs):
     rows = li.licences(docs).collect()
     assert len(rows) == docs.count()
@@ -52,17 +59,95 @@ def test_finds_wrapped_notices_in_comments(spark):
     assert all(got[i].n_notices == 1 for i in want)
 
 
-def test_cues_lose_nothing(docs):
-    model = li.fit(docs)
-    for _, line in li.NOTICES:
-        words = sorted(set(re.findall(r'[a-z0-9]+', line.lower())))
-        least = -(-len(words) * li.TEMPLATE // 1)
-        missing = len(words) - int(least)
-        assert len(set(words) & set(model.cues)) > missing
+# Notices of families that the model has never seen.
+OTHERS = (
+    "Licensed under the EUPL, Version 1.2 only.",
+    "Licensed under the EUPL, Version 1.2 or later (the \"Licence\"); you may not use this work except in compliance with the Licence.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+)
 
 
-def test_no_rows(spark):
-    assert li.licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+def test_notices_of_other_families_are_unknown(spark):
+    plain = ["the river runs by the old town\nand the mill of the house is closed", "no part of the way was seen\nthe terms of the game were clear to all",
+             "a license to fish\nversion of the story, as is", "public works department\n\ngeneral notes on the form"]
+    rows = [(i, plain[i % 4] + f"\nword{i} of the lot") for i in range(400)]
+    rows += [(1000 + i, f"a file of the town\n\n{line}\n\nmore text") for i, line in enumerate(OTHERS)]
+    rows += [(2000 + i, "a file\n\n# " + "\n# ".join(textwrap.wrap(line, 40))) for i, line in enumerate(OTHERS)]
+    rows += [(3000, f"{OTHERS[0]}\n\nReleased under the MIT License.")]
+    got = {r.doc_id: r for r in li.licences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {i for i in range(400) if got[i].licences} == set()
+    for i in range(len(OTHERS)):
+        assert list(got[1000 + i].licences) == [li.UNKNOWN] and got[1000 + i].licence == li.UNKNOWN, (OTHERS[i], got[1000 + i])
+        assert list(got[2000 + i].licences) == [li.UNKNOWN], (OTHERS[i], got[2000 + i])
+    assert got[3000].licence == "mit" and list(got[3000].licences) == ["mit", li.UNKNOWN] and got[3000].n_notices == 2
+
+
+def brute_runs(text, model):
+    """(first, last, family, notice, share) of all runs of non-empty lines that reach the least probability."""
+    terms, at = {w: i for i, w in enumerate(model.counts.vocabulary)}, model.regression.interceptVector.toArray()
+    weights = model.regression.coefficientMatrix.toArray()
+    longest = max(len(re.findall(r"[^\W_]+", line)) for _, line in li.NOTICES)
+    lines = [re.findall(r"[^\W_]+", x.lower()) for x in text.split("\n")]
+    out = []
+    for first in range(len(lines)):
+        for last in range(first, min(len(lines), first + longest + 1)):
+            if not lines[last]:
+                break
+            if last - first > 1 and sum(map(len, lines[first + 1:last])) >= longest:
+                break
+            words = [w for x in lines[first:last + 1] for w in x]
+            grams = {" ".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+            known = [terms[g] for g in grams if g in terms]
+            z = at + weights[:, known].sum(1)
+            p = [math.exp(x - max(z)) for x in z]
+            p = [x / sum(p) for x in p]
+            if known and 1 - p[0] >= li.NOTICE:
+                best = max(p[1:])
+                out.append((first, last, model.families[1 + p[1:].index(best)], 1 - p[0], best / (1 - p[0])))
+    return out
+
+
+def test_scan_equals_classifying_every_run(spark, model):
+    rnd, words = random.Random(3), [*li.notice_words(), "town", "river", "mill"]
+    rows = []
+    for i in range(60):
+        lines = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) for _ in range(rnd.randint(1, 8))]
+        pieces = [x for _, line in rnd.sample(li.NOTICES, 2) for x in textwrap.wrap(line, rnd.choice((20, 40, 80)))]
+        at = rnd.randint(0, len(lines))
+        rows.append((i, "\n".join(lines[:at] + rnd.sample(pieces, rnd.randint(0, len(pieces))) + lines[at:])))
+    rows.append((100, "\n".join(["Released under the MIT License."] * 2_000)))
+    got = {}
+    for r in li.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model).collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r.last, r.family, r.notice, r.share))
+    for i, text in rows:
+        want = brute_runs(text, model)
+        have = sorted(got.get(i, []))
+        assert [r[:2] for r in have] == [r[:2] for r in want], i
+        assert all(h[3:] == pytest.approx(w[3:], abs=1e-9) for h, w in zip(have, want, strict=True))
+        assert all(h[2] == w[2] for h, w in zip(have, want, strict=True) if w[4] > 0.51)
+    assert sum(map(len, got.values())) > 200
+
+
+def test_limits(spark):
+    assert li._best_cut([], []) == 0.5
+    assert li._best_cut([0.6, 0.7], [0.9, 0.95]) == pytest.approx(0.71)
+    assert li._best_cut([0.6, 0.95], [0.8, 0.95]) == pytest.approx(0.61)
+    found = spark.createDataFrame([(1, 0, 0, 0.9995, True), (1, 1, 1, 0.6, True), (1, 5, 5, 0.95, True), (2, 3, 4, 0.8, True), (3, 0, 0, 0.7, True), (4, 0, 1, 0.99, True),
+                                   (4, 0, 0, 0.99, False)], "doc_id long, paragraph int, last int, notice double, plain boolean")
+    assert li.notice_limit(found, 20_000) == pytest.approx(0.801)
+    assert li.notice_limit(found, 10 ** 6) == 0.5 and li.notice_limit(found.limit(0), 0) == 0.5
+
+
+def test_plan_has_no_python(docs, model):
+    for df in (li.scan(docs, model), li.licences(docs, model=model)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
+
+
+def test_no_rows(spark, model):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert li.licences(empty).count() == 0 and li.licences(empty, model=model).count() == 0
 
 
 def test_query_finds_the_planted_notices(spark, sf):
