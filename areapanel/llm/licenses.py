@@ -2,7 +2,8 @@
 
 Paragraphs are turned into counts of words, word pairs and word triples that occur in licence notices; a multinomial
 logistic regression with a sparsity penalty gives each licence family and "none" a probability. The model is trained on
-mutilated copies of notices, on sentences that use their words otherwise, and on paragraphs of the corpus.
+mutilated copies of notices, on notices of other families (of class "unknown"), on sentences that use their words otherwise,
+and on paragraphs of the corpus.
 
 A paragraph that the model takes for a notice is of the likeliest family if that family's share of the notice's probability
 reaches a limit and if the paragraph has most of the words of one of the family's notices; else it is "unknown". The limit of
@@ -52,13 +53,25 @@ NOTICES = (
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0."),
     ("proprietary", "Copyright. All rights reserved. No part may be reproduced without permission."),
 )
+# Short public notices of other families, to learn what a notice of an unknown family looks like; none is a template.
+OTHER = (
+    "Distributed under the Boost Software License, Version 1.0.", "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "This software is provided 'as-is', without any express or implied warranty.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "This is free and unencumbered software released into the public domain.",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+    "You may not use this file except in compliance with the License.",
+    "You can redistribute it and/or modify it under the same terms as the Perl Artistic License.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document.",
+)
 # Sentences that are no notices, though they have words of notices.
 OTHERWISE = (
     "She renewed her driving license in the spring and drove to the work on the new version of the road.",
     "A license to fish is required by the law of the county.", "The general public is permitted to use the reading room free of charge.",
     "No part of the program was written when the terms of the contract were agreed.", "The author has waived the fee for any person obtaining a ticket.",
     "The software is free to try and the source was distributed on a disk in 1998.", "All rights of way on the land are reserved for the public works department.",
-    "You may not use the lift, except in an emergency.", "Version 2.0 of the game was released in May with a copy of the map.",
+    "Version 2.0 of the game was released in May with a copy of the map.",
     "The documentation and the files are on the shelf, as is the form.", "Permission to enter was granted in writing by the owner.",
     "This library is open to the public on Monday.", "The creative work of the students is on show at the international fair.",
     "The attribution of the painting is subject to the terms of a long dispute.", "Copyright law was changed in the last century.",
@@ -89,7 +102,7 @@ def runs(docs: DataFrame, cues: list[str], id_col: str = "doc_id", text_col: str
     A run goes on until the lines after its first hold as many words as the longest notice, so that every notice lies in
     one of them, however narrow its lines are.
     """
-    longest = max(len(re.findall(r"[^\W_]+", line)) for _, line in NOTICES)
+    longest = max(len(re.findall(r"[^\W_]+", line)) for line in (*(x for _, x in NOTICES), *OTHER))
     wanted = F.array(*map(F.lit, cues))
     found = texts(docs, id_col, text_col).filter(F.arrays_overlap(words_of(F.col("text")), wanted))
     lines = materialize(found.select("doc_id", F.transform(F.split("text", "\n"), words_of).alias("lines")))
@@ -124,15 +137,20 @@ def templates(spark: SparkSession) -> DataFrame:
         "number", "family", words_of(F.col("line")).alias("words"))
 
 
-def _otherwise(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(-1 - i, NONE, line) for i, line in enumerate(OTHERWISE)], "number int, family string, line string").select(
+def _without_family(spark: SparkSession) -> DataFrame:
+    rows = [*((UNKNOWN, line) for line in OTHER), *((NONE, line) for line in OTHERWISE)]
+    return spark.createDataFrame([(-1 - i, *r) for i, r in enumerate(rows)], "number int, family string, line string").select(
         "number", "family", words_of(F.col("line")).alias("words"))
 
 
-def _mutilated(known: DataFrame, seed: int) -> DataFrame:
-    """Copies of sentences with about one word in eight left out; which ones depends on copy, place and seed."""
+def _mutilated(known: DataFrame, seed: int, much: int = 8) -> DataFrame:
+    """Copies of sentences: a quarter whole, a quarter with about one word in ``much`` left out, the others with one in eight.
+
+    Which words go depends on copy, place and seed. What has lost much teaches the model the words that families share.
+    """
     copies = known.select("number", "family", "words", F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("copy"))
-    kept = F.filter("words", lambda w, i: F.pmod(F.xxhash64(F.lit(seed), "number", "copy", i), F.lit(8)) > 0)
+    one_in = F.when(F.col("copy") % 4 == 1, much).otherwise(8)
+    kept = F.filter("words", lambda w, i: F.pmod(F.xxhash64(F.lit(seed), "number", "copy", i), one_in) > 0)
     return copies.select("family", F.when(F.col("copy") % 4 == 0, F.col("words")).otherwise(kept).alias("words"))
 
 
@@ -163,11 +181,13 @@ class Model:
 
 
 def _train(rows: DataFrame) -> Model:
-    """``rows`` are (family, grams)."""
+    """``rows`` are (family, grams); those of no notice weigh as much together as those of notices, at most."""
     families = [NONE, *sorted(r["family"] for r in rows.select("family").distinct().collect() if r["family"] != NONE)]
     labelled = rows.withColumn("label", F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1)
+    n = {r["label"] > 0: r["n"] for r in labelled.groupBy((F.col("label") > 0).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = labelled.withColumn("weight", F.when(F.col("label") > 0, 1.0).otherwise(min(1.0, n[True] / n[False])))
     counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=20_000).fit(labelled.filter("label > 0"))
-    regression = LogisticRegression(maxIter=40, regParam=0.001, elasticNetParam=0.5, family="multinomial")
+    regression = LogisticRegression(maxIter=40, regParam=0.0005, elasticNetParam=0.5, family="multinomial", weightCol="weight")
     return Model(counts, regression.fit(counts.transform(labelled)), families)
 
 
@@ -202,11 +222,11 @@ def _is_plain(words: list[str]) -> Column:
 
 
 def notice_words() -> list[str]:
-    return sorted({w for _, line in NOTICES for w in re.findall(r"[^\W_]+", line.lower())})
+    return sorted({w for line in (*(x for _, x in NOTICES), *OTHER) for w in re.findall(r"[^\W_]+", line.lower())})
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on the notices, on ``OTHERWISE`` and on at most ``PARAGRAPHS`` plain paragraphs, one each of as many documents.
+    """Train on the notices, on ``OTHER`` and ``OTHERWISE``, and on at most ``PARAGRAPHS`` plain paragraphs, one each of as many documents.
 
     The limit of the share is calibrated on copies of the notices that no model was trained on. The model scores copies of all of
     them; models trained without a part of the families, in ``PARTS`` parts, score those of that part.
@@ -217,7 +237,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     lines = paragraphs(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     one = lines.groupBy("doc_id").agg(F.min_by(F.struct("words"), F.xxhash64("doc_id", "paragraph"))["words"].alias("words"))
     plain = materialize(one.filter(_is_plain(words)).select(F.lit(NONE).alias("family"), "words"))
-    examples = _mutilated(known.unionByName(_otherwise(spark)), 1).unionByName(plain).select("family", _n_grams(F.col("words")).alias("grams"))
+    examples = _mutilated(known.unionByName(_without_family(spark)), 1, 2).unionByName(plain).select("family", _n_grams(F.col("words")).alias("grams"))
     examples = materialize(examples.repartition(2))
     fresh = materialize(_mutilated(known, 2).repartition(1))
     fresh = fresh.withColumnRenamed("family", "own")
@@ -245,8 +265,8 @@ def _likeness(words: list[str]) -> Column:
 
 
 def _with_likeness(scored: DataFrame) -> DataFrame:
-    """``likeness``: share of words of the likest notice of the row's family."""
-    return scored.withColumn("likeness", F.greatest(*(
+    """``likeness``: share of words of the likest notice of the row's family, 0 for an unknown one."""
+    return scored.withColumn("likeness", F.greatest(F.lit(0.0), *(
         F.when(F.col("family") == r["family"], _likeness(r["words"])) for r in templates(scored.sparkSession).collect())))
 
 
