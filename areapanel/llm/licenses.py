@@ -90,12 +90,6 @@ FALSE_ALARMS = 0.0001
 TEMPLATE = 0.8
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, words): non-empty lines, as lower-case words and numbers."""
-    lines = texts(docs, id_col, text_col).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0)
-
-
 def runs(docs: DataFrame, cues: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph, last, words): runs of non-empty lines, from line ``paragraph`` to ``last``, that have a cue.
 
@@ -234,8 +228,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     spark = docs.sparkSession
     known, words = templates(spark), notice_words()
     chosen = bounded(texts(docs, id_col, text_col).select("doc_id").filter("doc_id IS NOT NULL").distinct(), PARAGRAPHS, 11)
-    lines = paragraphs(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    one = lines.groupBy("doc_id").agg(F.min_by(F.struct("words"), F.xxhash64("doc_id", "paragraph"))["words"].alias("words"))
+    # Documents are chosen before texts are split, and lines before words are taken.
+    lines = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    lines = lines.filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    one = lines.groupBy("doc_id").agg(F.min_by(F.struct("line"), F.xxhash64("doc_id", "paragraph"))["line"].alias("line"))
+    one = one.select("doc_id", words_of(F.col("line")).alias("words"))
     plain = materialize(one.filter(_is_plain(words)).select(F.lit(NONE).alias("family"), "words"))
     examples = _mutilated(known.unionByName(_without_family(spark)), 1, 2).unionByName(plain).select("family", _n_grams(F.col("words")).alias("grams"))
     examples = materialize(examples.repartition(2))
