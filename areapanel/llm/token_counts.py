@@ -15,6 +15,7 @@ import json
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,11 +66,10 @@ class PrefixCounter:
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.fits: dict[int, bool] = {}
         self.heads: dict[str, tuple[int, int]] = {}
-        # Of chunks that follow a space: steps and tokens. Words and signs are remembered once, and chunks made of them add up.
-        self.steps = Generations(self._chunk_steps)
-        self.tokens = Generations(self._chunk_tokens, 400_000)
+        # Of chunks that follow a space. Pieces are remembered once, and chunks made of them are put together.
+        self.steps = Generations(self._chunk_steps, 400_000)
+        self.piece_steps = Generations(lambda piece: self._steps(self.piece_counts(piece)), 200_000)
         self.first = Generations(lambda chunk: self._steps(self._counts(chunk)), 1 << 14)
-        self.signs = Generations(lambda sign: self._steps(self.piece_counts(sign)), 1 << 10)
 
     def _fits(self, before: int, token: int) -> bool:
         """Does encoding both give both back? ``before`` is -1 at the start."""
@@ -142,19 +142,11 @@ class PrefixCounter:
         return array("b", [b - a for a, b in zip([0, *counts], counts)]).tobytes()
 
     def _chunk_steps(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            return self._steps(self.piece_counts(" " + chunk))
-        if chunk[-1:] in (".", ",", "!") and chunk[:-1].isalpha():
-            return self.steps[chunk[:-1]] + self.signs[chunk[-1]]
-        return self._steps(self._counts(" " + chunk))
-
-    def _chunk_tokens(self, chunk: str) -> int:
-        """The last of the chunk's prefix counts."""
-        if chunk.isalpha():
-            return self.piece_counts(" " + chunk)[-1]
-        if chunk[-1:] in (".", ",", "!") and chunk[:-1].isalpha():
-            return self.tokens[chunk[:-1]] + sum(array("b", self.signs[chunk[-1]]))
-        return self._counts(" " + chunk)[-1]
+        if "'" in chunk:
+            return self._steps(self._counts(" " + chunk))
+        # No white space follows another in it, so the steps of its pieces follow each other.
+        pieces = self.pieces(" " + chunk)
+        return self.piece_steps[pieces[0]] if len(pieces) == 1 else b"".join(map(self.piece_steps.__getitem__, pieces))
 
     def _odd_counts(self, text: str) -> list[int] | None:
         """Counts of a text whose chunks can't be taken one by one; None for all others."""
@@ -172,14 +164,6 @@ class PrefixCounter:
         head, *chunks = text.split(" ")
         return (self.first[head] if head else b"") + b"".join(map(self.steps.__getitem__, chunks))
 
-    def text_tokens(self, text: str) -> int:
-        """The count of the whole text: the last of its prefix counts, without the others being put together."""
-        odd = self._odd_counts(text)
-        if odd is not None:
-            return odd[-1] if odd else 0
-        head, *chunks = text.split(" ")
-        return (sum(array("b", self.first[head])) if head else 0) + sum(map(self.tokens.__getitem__, chunks))
-
     def _special_counts(self, text: str) -> list[int]:
         """A special token's string is one token; up to its last character it is text like other text."""
         out, base, at = [], 0, 0
@@ -199,11 +183,9 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_steps: bool = True) -> DataFrame:
+def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_chars, n_tokens, steps): ``steps`` holds the token count of every prefix (see ``tokens_of``).
 
-    Without ``with_steps`` the prefixes are worked out chunk by chunk all the same, but only whole texts' counts are returned.
-
     ``tokenizer`` is the path of a byte-level BPE file that every executor can read. Null and empty texts have no
     token; rows that repeat are counted each; any length of text is taken whole. Other columns are ignored.
     """
@@ -211,18 +193,15 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         own = counter(tokenizer)
         for batch in batches:
             all_texts = batch.column("text").to_pylist()
-            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(map(len, all_texts), pa.int64())]
-            if with_steps:
-                steps = [own.text_steps(text) for text in all_texts]
-                columns += [pa.array([sum(array("b", s)) for s in steps], pa.int64()), pa.array(steps, pa.binary())]
-            else:
-                columns.append(pa.array(map(own.text_tokens, all_texts), pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            steps = [own.text_steps(text) for text in all_texts]
+            # The whole text is its own longest prefix.
+            tokens = pa.array([int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps], pa.int64())
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(map(len, all_texts), pa.int64()), tokens, pa.array(steps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_chars", "n_tokens", "steps"])
 
     source = texts(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "n_chars", "n_tokens", *["steps"] * with_steps]
-    return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_chars long, n_tokens long" + ", steps binary" * with_steps)
+    return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_chars long, n_tokens long, steps binary")
 
 
 def tokens_of(steps: bytes, n_chars: int | None = None) -> int:

@@ -153,3 +153,16 @@ def test_ids_of_every_latin_character():
     for c in [chr(n) for n in range(1, 0x2FF)] + ["é", "ñ", "İ", "ß", "ſ", "µ", "ª"]:
         for text in (f"a{c}b", f"{c}", f"aB{c}, {c}{c}.", f"{c}'s 1{c}2"):
             assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_token_query_counts_every_prefix(spark, sf):
+    from areapanel.llm.queries import QUERIES
+
+    library = Tokenizer.from_file(BYTE)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op5_token_counts"](spark, sf).orderBy("doc_id").limit(10).collect()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert len(r.steps) == len(text) and token_counts.tokens_of(r.steps) == r.n_tokens
+        for n in range(0, len(text) + 1, 37):
+            assert token_counts.tokens_of(r.steps, n) == len(library.encode(text[:n], add_special_tokens=False).ids)
