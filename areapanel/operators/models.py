@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import (
     GeneralizedLinearRegression, LinearRegression, RandomForestRegressionModel, RandomForestRegressor,
 )
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from areapanel.functions.clean import fill_zero, parse_percent, yes_no
 from areapanel.functions.probability import gamma_params, weighted_sum
+from areapanel.operators.forest import LEAST_ROWS, grow_forest, places
 from areapanel.operators.missing import without_nan
 from areapanel.operators.scale import BROADCAST_BYTES, lookup_join, materialize, materialize_counted, scratch_path
 
@@ -56,10 +58,18 @@ def fit_forest(
     train: DataFrame, target: str, inputs: Sequence[str], trees: int = 500, depth: int = 8, seed: int = 0, bootstrap: bool = True,
     inputs_per_split: str = "auto",
 ) -> RandomForestRegressionModel:
-    """Without ``bootstrap``, and with ``inputs_per_split`` all, one tree is the plain regression tree of all rows."""
+    """Without ``bootstrap``, and with ``inputs_per_split`` all, one tree is the plain regression tree of all rows.
+
+    Spark ML's fit visits every row for every tree and level. Where rows have few different inputs, sums decide the same cuts
+    from one visit (``operators/forest.py``); the forest has as many trees, as deep, and every row is drawn for each.
+    """
     forest = RandomForestRegressor(featuresCol=FEATURES, labelCol=target, predictionCol="predicted", numTrees=trees, maxDepth=depth, seed=seed,
                                    bootstrap=bootstrap, featureSubsetStrategy=inputs_per_split)
-    return forest.fit(assemble(train, inputs))
+    at = places(train, target, inputs, trees, LEAST_ROWS) if inputs_per_split in ("auto", "all", "onethird") else None
+    if at is None:
+        return forest.fit(assemble(train, inputs))
+    one = train.sparkSession.createDataFrame([(0.0, Vectors.dense([0.0] * len(inputs)))], T.StructType().add(target, "double").add(FEATURES, VectorUDT())).coalesce(1)
+    return grow_forest(train, target, inputs, at, forest.fit(one), depth, seed, bootstrap, inputs_per_split)
 
 
 def forest_nodes(model: RandomForestRegressionModel, spark: SparkSession) -> DataFrame:
