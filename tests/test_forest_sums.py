@@ -54,3 +54,12 @@ def test_odd_rows_are_left_to_spark_ml(spark, few):
     assert len(places(missing, "y", ["a", "b"], 500)) == 210
     assert places(few.withColumn("y", F.when(F.col("a") < 30, F.col("y"))), "y", ["a", "b"], 500) is None
     assert places(few.withColumn("a", F.lit(float("inf"))), "y", ["a", "b"], 500) is None
+
+
+def test_few_inputs_are_asked_once(spark, few):
+    model = models.fit_forest(few, "y", ["a", "b"], trees=5, depth=3)
+    odd = few.limit(40).unionByName(spark.createDataFrame([(None, 1.0, 0.5, 3.0), (float("nan"), 1.0, 0.5, 3.0), (7.0, 1.0, 0.5, 3.0)], few.schema))
+    got = models.predict(model, odd, ["a", "b"])
+    assert got.columns == ["a", "b", "e", "y", "predicted"]
+    expect = model.transform(models.assemble(odd, ["a", "b"])).drop(models.FEATURES)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expect.collect())) and got.count() == 41
