@@ -88,33 +88,46 @@ KEPT = 0.98
 NOTICE = 0.5
 FALSE_ALARMS = 0.0001
 TEMPLATE = 0.8
+# What lies between words.
+SIGNS = r"[^\p{L}\p{N}]+"
 
 
-def runs(docs: DataFrame, cues: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, last, words): runs of non-empty lines, from line ``paragraph`` to ``last``, that have a cue.
+def runs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, paragraph, last, words): runs of non-empty lines, from line ``paragraph`` to ``last``, that have a cue and may
+    reach ``NOTICE`` by the model's bound.
 
     A run goes on until the lines after its first hold as many words as the longest notice, so that every notice lies in
-    one of them, however narrow its lines are.
+    one of them, however narrow its lines are. What holds for a text's words holds for its runs' words, so texts are left out first.
     """
     longest = max(len(re.findall(r"[^\W_]+", line)) for line in (*(x for _, x in NOTICES), *OTHER))
-    wanted = F.array(*map(F.lit, cues))
-    found = texts(docs, id_col, text_col).filter(F.arrays_overlap(words_of(F.col("text")), wanted))
-    lines = materialize(found.select("doc_id", F.transform(F.split("text", "\n"), words_of).alias("lines")))
+    wanted = F.array(*map(F.lit, model.cues))
+    found = texts(docs, id_col, text_col).withColumn("all", model.known(F.split(F.lower("text"), SIGNS)))
+    found = found.filter(F.arrays_overlap("all", wanted) & model.may_reach(F.col("all"), of_part=True))
+    # Of a line, the number of words and the known ones decide whether its runs are looked at.
+    split = found.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), words_of(x).alias("words"))).alias("lines"))
+    lines = materialize(split.select("doc_id", F.transform("lines", lambda x: F.struct(
+        x["line"].alias("line"), F.size(x["words"]).alias("n"), model.known(x["words"]).alias("known"))).alias("lines")))
     # Only lines that have a cue among those that follow start a run; each takes its piece of the lines in a row of its own.
-    has_cue = F.filter(F.transform("lines", lambda x, i: F.when(F.arrays_overlap(x, wanted), i)), lambda i: i.isNotNull())
+    has_cue = F.filter(F.transform("lines", lambda x, i: F.when(F.arrays_overlap(x["known"], wanted), i)), lambda i: i.isNotNull())
     first = F.array_distinct(F.flatten(F.transform(has_cue, lambda i: F.sequence(F.greatest(i - longest, F.lit(0)), i))))
     starts = lines.select("doc_id", "lines", F.explode(first).alias("paragraph"))
     # As lines have words, a run has at most ``longest`` more.
-    starts = starts.select("doc_id", "paragraph", F.slice("lines", F.col("paragraph") + 1, longest + 1).alias("near")).filter(F.size(F.col("near")[0]) > 0)
+    starts = starts.select("doc_id", "paragraph", F.slice("lines", F.col("paragraph") + 1, longest + 1).alias("near")).filter(F.col("near")[0]["n"] > 0)
+    # Lines up to the first empty one, or the one before whose last line those after the run's first have words enough.
+    upto = F.aggregate("near", F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words"), F.lit(True).alias("on")), lambda at, x: F.struct(
+        (at["lines"] + (at["on"] & (x["n"] > 0) & ((at["lines"] < 2) | (at["words"] < longest))).cast("int")).alias("lines"),
+        (at["words"] + F.when(at["lines"] > 0, x["n"]).otherwise(0)).alias("words"),
+        (at["on"] & (x["n"] > 0) & ((at["lines"] < 2) | (at["words"] < longest))).alias("on")), lambda at: at["lines"])
+    starts = starts.withColumn("near", F.slice("near", 1, upto))
     ends = starts.select("doc_id", "paragraph", "near", F.explode(F.sequence(F.lit(1), F.size("near"))).alias("n"))
-    ends = ends.filter(~F.exists(F.slice("near", 1, F.col("n")), lambda x: F.size(x) == 0)).filter(
-        (F.col("n") <= 2) | (F.size(F.flatten(F.slice("near", 2, F.greatest(F.col("n") - 2, F.lit(0))))) < longest))
-    out = ends.select("doc_id", "paragraph", (F.col("paragraph") + F.col("n") - 1).alias("last"), F.flatten(F.slice("near", 1, F.col("n"))).alias("words"))
-    return out.filter(F.arrays_overlap("words", wanted))
+    ends = ends.withColumn("all", F.array_distinct(F.flatten(F.slice(F.col("near")["known"], 1, F.col("n")))))
+    ends = ends.filter(F.arrays_overlap("all", wanted) & model.may_reach(F.col("all")))
+    return ends.select("doc_id", "paragraph", (F.col("paragraph") + F.col("n") - 1).alias("last"),
+                       words_of(F.array_join(F.slice(F.col("near")["line"], 1, F.col("n")), " ")).alias("words"))
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(line), SIGNS), lambda w: w != "")
 
 
 def _n_grams(words: Column) -> Column:
@@ -151,13 +164,28 @@ def _mutilated(known: DataFrame, seed: int, much: int = 8) -> DataFrame:
 @dataclass
 class Model:
     """Vocabulary and weights, of a size that the notices decide; ``share`` is what the likeliest family needs of a notice's
-    probability. A run without one of ``cues`` has a notice's probability below ``NOTICE``."""
+    probability. A run without one of ``cues`` has a notice's probability below ``NOTICE``. ``gains`` has per known word
+    what it adds, and the pairs and triples counted to it may add, to the logarithms of the families' odds against "none"."""
 
     counts: CountVectorizerModel
     regression: LogisticRegressionModel
     families: list[str]
     share: float = 0.5
     cues: tuple[str, ...] = ()
+    gains: tuple[tuple[str, tuple[float, ...]], ...] = ()
+
+    def known(self, words: Column) -> Column:
+        """The different words that occur in the vocabulary's words, pairs and triples."""
+        return F.array_intersect(words, F.array(*(F.lit(w) for w, _ in self.gains)))
+
+    def may_reach(self, known: Column, of_part: bool = False) -> Column:
+        """False only if a run with these known words, in any order, can't reach ``NOTICE``; ``of_part``: if no part of a text with them can."""
+        at = self.regression.interceptVector.toArray()
+        start = F.array(*(F.lit(float(x)) for x in at[1:] - at[0]))
+        gains = F.create_map(*(x for w, g in self.gains for x in (F.lit(w), F.array(*(F.lit(max(v, 0.0) if of_part else v) for v in g)))))
+        odds = F.aggregate(known, start, lambda sums, w: F.zip_with(sums, F.element_at(gains, w), lambda a, b: a + b),
+                           lambda sums: F.aggregate(sums, F.lit(0.0), lambda a, x: a + F.exp(x)))
+        return odds >= NOTICE / (1 - NOTICE) * (1 - 1e-9)
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` with (notice, family, share): probability of any notice, the likeliest family and its share of that.
@@ -185,6 +213,20 @@ def _train(rows: DataFrame) -> Model:
     return Model(counts, regression.fit(counts.transform(labelled)), families)
 
 
+def _gains(model: Model, common: dict[str, int]) -> tuple[tuple[str, tuple[float, ...]], ...]:
+    """Per word of the vocabulary, its weight for each family against "none", and the weights that speak for the family of the
+    pairs and triples of which it is the rarest word.
+
+    A run that holds an n-gram holds its rarest word, so the sum over a run's words is at least what its n-grams add.
+    """
+    weights = model.regression.coefficientMatrix.toArray()
+    gains = {w: np.zeros(len(weights) - 1) for gram in model.counts.vocabulary for w in gram.split(" ")}
+    for gram, gain in zip(model.counts.vocabulary, (weights[1:] - weights[0]).T):
+        words = gram.split(" ")
+        gains[min(words, key=lambda w: (common.get(w, 0), w))] += gain if len(words) == 1 else np.maximum(gain, 0)
+    return tuple((w, tuple(map(float, g))) for w, g in sorted(gains.items()))
+
+
 def _cues(model: Model, common: dict[str, int]) -> tuple[str, ...]:
     """Words without one of which a run can't reach ``NOTICE``, the commonest words left out first.
 
@@ -248,7 +290,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     own = [r["share"] for r in model.score(fresh).filter((F.col("notice") >= NOTICE) & (F.col("own") == F.col("family"))).collect()]
     common = {r["w"]: r["n"] for r in plain.select(F.explode(F.array_distinct("words")).alias("w")).filter(
         F.col("w").isin(words)).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return replace(model, share=_best_cut(others, own), cues=_cues(model, common))
+    return replace(model, share=_best_cut(others, own), cues=_cues(model, common), gains=_gains(model, common))
 
 
 def _best_cut(others: list[float], own: list[float]) -> float:
@@ -272,8 +314,9 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     ``likeness`` is for the likeliest family; templates decide nothing here. Runs may overlap.
     """
-    scored = model.score(runs(docs, list(model.cues), id_col, text_col)).filter(F.col("notice") >= NOTICE)
-    return _with_likeness(scored).withColumn("plain", _is_plain(notice_words())).drop("words")
+    scored = _with_likeness(model.score(runs(docs, model, id_col, text_col))).withColumn("plain", _is_plain(notice_words())).drop("words")
+    # Written out before it is filtered, so that n-grams and probabilities are worked out once.
+    return materialize(scored).filter(F.col("notice") >= NOTICE)
 
 
 def _linked(found: DataFrame) -> DataFrame:
@@ -321,7 +364,7 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     ``probability`` is that of any notice.
     """
     model = model or fit(docs, id_col, text_col)
-    found = materialize(scan(docs, model, id_col, text_col))
+    found = scan(docs, model, id_col, text_col)
     source = texts(docs, id_col, text_col)
     n_lines = source.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
     sure = (F.col("share") >= model.share) & (F.col("likeness") >= TEMPLATE)

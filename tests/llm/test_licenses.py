@@ -159,3 +159,11 @@ def test_query_finds_the_planted_notices(spark, sf):
     for r in QUERIES["op3_licenses"](spark, sf).collect():
         want = {f for line, f in planted.items() if line in (texts[r.doc_id] or "").split("\n")}
         assert set(r.licences) == want, (r, texts[r.doc_id][:200])
+
+
+def test_runs_that_cannot_be_notices_are_left_out_unscored(spark, model):
+    rows = list(enumerate(model.cues))
+    found = {r.doc_id for r in li.runs(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    # Every row has a cue, but few of them reach the least probability alone.
+    assert len(found) < len(rows)
+    assert {i for i, text in rows if brute_runs(text, model)} <= found
