@@ -16,7 +16,10 @@ signs are no words. Lines that touch a confirmed notice belong to it, and of oth
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -88,21 +91,22 @@ KEPT = 0.98
 NOTICE = 0.5
 FALSE_ALARMS = 0.0001
 TEMPLATE = 0.8
+# Small maps that words, pairs and triples are looked up in.
+GRAM_MAPS = 64
 # What lies between words.
 SIGNS = r"[^\p{L}\p{N}]+"
 
 
 def runs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph, last, words): runs of non-empty lines, from line ``paragraph`` to ``last``, that have a cue and may
-    reach ``NOTICE`` by the model's bound.
+    reach ``NOTICE`` by the model's bounds.
 
     A run goes on until the lines after its first hold as many words as the longest notice, so that every notice lies in
-    one of them, however narrow its lines are. What holds for a text's words holds for its runs' words, so texts are left out first.
+    one of them, however narrow its lines are. A run's words, pairs and triples are its text's too, so texts are left out first.
     """
     longest = max(len(re.findall(r"[^\W_]+", line)) for line in (*(x for _, x in NOTICES), *OTHER))
     wanted = F.array(*map(F.lit, model.cues))
-    found = texts(docs, id_col, text_col).withColumn("all", model.known(F.split(F.lower("text"), SIGNS)))
-    found = found.filter(F.arrays_overlap("all", wanted) & model.may_reach(F.col("all"), of_part=True))
+    found = texts(docs, id_col, text_col).filter(model.may_hold(F.split(F.lower("text"), SIGNS)))
     # Of a line, the number of words and the known ones decide whether its runs are looked at.
     split = found.select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), words_of(x).alias("words"))).alias("lines"))
     lines = materialize(split.select("doc_id", F.transform("lines", lambda x: F.struct(
@@ -122,8 +126,14 @@ def runs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ends = starts.select("doc_id", "paragraph", "near", F.explode(F.sequence(F.lit(1), F.size("near"))).alias("n"))
     ends = ends.withColumn("all", F.array_distinct(F.flatten(F.slice(F.col("near")["known"], 1, F.col("n")))))
     ends = ends.filter(F.arrays_overlap("all", wanted) & model.may_reach(F.col("all")))
-    return ends.select("doc_id", "paragraph", (F.col("paragraph") + F.col("n") - 1).alias("last"),
+    ends = ends.select("doc_id", "paragraph", (F.col("paragraph") + F.col("n") - 1).alias("last"),
                        words_of(F.array_join(F.slice(F.col("near")["line"], 1, F.col("n")), " ")).alias("words"))
+    return ends.filter(model.may_hold(F.col("words")))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def words_of(line: Column) -> Column:
@@ -178,15 +188,42 @@ class Model:
         """The different words that occur in the vocabulary's words, pairs and triples."""
         return F.array_intersect(words, F.array(*(F.lit(w) for w, _ in self.gains)))
 
-    def may_reach(self, known: Column, of_part: bool = False) -> Column:
-        """False only if a run with these known words, in any order, can't reach ``NOTICE``; ``of_part``: if no part of a text with them can."""
+    def _reached(self, keys: Column, gain: Callable[[Column], Column]) -> Column:
+        """Whether the families' odds against "none" reach those of ``NOTICE`` with the gains of ``keys``."""
         at = self.regression.interceptVector.toArray()
         start = F.array(*(F.lit(float(x)) for x in at[1:] - at[0]))
-        gains = F.create_map(*(x for w, g in self.gains for x in (F.lit(w), F.array(*(F.lit(max(v, 0.0) if of_part else v) for v in g)))))
-        odds = F.aggregate(known, start, lambda sums, w: F.zip_with(sums, F.element_at(gains, w), lambda a, b: a + b),
+        odds = F.aggregate(keys, start, lambda sums, k: F.zip_with(sums, gain(k), lambda a, b: a + b),
                            lambda sums: F.aggregate(sums, F.lit(0.0), lambda a, x: a + F.exp(x)))
         return odds >= NOTICE / (1 - NOTICE) * (1 - 1e-9)
 
+    def may_reach(self, known: Column) -> Column:
+        """False only if a run with these known words, in any order, can't reach ``NOTICE``."""
+        gains = F.create_map(*(x for w, g in self.gains for x in (F.lit(w), F.array(*map(F.lit, g)))))
+        return self._reached(known, lambda w: F.element_at(gains, w))
+
+    def may_hold(self, words: Column) -> Column:
+        """False only if no part of a text of these words, in this order, can reach ``NOTICE``.
+
+        A part has no words, pairs and triples that the text has not; all of the text's that speak for a family are added up.
+        """
+        weights = self.regression.coefficientMatrix.toArray()
+        gains = {g: x for g, x in zip(self.counts.vocabulary, np.maximum(weights[1:] - weights[0], 0).T.tolist()) if any(x)}
+        single = sorted({w for g in gains for w in g.split(" ")})
+        # What Spark looks up in a map it compares with key after key, so grams are dealt over small maps.
+        parts: list[dict[str, list[float]]] = [{} for _ in range(GRAM_MAPS)]
+        for g, x in gains.items():
+            parts[zlib.crc32(g.encode()) % GRAM_MAPS][g] = x
+        maps = F.from_json(F.lit(json.dumps(parts)), "array<map<string,array<double>>>")  # one constant, which plans carry as such
+        gain = lambda g: F.element_at(F.get(maps, (F.crc32(g.cast("binary")) % GRAM_MAPS).cast("int")), g)
+        # Known words in a row, parted by others; no word holds the sign.
+        rows = F.split(F.array_join(F.transform(words, lambda w: F.when(w.isin(single), w).otherwise("|")), " "), r" ?\|[ |]*")
+
+        def reached(rows: Column) -> Column:
+            longer = F.transform(F.filter(rows, lambda r: F.contains(r, F.lit(" "))), lambda r: _let(F.split(r, " "), _n_grams))
+            return self._reached(F.filter(F.array_distinct(F.concat(rows, F.flatten(longer))), lambda g: gain(g).isNotNull()), gain)
+
+        return _let(F.array_distinct(rows), reached)
+
     def score(self, rows: DataFrame) -> DataFrame:
         """``rows`` with (notice, family, share): probability of any notice, the likeliest family and its share of that.
 
@@ -366,7 +403,7 @@ def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     model = model or fit(docs, id_col, text_col)
     found = scan(docs, model, id_col, text_col)
     source = texts(docs, id_col, text_col)
-    n_lines = source.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    n_lines = source.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     sure = (F.col("share") >= model.share) & (F.col("likeness") >= TEMPLATE)
     return _apart(found.filter(F.col("notice") >= notice_limit(found, n_lines)).select(
         "doc_id", "paragraph", "last", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), F.col("notice").alias("probability"), "likeness"))

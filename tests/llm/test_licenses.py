@@ -167,3 +167,23 @@ def test_runs_that_cannot_be_notices_are_left_out_unscored(spark, model):
     # Every row has a cue, but few of them reach the least probability alone.
     assert len(found) < len(rows)
     assert {i for i, text in rows if brute_runs(text, model)} <= found
+
+
+def test_texts_whose_n_grams_cannot_add_up_are_left_out_unscored(spark, model):
+    """A text's words may be those of a notice; its pairs and triples count only where they are."""
+    rows = [(i, " and so on ".join(line.split())) for i, (_, line) in enumerate(li.NOTICES)]
+    rows += [(100 + i, f"a file\n\n{line}\nmore text") for i, (_, line) in enumerate(li.NOTICES)]
+    rows += [(200 + i, " and so on ".join(line.split()[::3])) for i, (_, line) in enumerate(li.NOTICES)]
+    rows += [(300 + i, word) for i, word in enumerate(li.notice_words())]
+    weights, at = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    gains, may = dict(zip(model.counts.vocabulary, (weights[1:] - weights[0]).clip(0).T)), set()
+    for i, text in rows:
+        words = re.findall(r"[^\W_]+", text.lower())
+        grams = {" ".join(words[j:j + n]) for n in (1, 2, 3) for j in range(len(words) - n + 1)}
+        if sum(map(math.exp, (at[1:] - at[0]) + sum(gains[g] for g in grams if g in gains))) >= li.NOTICE / (1 - li.NOTICE):
+            may.add(i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in docs.filter(model.may_hold(li.words_of(docs["text"]))).collect()} == may
+    found = {r.doc_id for r in li.runs(docs, model).collect()}
+    assert found <= may and len(may) < len(rows)
+    assert {i for i, text in rows if brute_runs(text, model)} <= found
