@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from areapanel.operators import nearest
 from areapanel.operators.nearest import candidate_pairs, member_tree, nearest_in_set
 
 SHAPES = {
@@ -51,3 +52,40 @@ def test_places_that_are_none(spark):
     got = nearest_in_set(spark.createDataFrame(points, "id int, g string, x double, y double"),
                          spark.createDataFrame(members, "g string, x double, y double"), ["g"], "x", "y")
     assert {r.id: r.proximity for r in got.collect()} == {1: 5.0, 2: None, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_few_pairs_where_one_coordinate_spans_far_more(spark):
+    rng = random.Random(7)
+    columns = [(rng.random() * 5e5, float(y)) for _ in range(250) for y in range(12)]
+    members = [*((x, y * 8 % 97) for x, y in columns), (1e12, -1e12)]
+    points = [(rng.random() * 5e5, float(rng.randrange(97))) for _ in range(300)]
+    m, p = frame(spark, members), frame(spark, points)
+    assert candidate_pairs(p, m, ["g"], "x", "y").count() <= 100 * len(points)
+    for lookup_rows in (None, 0):
+        got = {(r.x, r.y): r.proximity for r in nearest_in_set(p, m, ["g"], "x", "y", lookup_rows=lookup_rows).collect()}
+        for x, y in points:
+            assert got[x, y] == pytest.approx(min(math.hypot(x - a, y - b) for a, b in members), rel=1e-9)
+
+
+def test_points_are_not_shuffled_where_members_can_be_sent(spark):
+    rng = random.Random(8)
+    points = frame(spark, [(rng.random(), rng.random()) for _ in range(100)])
+    plan = nearest_in_set(points, points.limit(40), ["g"], "x", "y")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "ArrowEvalPython" in plan
+
+
+def test_search_in_pieces(spark, monkeypatch):
+    """Few places and nodes at a time, groups of any size, all members about as near, and squares that are infinite or nought."""
+    monkeypatch.setattr(nearest, "PLACES_AT_ONCE", 7)
+    monkeypatch.setattr(nearest, "NODES_AT_ONCE", 5)
+    rng = random.Random(9)
+    members = [("ring", math.cos(i / 50), math.sin(i / 50)) for i in range(300)] + [("two", 1.0, 1.0), ("two", -1.0, 1.0)]
+    members += [("huge", s * 10.0**e, 1.0) for s in (-1, 1) for e in range(140, 309)] + [("tiny", 10.0**-e, 0.0) for e in range(140, 300)]
+    points = [(g, rng.gauss(0, 1e-3), rng.gauss(0, 1e-3)) for g in ("ring", "two", "none") for _ in range(20)]
+    points += [("huge", s * 10.0**e, 0.0) for s in (-1, 1) for e in range(135, 309, 6)] + [("tiny", 3 * 10.0**-e, 0.0) for e in range(135, 300, 6)]
+    schema = "g string, x double, y double"
+    got = nearest_in_set(spark.createDataFrame(points, schema), spark.createDataFrame(members, schema), ["g"], "x", "y").collect()
+    assert len(got) == len(points)
+    for r in got:
+        near = [math.sqrt((r.x - x) * (r.x - x) + (r.y - y) * (r.y - y)) for g, x, y in members if g == r.g]
+        assert r.proximity == (min(near) if near else None)
