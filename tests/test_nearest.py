@@ -74,8 +74,11 @@ def test_points_are_not_shuffled_where_members_can_be_sent(spark):
     assert "Exchange hashpartitioning" not in plan and "ArrowEvalPython" in plan
 
 
-def test_search_in_pieces(spark, monkeypatch):
+@pytest.mark.parametrize("members_sent, nodes_sent", [(10_000, 0), (0, 10_000), (0, 100), (0, 0)])
+def test_search_in_pieces(spark, monkeypatch, members_sent, nodes_sent):
     """Few places and nodes at a time, groups of any size, all members about as near, and squares that are infinite or nought."""
+    monkeypatch.setattr(nearest, "SENT_MEMBERS", members_sent)
+    monkeypatch.setattr(nearest, "SENT_NODES", nodes_sent)
     monkeypatch.setattr(nearest, "PLACES_AT_ONCE", 7)
     monkeypatch.setattr(nearest, "NODES_AT_ONCE", 5)
     rng = random.Random(9)
@@ -89,3 +92,15 @@ def test_search_in_pieces(spark, monkeypatch):
     for r in got:
         near = [math.sqrt((r.x - x) * (r.x - x) + (r.y - y) * (r.y - y)) for g, x, y in members if g == r.g]
         assert r.proximity == (min(near) if near else None)
+
+
+def test_levels_that_can_be_sent_are_descended_at_once(spark):
+    rng = random.Random(10)
+    members = frame(spark, [(rng.random(), rng.random()) for _ in range(700)])
+    places = members.limit(50).select("g", members.x.alias("_qx"), members.y.alias("_qy"))
+    tree, depth = member_tree(members, ["g"], "x", "y", 4)
+    for lookup_rows, level in ((None, depth), (20, 1), (0, 0)):
+        front, sent = nearest._front(places, tree, depth, ["g"], lookup_rows)
+        assert sent == level and front.select("_qx", "_qy").distinct().count() == 50
+        own = tree.selectExpr("g", "_mx AS _qx", "_my AS _qy", f"_node div {16 ** (depth - sent)} AS _node")
+        assert front.join(own, ["g", "_qx", "_qy", "_node"], "left_semi").count() == 50  # each is its own nearest
